@@ -20,11 +20,15 @@ from shelfsift.fixed_values import (
     TAG_PHRASES,
     TAG_SECTION_MARKERS,
     TRANSLITERATIONS,
-    WHITESPACE,
     WORD,
 )
 from shelfsift.functions.text import accent_table
 
+# The white space characters one by one (RE2 has no class for them).
+WHITESPACE = (
+    r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+)
 # Upper case beyond \p{Lu}: Roman numerals, circled, squared and enclosed capitals.
 OTHER_UPPER = r"\x{2160}-\x{216F}\x{24B6}-\x{24CF}\x{1F130}-\x{1F149}\x{1F150}-\x{1F169}\x{1F170}-\x{1F189}"
 

@@ -40,7 +40,7 @@ from shelfsift.operators.metrics import (
 from shelfsift.operators.reports import prediction_report
 from shelfsift.operators.sampling import few_shot_examples, head_subset, rows_in, rows_not_in
 from shelfsift.operators.scoring import keyword_rule_scorer
-from shelfsift.operators.tfidf import GRAM_SPEC, WORD_SPEC, TfidfModel, TfidfSpec, fit_tfidf, vocabulary
+from shelfsift.operators.tfidf import GRAM_SPEC, WORD_SPEC, TfidfSpec, fit_tfidf, vocabulary
 from shelfsift.operators.truecase import capitalised_entities, gazetteer_entities, surface_forms, truecase
 from shelfsift.plans.jobs import comparison_job, few_shot_job, hybrid_job, notebook_job, score_listings
 from shelfsift.plans.models import (
@@ -122,12 +122,13 @@ def clean_words(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dictionary(spark: SparkSession, folder: str) -> DataFrame:
-    return corpus_dictionary(clean_words(spark, folder), "words")
+    """The corpus' own lemma table, written once because several steps look words up in it."""
+    return cut_lineage(corpus_dictionary(clean_words(spark, folder), "words"))
 
 
 @query
 def lemma_dictionary(spark, folder):
-    return dictionary(spark, folder)
+    return corpus_dictionary(clean_words(spark, folder), "words")
 
 
 @query
@@ -351,15 +352,11 @@ def vector_summary(df: DataFrame, vector: str) -> list[Column]:
     ]
 
 
-def fit_grams(spark: SparkSession, folder: str) -> TfidfModel:
-    return fit_tfidf(gram_terms(spark, folder), GRAM_SPEC)
-
-
 @query
 def feature_join(spark, folder):
     """Hand features and TF-IDF of the same row, side by side."""
     terms = forest_terms(listings(spark, folder), GRAM_SPEC, dictionary(spark, folder))
-    model = fit_tfidf(terms.select("terms"), GRAM_SPEC)
+    model = fit_tfidf(terms, GRAM_SPEC)
     joined = with_listing_features(model.with_vector(terms), names=["text_length", "word_count", "brand_count"])
     return joined.select(
         "product_id", "text_length", "word_count", "brand_count", *vector_summary(joined, "tfidf")
@@ -369,7 +366,8 @@ def feature_join(spark, folder):
 @query
 def feature_vector(spark, folder):
     lemmas = dictionary(spark, folder)
-    vectors = forest_vectors(listings(spark, folder), fit_grams(spark, folder), GRAM_SPEC, lemmas)
+    model = fit_tfidf(forest_terms(listings(spark, folder), GRAM_SPEC, lemmas), GRAM_SPEC)
+    vectors = forest_vectors(listings(spark, folder), model, GRAM_SPEC, lemmas)
     return vectors.select("product_id", *vector_summary(vectors, "features"))
 
 

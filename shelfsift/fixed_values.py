@@ -4,11 +4,9 @@ Nothing here is logic. A different value gives a different result, so the values
 are kept together and every operator takes them as overridable parameters.
 """
 
-# --- character classes (the same text works in Java regex and in RE2) -----------
-WHITESPACE = (
-    r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-)
+# --- character classes of Java regex: Unicode white space with the four ASCII
+# --- information separators, and letters, numbers and underscore ------------------
+WHITESPACE = r"\p{IsWhite_Space}\x1c-\x1f"
 WORD = r"\p{L}\p{N}_"
 
 # --- lexicons of the hand-made features ----------------------------------------
@@ -16,8 +14,8 @@ BRANDS = ["nike", "adidas", "gucci", "chanel", "versace", "supreme", "zara", "h&
 TAG_PHRASES = ["tag", "tags:", "tags", "tagged", "ignore:", "ignore"]
 TAG_SECTION_MARKERS = ["tags:", "ignore:", "~ignore~", "tagged for exposure"]
 
-# --- characters turned into a blank by the notebook cleaning --------------------
-SEPARATORS = r"[,;@#!?+*\n\-: /]"
+# --- characters turned into a blank by the notebook cleaning (a blank stays one) --
+SEPARATORS = r"[,;@#!?+*\n\-:/]"
 
 # --- words a Treebank tokeniser splits in two -----------------------------------
 CONTRACTIONS = [("can", "not"), ("gim", "me"), ("gon", "na"), ("got", "ta"), ("lem", "me"), ("wan", "na")]

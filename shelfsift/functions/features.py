@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfsift.fixed_values import BRANDS, ENGLISH_STOP_WORDS, TAG_PHRASES, TAG_SECTION_MARKERS, WHITESPACE, WORD
-from shelfsift.functions.text import blank_split, clean_text, split_tokens, text_or_empty
+from shelfsift.functions.text import blank_split, remove_urls, split_tokens, text_or_empty, words_only
 
 
 def count_of(text: Column, char: str) -> Column:
@@ -16,8 +16,8 @@ def count_of(text: Column, char: str) -> Column:
 
 
 def count_matching(text: Column, char_class: str) -> Column:
-    """Characters of ``text`` inside a regex character class."""
-    return F.length(F.regexp_replace(text, f"[^{char_class}]", ""))
+    """Characters of ``text`` inside a regex character class (the others go in whole runs)."""
+    return F.length(F.regexp_replace(text, f"[^{char_class}]+", ""))
 
 
 def blank_words(clean: Column) -> Column:
@@ -51,7 +51,7 @@ LISTING_FEATURES: dict[str, Callable[[Column, Column, Column], Column]] = {
     "hashtag_count": lambda raw, low, clean: count_of(raw, "#"),
     "uppercase_ratio": lambda raw, low, clean: per_character(count_matching(raw, r"\p{IsUppercase}"), raw),
     "special_char_ratio": lambda raw, low, clean: per_character(
-        F.length(F.regexp_replace(raw, rf"[\p{{L}}\p{{N}}{WHITESPACE}]", "")), raw
+        F.length(F.regexp_replace(raw, rf"[\p{{L}}\p{{N}}{WHITESPACE}]+", "")), raw
     ),
     "hashtag_to_text_ratio": lambda raw, low, clean: count_of(raw, "#")
     / F.greatest(raw_words(raw), F.lit(1)),
@@ -71,8 +71,8 @@ LISTING_FEATURES: dict[str, Callable[[Column, Column, Column], Column]] = {
 
 
 def raw_words(raw: Column) -> Column:
-    """Whitespace-separated words of a raw text: one per blank-to-word change."""
-    return blank_words(F.trim(F.regexp_replace(raw, f"[{WHITESPACE}]+", " ")))
+    """Whitespace-separated words of a raw text."""
+    return F.regexp_count(raw, F.lit(f"[^{WHITESPACE}]+"))
 
 
 def with_listing_features(df: DataFrame, text: str = "description", names: list[str] | None = None) -> DataFrame:
@@ -80,7 +80,7 @@ def with_listing_features(df: DataFrame, text: str = "description", names: list[
     shared = (
         df.withColumn(RAW, text_or_empty(F.col(text)))
         .withColumn(LOWERED, F.lower(F.col(RAW)))
-        .withColumn(CLEAN, clean_text(F.col(RAW)))
+        .withColumn(CLEAN, words_only(remove_urls(F.col(LOWERED))))
     )
     chosen = {
         name: LISTING_FEATURES[name](F.col(RAW), F.col(LOWERED), F.col(CLEAN)) for name in names or LISTING_FEATURES

@@ -47,7 +47,7 @@ def clean_text(text: Column) -> Column:
 
 def split_tokens(clean: Column) -> Column:
     """Tokens of a text whose words are separated by single blanks; '' has none."""
-    return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, " "))
+    return F.array_remove(F.split(clean, " "), "")
 
 
 def split_contractions(clean: Column) -> Column:
@@ -117,7 +117,7 @@ def replace_separators(text: Column) -> Column:
 
 def keep_alphanumeric(text: Column) -> Column:
     """Drop (not blank out) everything but ASCII letters, digits, ``&`` and blanks."""
-    return F.regexp_replace(text, "[^A-Za-z0-9& ]", "")
+    return F.regexp_replace(text, r"[^\p{Alnum}& ]+", "")
 
 
 def surface_text(text: Column) -> Column:

@@ -22,31 +22,31 @@ def lemmatize(df: DataFrame, tokens: str, dictionary: DataFrame, **options) -> D
 def corpus_dictionary(df: DataFrame, tokens: str) -> DataFrame:
     """``form, lemma`` for regular inflections whose base form occurs in the same corpus.
 
-    Words are counted once (map-side combined) before the self-join, so the join sees
-    the vocabulary, not the texts. A form with several readings takes the first rule.
+    One pass over the texts: each distinct word is sent to its own spelling and to every
+    base form it could have, so meeting there says which base forms exist. A base form
+    has at most one word per rule, so groups stay tiny. Of several readings the first
+    rule's wins. Write the result (``cut_lineage``) if it is used more than once.
     """
-    words = df.select(F.explode(tokens).alias("word")).distinct()
-    readings = F.array(
-        *[
-            F.when(
-                F.col("word").endswith(ending) & (F.length("word") >= SHORTEST_STEM + len(ending)),
-                F.struct(
-                    F.lit(order).alias("rank"),
-                    F.concat(F.expr(f"left(word, length(word) - {len(ending)})"), F.lit(base)).alias("lemma"),
-                ),
-            )
-            for order, (ending, base) in enumerate(SUFFIX_RULES)
-        ]
-    )
-    candidates = words.select("word", F.explode(F.array_compact(readings)).alias("reading")).select(
-        F.col("word").alias("form"), "reading.rank", "reading.lemma"
-    )
-    known = words.withColumnRenamed("word", "lemma")
-    return (
-        candidates.join(known, "lemma")
-        .groupBy("form")
-        .agg(F.min_by("lemma", "rank").alias("lemma"))
+    # array_distinct also keeps Spark from testing the token column twice for emptiness
+    words = df.select(F.explode(F.array_distinct(tokens)).alias("word")).distinct()
+    itself = F.struct(F.lit(-1).alias("rank"), F.col("word").alias("lemma"))
+    readings = [
+        F.when(
+            F.col("word").endswith(ending) & (F.length("word") >= SHORTEST_STEM + len(ending)),
+            F.struct(
+                F.lit(rank).alias("rank"),
+                F.concat(F.expr(f"left(word, length(word) - {len(ending)})"), F.lit(base)).alias("lemma"),
+            ),
+        )
+        for rank, (ending, base) in enumerate(SUFFIX_RULES)
+    ]
+    sent = words.select(F.col("word").alias("form"), F.inline(F.array_compact(F.array(itself, *readings))))
+    met = sent.groupBy("lemma").agg(
+        F.max(F.col("rank") == -1).alias("known"),
+        F.collect_list(F.when(F.col("rank") >= 0, F.struct("form", "rank"))).alias("forms"),
     )
+    found = met.where("known").select("lemma", F.inline(F.filter("forms", lambda form: form.isNotNull())))
+    return found.groupBy("form").agg(F.min_by("lemma", "rank").alias("lemma"))
 
 
 def preprocess(

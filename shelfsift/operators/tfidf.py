@@ -49,17 +49,17 @@ def with_terms(df: DataFrame, text: Column, spec: TfidfSpec, output: str = "term
 
 
 def term_counts(df: DataFrame, terms: str = "terms") -> DataFrame:
-    """``term, cf, df``: occurrences in the corpus, and rows that hold the term."""
-    occurrence = F.transform(
-        terms, lambda term: F.struct(term.alias("term"), F.lit(1).alias("cf"), F.lit(0).alias("df"))
-    )
-    presence = F.transform(
-        F.array_distinct(terms), lambda term: F.struct(term.alias("term"), F.lit(0).alias("cf"), F.lit(1).alias("df"))
+    """``term, cf, df``: occurrences in the corpus, and rows that hold the term.
+
+    A row lists its terms, then its distinct terms; the place in that list says which
+    count an entry belongs to, so both counts come from one pass.
+    """
+    listed = df.select(
+        F.size(terms).alias("repeats"), F.posexplode(F.concat(terms, F.array_distinct(terms))).alias("place", "term")
     )
-    return (
-        df.select(F.inline(F.concat(occurrence, presence)))
-        .groupBy("term")
-        .agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
+    return listed.groupBy("term").agg(
+        F.count_if(F.col("place") < F.col("repeats")).alias("cf"),
+        F.count_if(F.col("place") >= F.col("repeats")).alias("df"),
     )
 
 

@@ -73,7 +73,7 @@ def _lookup(df: DataFrame, rows: list):
 def _map_by_join(
     df: DataFrame, tokens: str, pairs: DataFrame, row_key: str, output: str, salts: int
 ) -> DataFrame:
-    exploded = df.select(row_key, F.posexplode(tokens).alias("_pos", "_token")).withColumn(
+    exploded = df.select(row_key, F.posexplode_outer(tokens).alias("_pos", "_token")).withColumn(
         "_salt", F.pmod(F.hash(row_key, "_pos"), F.lit(salts))
     )
     copies = pairs.withColumn("_found", F.lit(True)).withColumn("_salt", salt_values(salts))
