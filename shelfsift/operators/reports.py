@@ -40,7 +40,8 @@ def number_rows(df: DataFrame, key: str, buckets: int | None = None, output: str
     rows before it are counted exactly. ``key`` is numeric and unique.
     """
     buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(df.approxQuantile(key, [i / buckets for i in range(1, buckets)], 0.25 / buckets)))
+    shares = [i / buckets for i in range(1, max(buckets, 2))]
+    cuts = sorted(set(df.approxQuantile(key, shares, 0.25 / buckets))) or [0.0]
     edges = [float("-inf"), *cuts, float("inf")]
     keyed = df.withColumn("_key", F.col(key).cast("double"))
     placed = Bucketizer(splits=edges, inputCol="_key", outputCol="_bucket").transform(keyed).drop("_key")

@@ -1,0 +1,138 @@
+"""Classifiers, end-to-end jobs and the feature stream, on listings whose label can be learnt."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from shelfsift.fixed_values import DESCRIPTION_SUFFIX, ENTITY_SUFFIX
+from shelfsift.functions.features import LISTING_FEATURES, with_listing_features
+from shelfsift.operators.metrics import classification_metrics, log_loss
+from shelfsift.operators.scoring import keyword_rule_scorer
+from shelfsift.operators.tfidf import TfidfSpec
+from shelfsift.operators.truecase import surface_forms
+from shelfsift.plans.jobs import comparison_job, few_shot_job, hybrid_job, notebook_job
+from shelfsift.plans.models import feature_importance, fit_boosted, fit_forest, notebook_frame, staged_log_loss
+from shelfsift.session import cut_lineage
+from shelfsift.sources.listings import listings
+from shelfsift.streaming.feature_stream import listing_feature_stream, write_feature_stream
+
+SMALL_GRAMS = TfidfSpec(60, 2, 0.8, pairs=True)
+
+
+@pytest.fixture(scope="module")
+def rows(spark, folder):
+    """Spam is what carries a tag list, so a working model must find it."""
+    marked = (F.col("product_id") % 8).isin(1, 2, 4, 7).cast("int")
+    return cut_lineage(listings(spark, folder).withColumn("label", marked))
+
+
+@pytest.fixture(scope="module")
+def sides(rows):
+    return rows.where(F.col("split") == "train"), rows.where(F.col("split") == "test")
+
+
+@pytest.fixture(scope="module")
+def forest(sides):
+    return fit_forest(sides[0], spec=SMALL_GRAMS, trees=15, depth=5)
+
+
+def test_forest_learns_and_repeats(sides, forest):
+    predicted = forest.transform(sides[1])
+    assert classification_metrics(predicted).first()["accuracy"] >= 0.9
+    again = fit_forest(sides[0], spec=SMALL_GRAMS, trees=15, depth=5).transform(sides[1])
+    keep = ("product_id", "probability", "prediction")
+    assert sorted(predicted.select(*keep).collect()) == sorted(again.select(*keep).collect())
+
+
+def test_threshold_is_inclusive_and_applied(sides, forest):
+    rows = forest.transform(sides[1], threshold=0.2).select("probability", "prediction").collect()
+    assert rows and all(r["prediction"] == int(r["probability"] >= 0.2) for r in rows)
+
+
+def test_forest_importance_names_every_input(spark, forest):
+    table = feature_importance(spark, forest).collect()
+    assert len(table) == len(forest.tfidf.terms) + len(LISTING_FEATURES) == forest.forest.numFeatures
+    values = [r["feature_importance"] for r in table]
+    assert values == sorted(values, reverse=True) and abs(sum(values) - 1) < 1e-9
+
+
+@pytest.fixture(scope="module")
+def frame(rows):
+    return cut_lineage(notebook_frame(rows, surface_forms(rows)))
+
+
+def test_boosted_trees(spark, frame):
+    model = fit_boosted(frame)
+    test = frame.where(F.col("split") == "test")
+    train = frame.where(F.col("split") == "train")
+    losses = {(r["round"], r["dataset"]): r["logloss"] for r in staged_log_loss(model, {"train": train, "test": test}).collect()}
+    assert losses[(1, "train")] < losses[(0, "train")] < 0.6931
+    last = log_loss(model.transform(train)).first()["logloss"]
+    assert abs(last - losses[(1, "train")]) < 1e-9
+    assert classification_metrics(model.transform(test)).first()["accuracy"] >= 0.75
+    names = model.feature_names()
+    assert len(names) == model.trees.numFeatures and "product_id" not in names
+    assert any(n.endswith(ENTITY_SUFFIX) for n in names) and any(n.endswith(DESCRIPTION_SUFFIX) for n in names)
+
+
+def test_leaky_variant_is_a_switch(frame):
+    model = fit_boosted(frame, fit_on="all", include_product_id=True)
+    assert model.feature_names()[0] == "product_id"
+    assert "prediction" in model.transform(frame).columns
+    with pytest.raises(ValueError):
+        fit_boosted(frame, fit_on="test")
+
+
+def test_notebook_job(sides):
+    done = notebook_job(*(side.drop("split") for side in sides))
+    assert done.predictions.count() == sides[1].count() == done.metrics.select(F.expr("tn+fp+fn+tp")).first()[0]
+    assert done.losses.count() == 4 and done.importance.count() == done.model.trees.numFeatures
+
+
+def test_few_shot_job(sides):
+    train, test = sides
+    done = few_shot_job(test, keyword_rule_scorer, train=train, num_examples=10, num_few_shot=4)
+    assert done.scored.count() == done.report.count() == 10
+    whole = few_shot_job(test, keyword_rule_scorer, use_all=True)
+    matrix = whole.metrics.first()
+    assert matrix["tn"] + matrix["fp"] + matrix["fn"] + matrix["tp"] == whole.report.count() == test.count()
+
+
+def test_comparison_job(sides):
+    done = comparison_job(*sides, {"Rule": keyword_rule_scorer}, head_rows=20, spec=SMALL_GRAMS, trees=5)
+    assert {r["metric"] for r in done.comparison.collect()} == {"accuracy", "precision", "recall", "f1_score"}
+    counts = {r["model"]: r["support"] for r in done.report.where(F.col("class") == "macro avg").collect()}
+    assert counts == {"Random Forest": sides[1].count(), "Rule": 20}
+
+
+def test_hybrid_job(sides):
+    done = hybrid_job(*sides, keyword_rule_scorer, spec=SMALL_GRAMS, trees=5)
+    assert {r["model"] for r in done.metrics.collect()} == {"Classical", "LLM", "Hybrid"}
+    for row in done.scored.collect():
+        mixed = 0.4 * row["classical_score"] + 0.6 * row["llm_score"]
+        assert abs(row["combined_score"] - mixed) < 1e-12
+        assert row["is_spam"] == int(row["combined_score"] >= 0.5)
+    assert done.explained.columns[1:] == [
+        "text", "is_spam", "combined_score", "classical_score", "llm_score", "llm_reasoning",
+    ]
+
+
+def test_stream_gives_the_batch_result(spark, rows, tmp_path):
+    source = rows.select("product_id", "description")
+    first, second = source.where("product_id % 2 = 0"), source.where("product_id % 2 = 1")
+    folders = {name: str(tmp_path / name) for name in ("in", "out", "state")}
+    for part in (first, second):
+        part.write.mode("append").parquet(folders["in"])
+        stream = spark.readStream.schema(source.schema).parquet(folders["in"])
+        write_feature_stream(stream, folders["out"], folders["state"]).awaitTermination(120)
+    written = spark.read.parquet(folders["out"])
+    assert sorted(written.collect()) == sorted(listing_feature_stream(source).collect())
+
+
+def test_scorer_result_is_written_before_it_is_read(sides):
+    done = few_shot_job(sides[1], keyword_rule_scorer, num_examples=5)
+    plan = done.scored._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan
+
+
+def test_feature_columns_do_not_leak_helpers(rows):
+    assert [c for c in with_listing_features(rows).columns if c.startswith("_")] == []

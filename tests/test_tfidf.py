@@ -1,0 +1,110 @@
+from collections import Counter
+from math import log, sqrt
+
+import pytest
+from pyspark.sql import functions as F
+
+from shelfsift.operators.tfidf import TfidfSpec, fit_tfidf, term_counts, vocabulary, with_terms
+
+CORPUS = ["red red dress", "red shoes", "blue dress shoes", "a", "", None, "Zebra zebra zebra"]
+
+
+def frame_of(texts, spec, rows=CORPUS):
+    return with_terms(texts(rows), F.col("description"), spec).select("product_id", "terms")
+
+
+def brute(rows, spec):
+    """TF-IDF over lists and counters."""
+    bags = []
+    for text in rows:
+        words = [w for w in (text or "").lower().split() if len(w) > 1 and w not in spec.stop_words]
+        bags.append(Counter(words + ([f"{a} {b}" for a, b in zip(words, words[1:])] if spec.pairs else [])))
+    cf, df = sum(bags, Counter()), Counter(t for bag in bags for t in bag)
+    top = spec.max_df if isinstance(spec.max_df, int) else spec.max_df * len(rows)
+    kept = sorted((t for t in cf if spec.min_df <= df[t] <= top), key=lambda t: (-cf[t], t))[: spec.max_features]
+    out = {}
+    for i, bag in enumerate(bags):
+        raw = {t: bag[t] * (log((1 + len(rows)) / (1 + df[t])) + 1) for t in kept if bag[t]}
+        norm = sqrt(sum(v * v for v in raw.values()))
+        out.update({(i, t): (bag[t], round(v / norm, 9)) for t, v in raw.items()})
+    return kept, cf, df, out
+
+
+SPECS = [
+    TfidfSpec(100),
+    TfidfSpec(3),
+    TfidfSpec(100, pairs=True),
+    TfidfSpec(100, min_df=2, max_df=0.3, pairs=True),
+    TfidfSpec(100, stop_words=("red",), pairs=True),
+]
+
+
+@pytest.mark.parametrize("spec", SPECS)
+def test_like_brute_force(texts, spec):
+    terms = frame_of(texts, spec)
+    kept, cf, df, weights = brute(CORPUS, spec)
+    rows = vocabulary(terms, spec).collect()
+    assert [(r["term"], r["cf"], r["df"]) for r in rows] == [(t, cf[t], df[t]) for t in kept]
+    got = {
+        (r["product_id"], r["term"]): (r["tf"], round(r["tfidf"], 9)) for r in fit_tfidf(terms, spec).long(terms).collect()
+    }
+    assert got == weights
+
+
+def test_rows_have_unit_length_or_none(texts):
+    spec = TfidfSpec(100, pairs=True)
+    terms = frame_of(texts, spec)
+    long = fit_tfidf(terms, spec).long(terms)
+    norms = long.groupBy("product_id").agg(F.sum(F.col("tfidf") ** 2).alias("n")).collect()
+    assert {r["product_id"] for r in norms} == {0, 1, 2, 6}
+    assert all(abs(r["n"] - 1) < 1e-12 for r in norms)
+
+
+def test_vector_of_row_without_known_terms_is_zero(texts):
+    spec = TfidfSpec(100)
+    terms = frame_of(texts, spec)
+    vectors = {r["product_id"]: r["tfidf"] for r in fit_tfidf(terms, spec).with_vector(terms).collect()}
+    assert vectors[4].numNonzeros() == 0 and vectors[4].size == len(fit_tfidf(terms, spec).terms)
+
+
+def test_hand_worked_value(texts):
+    # "red" in 2 of 3 rows, "dress" in 1: idf ln(4/3)+1 and ln(4/2)+1
+    spec = TfidfSpec(10)
+    terms = frame_of(texts, spec, ["red dress", "red", "blue"])
+    row = {r["term"]: r["tfidf"] for r in fit_tfidf(terms, spec).long(terms).where("product_id = 0").collect()}
+    a, b = log(4 / 3) + 1, log(4 / 2) + 1
+    assert abs(row["red"] - a / sqrt(a * a + b * b)) < 1e-12
+
+
+def test_suffix_and_order(texts):
+    spec = TfidfSpec(100)
+    terms = frame_of(texts, spec)
+    model = fit_tfidf(terms, spec)
+    assert list(model.terms) == sorted(model.terms)
+    assert model.feature_names("_x")[0] == "blue_x"
+    assert {r["term"] for r in model.long(terms, suffix="_x").collect()} == set(model.feature_names("_x"))
+
+
+def test_transform_of_other_rows_uses_the_fitted_vocabulary(texts):
+    spec = TfidfSpec(100)
+    model = fit_tfidf(frame_of(texts, spec), spec)
+    other = frame_of(texts, spec, ["dress unknown dress"])
+    assert [(r["term"], r["tf"], r["tfidf"]) for r in model.long(other).collect()] == [("dress", 2, 1.0)]
+
+
+def test_nothing_left_is_an_error(texts):
+    spec = TfidfSpec(100, min_df=50)
+    with pytest.raises(ValueError, match="vocabulary is empty"):
+        fit_tfidf(frame_of(texts, spec), spec)
+
+
+def test_weighing_does_not_shuffle(texts):
+    spec = TfidfSpec(100)
+    terms = frame_of(texts, spec)
+    plan = fit_tfidf(terms, spec).long(terms)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_counting_combines_before_the_shuffle(texts):
+    plan = term_counts(frame_of(texts, TfidfSpec(5)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "partial_count" in plan
