@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -162,11 +163,15 @@ def truecase_corpus(spark, folder):
     return surface_forms(listings(spark, folder))
 
 
+def stored_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """The corpus' surface forms, written once because they are measured, then looked up."""
+    return cut_lineage(surface_forms(listings(spark, folder)))
+
+
 def cased_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    rows = listings(spark, folder)
-    letters = rows.select("product_id", drop_digits(clean_description(F.col("description"))).alias("letters"))
+    letters = listings(spark, folder).select("product_id", drop_digits(clean_description(F.col("description"))).alias("letters"))
     split = letters.select("product_id", blank_split(F.col("letters")).alias("cased"))
-    return truecase(split, "cased", surface_forms(rows))
+    return truecase(split, "cased", stored_forms(spark, folder))
 
 
 @query
@@ -287,8 +292,7 @@ def gram_terms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def notebook_rows(spark: SparkSession, folder: str) -> DataFrame:
-    rows = listings(spark, folder, labelled=True)
-    return notebook_frame(rows, surface_forms(listings(spark, folder)))
+    return notebook_frame(listings(spark, folder, labelled=True), stored_forms(spark, folder))
 
 
 def description_terms(spark: SparkSession, folder: str) -> DataFrame:
@@ -564,6 +568,20 @@ def model_comparison_job(spark, folder):
     return rounded(done.comparison, "Random Forest", "Keyword Rule")
 
 
+@query
+def three_model_comparison_job(spark, folder):
+    """The forest on all test listings, two scorers on the first 20 of them."""
+    scorers = {"Keyword Rule": keyword_rule_scorer, "Tag Rule": tag_rule_scorer}
+    done = comparison_job(train_rows(spark, folder), test_rows(spark, folder), scorers)
+    return rounded(done.comparison, "Random Forest", *scorers)
+
+
+def tag_rule_scorer(prompts: list[str]) -> list[str]:
+    """The keyword rule's answer with the score as the only say."""
+    scores = [json.loads(answer)["spam_score"] for answer in keyword_rule_scorer(prompts)]
+    return [json.dumps({"is_spam": score >= 0.5, "spam_score": score}) for score in scores]
+
+
 @query
 def few_shot_scoring_job(spark, folder):
     rows = labelled(spark, folder)

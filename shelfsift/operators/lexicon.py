@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfsift.session import BROADCAST_ROWS, SALTS, small_rows
 from shelfsift.operators.token_map import salt_values
+from shelfsift.session import BROADCAST_ROWS, SALTS, fits_broadcast, table_size
 
 
 def lexicon_matches(
@@ -24,16 +24,23 @@ def lexicon_matches(
     the lexicon on that prefix, and the window must then start with the whole term.
     """
     terms = lexicon.toDF("term").where(F.length("term") > 0).distinct()
-    shortest, longest = terms.agg(F.min(F.length("term")), F.max(F.length("term"))).first()
-    if shortest is None:
+    length = F.length("term")
+    firsts = F.collect_set(F.ascii("term"))  # the first character's code point
+    measured = terms.agg(
+        F.min(length).alias("shortest"), F.max(length).alias("longest"), firsts.alias("firsts"), *table_size("term")
+    ).first()
+    if not measured["rows"]:
         return df.select(row_key, F.lit(None).cast("string").alias("term")).where(F.lit(False))
+    shortest, longest = measured["shortest"], measured["longest"]
+    first = "[" + "".join(f"\\x{{{code:x}}}" for code in sorted(measured["firsts"])) + "]"
     lowered = df.select(row_key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_text"))
-    windows = F.regexp_extract_all(F.col("_text"), F.lit(rf"(?s)(?=(.{{{shortest},{longest}}}))"), F.lit(1))
+    window = rf"(?s)(?=({first}.{{{shortest - 1},{longest - 1}}}))"
+    windows = F.regexp_extract_all(F.col("_text"), F.lit(window), F.lit(1))
     starts = lowered.select(row_key, F.explode(F.array_distinct(windows)).alias("_window")).withColumn(
         "_prefix", F.left("_window", F.lit(shortest))
     )
     keyed = terms.withColumn("_prefix", F.left("term", F.lit(shortest)))
-    if small_rows(terms, limit) is not None:
+    if fits_broadcast(measured["rows"], measured["size"], limit):
         met = starts.join(F.broadcast(keyed), "_prefix")
     else:
         starts = starts.withColumn("_salt", F.pmod(F.hash(row_key), F.lit(salts)))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfsift.session import BROADCAST_ROWS, SALTS, small_rows
+from shelfsift.session import BROADCAST_ROWS, SALTS, small_table
 
 
 def map_tokens(
@@ -27,17 +27,16 @@ def map_tokens(
 ) -> DataFrame:
     """Replace each token found in ``table`` (columns: token, replacement; tokens unique).
 
-    Tokens not found stay. A NULL replacement drops the token. Order is kept.
+    Tokens not found stay. A NULL replacement drops the token. Order is kept. A NULL token
+    list becomes an empty one.
     ``row_key`` must be unique per row; it is used only when the table is large.
     """
     output = output or tokens
     pairs = table.toDF("_token", "_value")
-    rows = small_rows(pairs, limit)
-    if rows is None:
+    small = small_table(pairs, limit)
+    if small is None:
         return _map_by_join(df, tokens, pairs, row_key, output, salts)
-    if not rows:
-        return df.withColumn(output, F.col(tokens))
-    return df.withColumn(output, _lookup(df, rows)(F.col(tokens)))
+    return df.withColumn(output, _lookup(df, small)(F.col(tokens)))
 
 
 def drop_tokens(df: DataFrame, tokens: str, words: DataFrame, **options) -> DataFrame:
@@ -46,9 +45,9 @@ def drop_tokens(df: DataFrame, tokens: str, words: DataFrame, **options) -> Data
     return map_tokens(df, tokens, gone, **options)
 
 
-def _lookup(df: DataFrame, rows: list):
+def _lookup(df: DataFrame, small: pa.Table):
     table = df.sparkSession.sparkContext.broadcast(
-        (pa.array([row[0] for row in rows], pa.string()), pa.array([row[1] for row in rows], pa.string()))
+        tuple(column.cast(pa.string()).combine_chunks() for column in small.columns)
     )
 
     @F.arrow_udf(T.ArrayType(T.StringType()))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfsift.functions.text import blank_split, surface_text
 from shelfsift.operators.token_map import map_tokens, salt_values
-from shelfsift.session import BROADCAST_ROWS, SALTS, small_rows
+from shelfsift.session import BROADCAST_ROWS, SALTS, fits_broadcast, table_size
 
 
 def surface_forms(df: DataFrame, text: str = "description") -> DataFrame:
@@ -59,10 +59,10 @@ def gazetteer_entities(
     join: the names are copied to executors if few, else both sides shuffle, salted.
     """
     table = names.toDF("_name").where(F.col("_name").isNotNull()).distinct()
-    longest = table.agg(F.max(F.size(F.split("_name", " ")))).first()[0] or 1
-    runs = [token_runs(F.col(tokens), width) for width in range(1, longest + 1)]
+    measured = table.agg(F.max(F.size(F.split("_name", " "))).alias("longest"), *table_size("_name")).first()
+    runs = [token_runs(F.col(tokens), width) for width in range(1, (measured["longest"] or 1) + 1)]
     found = df.select(row_key, F.explode(F.array_distinct(F.concat(*runs))).alias("_name"))
-    if small_rows(table, limit) is not None:
+    if fits_broadcast(measured["rows"], measured["size"], limit):
         hits = found.join(F.broadcast(table), "_name")
     else:
         found = found.withColumn("_salt", F.pmod(F.hash(row_key), F.lit(salts)))

@@ -41,7 +41,7 @@ class NotebookResult:
 def notebook_job(train: DataFrame, test: DataFrame, fit_on: str = "train", **options) -> NotebookResult:
     """Union, clean, features, entities, two TF-IDF blocks, boosted trees, accuracy, importances."""
     both = union_listings(train, test)
-    frame = cut_lineage(notebook_frame(both, surface_forms(both)))
+    frame = cut_lineage(notebook_frame(both, cut_lineage(surface_forms(both))))
     model = fit_boosted(frame, fit_on, **options)
     tested = frame.where((F.col("split") == "test") & F.col("label").isNotNull())
     learnt = frame.where(F.col("label").isNotNull())

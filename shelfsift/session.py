@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-# Rows of a side table that may be copied to every executor. Above it, joins shuffle.
-BROADCAST_ROWS = 200_000
+# A side table may be copied to every executor up to these sizes. Above them, joins shuffle.
+BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 # Rows a shuffled lookup is spread over per key, so one hot key never lands in one task.
 SALTS = 32
 
@@ -20,6 +23,7 @@ def build_session(app: str = "shelfsift", master: str | None = None, **conf: str
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **{name.replace("__", "."): value for name, value in conf.items()},
     }
     builder = SparkSession.builder.appName(app)
@@ -58,10 +62,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_rows(df: DataFrame, limit: int = BROADCAST_ROWS) -> list | None:
-    """The rows of ``df`` if there are at most ``limit`` of them, else None.
+def fits_broadcast(rows: int, size: int | None, limit: int = BROADCAST_ROWS) -> bool:
+    """Whether a table of so many rows and text bytes may be copied to every executor."""
+    return rows <= limit and (size or 0) <= BROADCAST_BYTES
 
-    At most ``limit + 1`` rows ever reach the driver.
+
+def table_size(*columns: str) -> list[Column]:
+    """Aggregates that measure a table of text columns: its rows and its bytes."""
+    size = sum((F.coalesce(F.octet_length(name), F.lit(0)) for name in columns), F.lit(0))
+    return [F.count("*").alias("rows"), F.sum(size.cast("bigint")).alias("size")]
+
+
+def small_table(df: DataFrame, limit: int = BROADCAST_ROWS) -> pa.Table | None:
+    """The rows of a table of text columns if they may be copied to every executor, else None.
+
+    The table is measured first, so nothing larger ever reaches the driver. It is read
+    twice: give a stored one (``cut_lineage``) where computing it is costly.
     """
-    rows = df.limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None
+    measured = df.agg(*table_size(*df.columns)).first()
+    return df.toArrow() if fits_broadcast(measured["rows"], measured["size"], limit) else None

@@ -134,5 +134,20 @@ def test_scorer_result_is_written_before_it_is_read(sides):
     assert "MapInPandas" not in plan
 
 
+def test_scorer_is_asked_once_per_listing(sides, tmp_path):
+    """Checkpointing must not run the scorer a second time."""
+    log = str(tmp_path / "calls")
+
+    def counting(prompts):
+        with open(log, "a") as calls:
+            calls.write("x" * len(prompts))
+        return keyword_rule_scorer(prompts)
+
+    done = few_shot_job(sides[1], counting, use_all=True)
+    done.report.collect(), done.metrics.collect()
+    with open(log) as calls:
+        assert len(calls.read()) == sides[1].count()
+
+
 def test_feature_columns_do_not_leak_helpers(rows):
     assert [c for c in with_listing_features(rows).columns if c.startswith("_")] == []

@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 MODEL_ONLY = {
     "rf_predictions", "gbt_predictions", "feature_importance", "boosting_logloss", "notebook_classifier_job",
-    "model_comparison_job", "hybrid_evaluation_job",
+    "model_comparison_job", "three_model_comparison_job", "hybrid_evaluation_job",
 }
 
 
@@ -40,6 +40,9 @@ def test_like_sql(spark, database, name):
     assert sorted(result.columns) == sorted(columns)
     rows = in_name_order([tuple(row) for row in result.collect()], result.columns)
     assert rows == in_name_order(answer.fetchall(), columns) and rows
+    # nothing may pair every row with every row
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
 @pytest.mark.parametrize("name", ["rf_predictions", "gbt_predictions"])
