@@ -72,18 +72,27 @@ def _lookup(df: DataFrame, small: pa.Table):
 def _map_by_join(
     df: DataFrame, tokens: str, pairs: DataFrame, row_key: str, output: str, salts: int
 ) -> DataFrame:
-    exploded = df.select(row_key, F.posexplode_outer(tokens).alias("_pos", "_token")).withColumn(
-        "_salt", F.pmod(F.hash(row_key, "_pos"), F.lit(salts))
+    """Each row's distinct tokens meet the table; only the hits come back, as one small map per row."""
+    wanted = df.select(row_key, F.explode(F.array_distinct(tokens)).alias("_token")).withColumn(
+        "_salt", F.pmod(F.hash(row_key), F.lit(salts))
     )
-    copies = pairs.withColumn("_found", F.lit(True)).withColumn("_salt", salt_values(salts))
-    mapped = exploded.join(copies, ["_token", "_salt"], "left").select(
-        row_key, "_pos", F.when(F.col("_found"), F.col("_value")).otherwise(F.col("_token")).alias("_token")
+    copies = pairs.withColumn("_salt", salt_values(salts))
+    hit = F.struct("_token", F.struct("_value").alias("_hit"))
+    maps = (
+        wanted.join(copies, ["_token", "_salt"])
+        .groupBy(row_key)
+        .agg(F.map_from_entries(F.collect_list(hit)).alias("_map"))
     )
-    regrouped = mapped.groupBy(row_key).agg(
-        F.sort_array(F.collect_list(F.when(F.col("_token").isNotNull(), F.struct("_pos", "_token")))).alias("_sorted")
+    met = df.join(maps, row_key, "left").withColumn(
+        "_map", F.coalesce("_map", F.create_map().cast("map<string,struct<_value:string>>"))
     )
-    kept = F.coalesce(F.col("_sorted._token"), F.array().cast("array<string>"))
-    return df.drop(output).join(regrouped, row_key, "left").withColumn(output, kept).drop("_sorted")
+
+    def replaced(token: Column) -> Column:
+        found = F.try_element_at("_map", token)
+        return F.when(found.isNotNull(), found["_value"]).otherwise(token)
+
+    mapped = F.array_compact(F.transform(F.coalesce(tokens, F.array().cast("array<string>")), replaced))
+    return met.withColumn(output, mapped).drop("_map")
 
 
 def salt_values(salts: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfsift.functions.text import blank_split, surface_text
+from shelfsift.functions.text import blank_split, drop_digits, surface_text
 from shelfsift.operators.token_map import map_tokens, salt_values
 from shelfsift.session import BROADCAST_ROWS, SALTS, fits_broadcast, table_size
 
@@ -16,9 +16,8 @@ def surface_forms(df: DataFrame, text: str = "description") -> DataFrame:
     Equal counts go to the greater form. Both counts combine map-side, so a word that
     makes up a third of the corpus costs one row per task.
     """
-    words = df.select(F.explode(blank_split(surface_text(F.col(text)))).alias("token"))
-    letters = words.select(F.translate("token", "0123456789", "").alias("form")).where(F.col("form") != "")
-    counted = letters.groupBy("form").agg(F.count("*").alias("n"))
+    words = df.select(F.explode(blank_split(drop_digits(surface_text(F.col(text))))).alias("form"))
+    counted = words.where(F.col("form") != "").groupBy("form").agg(F.count("*").alias("n"))
     return counted.groupBy(F.lower("form").alias("lower_form")).agg(
         F.max_by("form", F.struct("n", "form")).alias("best_form"), F.max("n").alias("n")
     )

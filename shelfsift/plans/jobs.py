@@ -124,6 +124,7 @@ def comparison_job(
         scored = score_listings(subset, scorer).withColumnRenamed("is_spam", "prediction")
         rows = subset.select("product_id", "label").join(scored, "product_id").withColumn("model", F.lit(name))
         judged = judged.unionByName(rows.select(*columns))
+    judged = cut_lineage(judged)  # read by both tables below
     names = ["Random Forest", *scorers]
     return ComparisonResult(
         model, judged, classification_report(judged, by=("model",)), model_comparison(judged, names)
@@ -148,7 +149,7 @@ def hybrid_job(train: DataFrame, test: DataFrame, scorer: Scorer, **options) ->
         "product_id", F.col("is_spam").alias("llm"), F.col("spam_score").alias("llm_score"),
         F.col("reasoning").alias("llm_reasoning"),
     )
-    scored = with_hybrid(classical.join(scorer_rows, "product_id"))
+    scored = cut_lineage(with_hybrid(classical.join(scorer_rows, "product_id")))
     stacked = scored.select(
         "label",
         F.inline(

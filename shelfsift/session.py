@@ -22,6 +22,10 @@ def build_session(app: str = "shelfsift", master: str | None = None, **conf: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # texts are long: keep the batches that go to Python small
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+        # a response that repeats a JSON key counts with its last value
+        "spark.sql.variant.allowDuplicateKeys": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **{name.replace("__", "."): value for name, value in conf.items()},

@@ -39,6 +39,10 @@ RESPONSES = [
     "",
     None,
     '{"is_spam": -2.5e0, "spam_score": 1e-1}',
+    '{"is_spam": true, "is_spam": false, "spam_score": 0.1, "spam_score": 0.2}',
+    "[[{\"is_spam\": true}]]",
+    '{"is_spam": true, "reasoning": "a } brace { inside"}',
+    '{"is_spam": 9007199254740993, "spam_score": 0.123456789012345}',
 ]
 
 
