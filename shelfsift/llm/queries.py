@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsift.llm import token_archive
+from shelfsift.llm import packing, token_archive
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -22,6 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2, temperature=0.7)
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_archive.write_token_files(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
     rows = token_archive.read_token_files(spark, folder)
@@ -29,6 +34,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mixture_packing": op2_mixture_packing,
     "op10_token_files": op10_token_files,
 }
 
