@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsift.llm import packing, token_archive
+from shelfsift.llm import packing, quality_rules, simhash, token_archive
+from shelfsift.llm.support import hex_lower
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -27,6 +28,60 @@ def op2_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op6_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_rules.ledger(table(spark, sf_dir, "documents"))
+    base = ~quality_rules.kept("base-1")
+    return rows.select(
+        "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        base.alias("base_failed"), (~base & quality_rules.kept()).alias("kept"), "fail_bits",
+    )
+
+
+OP6_SQL = """
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+cut AS (
+  SELECT r, doc_id, t,
+    list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+  FROM docs),
+each AS (SELECT r, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM cut),
+windows AS (
+  SELECT r, i, w AS a, lead(w) OVER spot AS b, lead(w, 2) OVER spot AS c
+  FROM each WINDOW spot AS (PARTITION BY r ORDER BY i)),
+twice AS (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM windows WHERE c IS NOT NULL),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) AS s(k) WHERE n > 1 GROUP BY r),
+measured AS (
+  SELECT doc_id, len(words) AS n_words,
+    length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    coalesce(covered.n, 0) AS n_repeat_words,
+    len(lines) AS n_lines,
+    length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_capitals,
+    len(list_filter(lines, lambda x: regexp_matches(x, '^[\\x20\\x09-\\x0D]*[-*•]'))) AS n_bullet_lines,
+    len(list_filter(lines, lambda x: regexp_matches(x, '(\\.\\.\\.|…)[\\x20\\x09-\\x0D]*$'))) AS n_ellipsis_lines
+  FROM cut LEFT JOIN covered USING (r)),
+ruled AS (
+  SELECT *,
+    CAST(n_words < 50 AS BIGINT) + 2 * CAST(100 * n_repeat_words > 50 * n_words AS BIGINT)
+    + 4 * CAST(n_words > 100000 AS BIGINT) + 8 * CAST(100 * n_words > 50 * word_chars AS BIGINT)
+    + 16 * CAST(word_chars > 15 * n_words AS BIGINT) + 32 * CAST(100 * n_symbols > 25 * n_words AS BIGINT)
+    + 64 * CAST(n_lines > 1 AND 100 * n_dup_lines > 50 * n_lines AS BIGINT)
+    + 128 * CAST(100 * n_capitals > 50 * word_chars AS BIGINT)
+    + 256 * CAST(n_lines > 1 AND 100 * n_bullet_lines > 90 * n_lines AS BIGINT)
+    + 512 * CAST(n_lines > 1 AND 100 * n_ellipsis_lines > 30 * n_lines AS BIGINT) AS fail_bits
+  FROM measured)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits
+FROM ruled
+"""
+
+
+def op9_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, limit=2)
+    return found.select("doc_id", hex_lower(F.col("fp"), 16).alias("fingerprint"), "component_id")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_archive.write_token_files(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
     rows = token_archive.read_token_files(spark, folder)
@@ -35,7 +90,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixture_packing": op2_mixture_packing,
+    "op6_rule_ledger": op6_rule_ledger,
+    "op9_gray_simhash": op9_gray_simhash,
     "op10_token_files": op10_token_files,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op6_rule_ledger": OP6_SQL,
+}
