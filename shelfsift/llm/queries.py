@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsift.llm import packing, quality_rules, simhash, token_archive
+from shelfsift.llm import packing, quality_rules, sanitize, simhash, token_archive
 from shelfsift.llm.support import hex_lower
 
 TOKENIZER = "word_bpe_49k.json"
@@ -77,6 +77,16 @@ FROM ruled
 """
 
 
+def op8_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sanitize.find(table(spark, sf_dir, "documents"))
+    return found.select(
+        "row.doc_id",
+        *(F.size(kind).cast("bigint").alias(f"n_{kind}") for kind in sanitize.KINDS),
+        F.sha2(sanitize.span_list(*sanitize.KINDS), 256).alias("base_sha256"),
+        sanitize.span_list(*sanitize.KINDS, "term").alias("spans"),
+    )
+
+
 def op9_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, limit=2)
     return found.select("doc_id", hex_lower(F.col("fp"), 16).alias("fingerprint"), "component_id")
@@ -91,6 +101,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixture_packing": op2_mixture_packing,
     "op6_rule_ledger": op6_rule_ledger,
+    "op8_sanitisation": op8_sanitisation,
     "op9_gray_simhash": op9_gray_simhash,
     "op10_token_files": op10_token_files,
 }

@@ -1,0 +1,110 @@
+import hashlib
+import math
+import re
+from collections import defaultdict
+
+from test_llm_common import SMALL
+
+from shelfsift.llm import sanitize as S
+from shelfsift.llm.queries import op8_sanitisation
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def valid(kind, value):
+    digits = re.sub("[^0-9]", "", value)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in value.split("."))
+    if kind == "card":
+        worth = [int(d) * (1 + i % 2) for i, d in enumerate(reversed(digits))]
+        return 16 <= len(digits) <= 19 and sum(w - 9 if w > 9 else w for w in worth) % 10 == 0
+    return kind == "email" or 8 <= len(digits) <= 15
+
+
+def plain_base(text):
+    return {k: [m.span() for m in re.finditer(p, text or "") if valid(k, m[0])] for k, p in PLAIN.items()}
+
+
+TRICKY = [
+    "a@b.c_d@e.f x@y a.b@c.d.e-f..g @q.r %+-@a.b", "1.2.3.4.5.6.7.8 256.1.1.1 000255.1.2.3 1.2.3 4.5.6.7 99999999999.1.1.1",
+    "4111 1111 1111 1111 4111-1111-1111-1112 4111111111111111, 12 34", "+1 (487) 555-7209. +49 30 1234567) +1234567 +1--2 ++12345678",
+    "+1.2.3.4@x.yy 4111111111111111.1.1.1 é👍🏽 +44 20 7946 0958 ж a@b.cc", "9" * 5000 + " " + "a" * 5000 + "@" + "1." * 3000,
+    "x+1 2345678@d.e", "", None,
+]
+
+
+def test_base_spans_of_tricky_texts(spark):
+    frame = spark.createDataFrame(list(enumerate(TRICKY)), "doc_id int, text string")
+    for row in S.base_spans(frame).collect():
+        expected = plain_base(TRICKY[row["row"]["doc_id"]])
+        assert {k: [(s["start"], s["end"]) for s in row[k]] for k in S.KINDS} == expected
+
+
+def plain_terms(docs, threshold, least):
+    """Spans of disclosing terms per row, by the definition."""
+    edge = re.compile("^[!-/:-@\\[-`{-~¡¿«»„“”‘’…]+|[!-/:-@\\[-`{-~¡¿«»„“”‘’…]+$")
+    words = lambda t: [(m.start(), m[0]) for m in re.finditer("[^\x20\x09-\x0d]+", t)]
+    holding, with_term, both, seen = defaultdict(set), defaultdict(set), defaultdict(set), []
+    for i, text in enumerate(docs):
+        text = text or ""
+        for _, w in words(text.lower()):
+            with_term[edge.sub("", w)].add(i)
+        for kind, spans in plain_base(text).items():
+            for a, b in spans:
+                value = text[a:b]
+                entity = (kind, value.lower() if kind in ("email", "ip") else re.sub("[^0-9]", "", value))
+                left = [(at, w) for at, w in words(text[:a])][-S.CONTEXT_WORDS :]
+                right = [(b + at, w) for at, w in words(text[b:])][: S.CONTEXT_WORDS]
+                for at, w in left + right:
+                    bare = edge.sub("", w)
+                    if bare:
+                        at += w.index(bare)
+                        holding[entity].add(i)
+                        both[entity, bare.lower()].add(i)
+                        seen.append((i, entity, bare.lower(), at, at + len(bare)))
+    spans = defaultdict(set)
+    for i, entity, term, a, b in seen:
+        n = len(both[entity, term])
+        information = -math.log2(len(holding[entity]) / len(docs))
+        if n >= least and information > 0:
+            pmi = math.log2(n * len(docs) / (len(holding[entity]) * len(with_term[term])))
+            if pmi >= threshold * information - 1e-9:
+                spans[i].add((a, b))
+    return {i: sorted(s) for i, s in spans.items()}
+
+
+def test_whole_table_base(spark):
+    docs = {d["doc_id"]: d["text"] for d in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    rows = op8_sanitisation(spark, SMALL).collect()
+    assert len(rows) == len(docs)
+    for row in rows:
+        base = plain_base(docs[row["doc_id"]])
+        named = ",".join(f"{k}:{a}:{b}" for k in S.KINDS for a, b in base[k])
+        assert row["base_sha256"] == hashlib.sha256(named.encode()).hexdigest()
+        assert [row[f"n_{k}"] for k in S.KINDS] == [len(base[k]) for k in S.KINDS]
+        assert row["spans"].startswith(named)
+
+
+def test_terms_by_definition_and_text(spark):
+    texts = [f"Meet Zorblat, the plumber; mail z@b.cc room 4711 or +1 234 567 89{i % 10}. Filler word {i}" for i in range(12)]
+    texts += [f"The plumber came by, word {i} or mail" for i in range(20)] + ["c@d.ee Zorblat's", None, ""]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    rows = {r["row"]["doc_id"]: r for r in S.find(frame).collect()}
+    expected = plain_terms(texts, S.DISCLOSURE, S.LEAST_DOCUMENTS)
+    assert {i: [(s["start"], s["end"]) for s in r["term"]] for i, r in rows.items() if r["term"]} == expected
+    assert expected
+    cleaned = {r["doc_id"]: r["text"] for r in S.sanitize(frame).collect()}
+    assert "Zorblat" not in cleaned[0] and "z@b.cc" not in cleaned[0] and "[NUMBER]" in cleaned[0] and "[EMAIL]" in cleaned[0]
+    assert "plumber" in cleaned[0] and cleaned[15] == texts[15] and cleaned[33] is None and cleaned[34] == ""
+
+
+def test_awkward_rows(spark, awkward, no_documents):
+    out = S.sanitize(awkward)
+    assert out.columns == awkward.columns and out.count() == 12
+    assert [r["text"] for r in out.where("doc_id = 10").collect()] == ["[EMAIL] [IP]"]
+    assert S.find(no_documents).collect() == []
