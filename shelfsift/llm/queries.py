@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsift.llm import hash_tree, packing, quality_rules, sanitize, simhash, token_archive
+from shelfsift.llm import hash_tree, legacy_archive, packing, quality_rules, sanitize, simhash, token_archive
 from shelfsift.llm.support import hex_lower
 
 TOKENIZER = "word_bpe_49k.json"
@@ -32,6 +32,23 @@ def op3_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_tree.assign(table(spark, sf_dir, "documents"))
 
 
+def op4_legacy_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arcs = legacy_archive.write_arc(table(spark, sf_dir, "pages"))
+    records = legacy_archive.read_warc(spark, legacy_archive.convert(spark, arcs))
+    return legacy_archive.resolve(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP4_SQL = """
+WITH sized AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+first AS (SELECT payload_digest, min(page_id) AS least FROM sized GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes < 100 OR page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN payload_bytes < 100 OR page_id = least THEN NULL ELSE least END AS refers_to
+FROM sized JOIN first USING (payload_digest)
+"""
+
+
 def op6_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.ledger(table(spark, sf_dir, "documents"))
     base = ~quality_rules.kept("base-1")
@@ -105,6 +122,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixture_packing": op2_mixture_packing,
     "op3_hash_tree": op3_hash_tree,
+    "op4_legacy_archive": op4_legacy_archive,
     "op6_rule_ledger": op6_rule_ledger,
     "op8_sanitisation": op8_sanitisation,
     "op9_gray_simhash": op9_gray_simhash,
@@ -112,5 +130,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op4_legacy_archive": OP4_SQL,
     "op6_rule_ledger": OP6_SQL,
 }
