@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsift.llm import hash_tree, legacy_archive, packing, quality_rules, sanitize, simhash, token_archive
+from shelfsift.llm import hash_tree, legacy_archive, packing, pivot_index, quality_rules, sanitize, simhash, token_archive
 from shelfsift.llm.support import hex_lower
 
 TOKENIZER = "word_bpe_49k.json"
@@ -98,6 +98,10 @@ FROM ruled
 """
 
 
+def op7_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_index.near_duplicates(table(spark, sf_dir, "embeddings"), least_cosine=0.95)
+
+
 def op8_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sanitize.find(table(spark, sf_dir, "documents"))
     return found.select(
@@ -124,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_hash_tree": op3_hash_tree,
     "op4_legacy_archive": op4_legacy_archive,
     "op6_rule_ledger": op6_rule_ledger,
+    "op7_pivot_index": op7_pivot_index,
     "op8_sanitisation": op8_sanitisation,
     "op9_gray_simhash": op9_gray_simhash,
     "op10_token_files": op10_token_files,
