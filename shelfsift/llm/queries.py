@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsift.llm import hash_tree, legacy_archive, packing, pivot_index, quality_rules, sanitize, simhash, token_archive
+from shelfsift.llm import hash_tree, legacy_archive, license_scan, packing, pivot_index, quality_rules, sanitize, simhash, token_archive
 from shelfsift.llm.support import hex_lower
 
 TOKENIZER = "word_bpe_49k.json"
@@ -23,6 +23,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.summary(license_scan.scan(table(spark, sf_dir, "documents")))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+OP1_SQL = f"""
+WITH templates(k, license, body) AS (
+  VALUES {", ".join(f"({k}, {_quoted(n)}, {_quoted(t)})" for k, (n, t) in enumerate(license_scan.TEMPLATES))}),
+template_words AS (
+  SELECT k, license, list_transform(regexp_extract_all(body, '[A-Za-z0-9]+(?:\\.[0-9]+)*'), lambda w: lower(w)) AS ws
+  FROM templates),
+template_grams AS (
+  SELECT DISTINCT k, license, a, b FROM (
+    SELECT k, license, unnest(ws[:-2]) AS a, unnest(ws[2:]) AS b FROM template_words)),
+template_sizes AS (SELECT k, license, count(*) AS size FROM template_grams GROUP BY ALL),
+docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+all_lines AS (SELECT r, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS n FROM docs),
+own AS (
+  SELECT r, n, list_transform(regexp_extract_all(line, '[A-Za-z0-9]+(?:\\.[0-9]+)*'), lambda w: lower(w)) AS ws
+  FROM all_lines WHERE NOT regexp_matches(line, '^[\\x20\\x09-\\x0D]*(?i:copyright|\\(c\\)|©)')),
+grouped AS (SELECT *, sum(CAST(len(ws) = 0 AS INT)) OVER (PARTITION BY r ORDER BY n) AS p FROM own),
+worded AS (SELECT * FROM grouped WHERE len(ws) > 0),
+units AS (
+  SELECT r, n AS first_line, ws FROM worded
+  UNION ALL
+  SELECT r, min(n), flatten(list(ws ORDER BY n)) FROM worded GROUP BY r, p HAVING count(*) > 1
+  UNION ALL
+  SELECT r, min(n), flatten(list(ws ORDER BY n)) FROM worded GROUP BY r HAVING count(DISTINCT p) > 1),
+numbered AS (SELECT row_number() OVER () AS u, * FROM units),
+grams AS (
+  SELECT DISTINCT u, a, b FROM (SELECT u, unnest(ws[:-2]) AS a, unnest(ws[2:]) AS b FROM numbered WHERE len(ws) > 1)),
+sizes AS (SELECT u, count(*) AS size FROM grams GROUP BY u),
+shared AS (SELECT u, k, license, count(*) AS n FROM grams JOIN template_grams USING (a, b) GROUP BY ALL),
+scored AS (
+  SELECT u, s.license, 2.0 * n / (sizes.size + t.size) AS dice
+  FROM shared s JOIN sizes USING (u) JOIN template_sizes t USING (k)),
+hits AS (
+  SELECT u, license, dice FROM scored WHERE dice >= {license_scan.LEAST_DICE}
+  QUALIFY row_number() OVER (PARTITION BY u ORDER BY dice DESC, license) = 1),
+placed AS (SELECT r, license, dice, first_line FROM hits JOIN numbered USING (u)),
+summed AS (
+  SELECT r, count(*) AS n_hits, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses,
+    first(license ORDER BY dice DESC, license, first_line) AS best_license,
+    first(dice ORDER BY dice DESC, license, first_line) AS best_dice,
+    first(first_line ORDER BY dice DESC, license, first_line) AS best_line
+  FROM placed GROUP BY r)
+SELECT doc_id, coalesce(n_hits, 0) AS n_hits, coalesce(licenses, '') AS licenses, best_license,
+  CAST(round(best_dice, 6) AS DOUBLE) AS best_dice, best_line
+FROM docs LEFT JOIN summed USING (r)
+"""
+
+
 def op2_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2, temperature=0.7)
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -124,6 +179,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_mixture_packing": op2_mixture_packing,
     "op3_hash_tree": op3_hash_tree,
     "op4_legacy_archive": op4_legacy_archive,
@@ -135,6 +191,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_license_scan": OP1_SQL,
     "op4_legacy_archive": OP4_SQL,
     "op6_rule_ledger": OP6_SQL,
 }
