@@ -94,7 +94,6 @@ class Encoder:
         self._letters = _byte_letters()
         self._pieces = _Remembered(self._by_model)
         self._words = _Remembered(self._by_library)
-        self._names = None
 
     def _by_model(self, piece: str) -> bytes:
         word = "".join([self._letters[b] for b in piece.encode()])
@@ -117,14 +116,6 @@ class Encoder:
             for w in _WORDS.findall(text)
         )
 
-    def decode(self, ids: np.ndarray) -> str:
-        """As the library's ``decode(ids, skip_special_tokens=False)``: without a decoder, names joined by blanks."""
-        if self.library.decoder is not None:
-            return self.library.decode(ids.tolist(), skip_special_tokens=False)
-        if self._names is None:
-            self._names = [self.library.id_to_token(i) for i in range(self.library.get_vocab_size())]
-        return " ".join(map(self._names.__getitem__, ids.tolist()))
-
 
 _encoders: dict[str, Encoder] = {}
 

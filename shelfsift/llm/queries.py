@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsift.llm import hash_tree, legacy_archive, license_scan, packing, pivot_index, quality_rules, sanitize, simhash, token_archive
+from shelfsift.llm import chunk_reuse, hash_tree, legacy_archive, license_scan, packing, pivot_index, quality_rules, sanitize, simhash, token_archive
 from shelfsift.llm.support import hex_lower
 
 TOKENIZER = "word_bpe_49k.json"
@@ -104,6 +104,16 @@ FROM sized JOIN first USING (payload_digest)
 """
 
 
+def op5_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = chunk_reuse.encode(table(spark, sf_dir, "documents"), tokenizer_path())
+    return chunk_reuse.decode(encoded, tokenizer_path()).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+    )
+
+
 def op6_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.ledger(table(spark, sf_dir, "documents"))
     base = ~quality_rules.kept("base-1")
@@ -183,6 +193,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixture_packing": op2_mixture_packing,
     "op3_hash_tree": op3_hash_tree,
     "op4_legacy_archive": op4_legacy_archive,
+    "op5_chunk_reuse": op5_chunk_reuse,
     "op6_rule_ledger": op6_rule_ledger,
     "op7_pivot_index": op7_pivot_index,
     "op8_sanitisation": op8_sanitisation,

@@ -31,7 +31,6 @@ def test_encoder_agrees_with_the_library(tokenizer, library):
     for text in odd_texts(4000):
         ids = by_library(library, text)
         assert np.frombuffer(fast.encode(text), "<u4").tolist() == ids
-        assert fast.decode(np.array(ids, int)) == library.decode(ids, skip_special_tokens=False)
 
 
 def test_encoder_memory_turns_over(tokenizer, library, monkeypatch):
