@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 from shelfsift.llm.components import components
 from shelfsift.llm.support import column, inputs, stored
 
-BLOCK = 4096  # fingerprints in a block, about
+BLOCK = 512  # fingerprints in a block, about
 MAX_BLOCKS = 1 << 16
 LEAF = 16
 FANOUT = 8
