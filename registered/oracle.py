@@ -151,7 +151,16 @@ features AS (
   FROM cased)"""
 FEATURED = ",\n".join([LISTINGS, CLEANED, FEATURES])
 
-DESCRIPTIONS = f"described AS (SELECT *, {ascii_surface('lower(description)')} AS clean_description FROM listings)"
+DESCRIPTIONS = ",\n".join([CLEANED, CLEAN_WORDS, LEMMA_DICTIONARY, f"""
+plain_described AS (SELECT *, {ascii_surface('lower(description)')} AS clean_description FROM listings),
+plain_pieces AS (
+  SELECT product_id, unnest(string_split(clean_description, ' ')) AS word,
+    generate_subscripts(string_split(clean_description, ' '), 1) AS pos FROM plain_described),
+lemma_texts AS (
+  SELECT p.product_id, string_agg(coalesce(d.lemma, p.word), ' ' ORDER BY p.pos) AS lemma_text
+  FROM plain_pieces p LEFT JOIN dictionary d ON d.form = p.word GROUP BY p.product_id),
+described AS (
+  SELECT p.* REPLACE (l.lemma_text AS clean_description) FROM plain_described p JOIN lemma_texts l USING (product_id))"""])
 LETTERS = "letters AS (SELECT *, regexp_replace(clean_description, '[0-9]', '', 'g') AS letters FROM described)"
 NOTEBOOK = f"""
 pieces AS (SELECT *, string_split(clean_description, ' ') AS piece FROM described),

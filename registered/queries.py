@@ -15,7 +15,6 @@ from shelfsift.functions.responses import parse_responses
 from shelfsift.functions.text import (
     bigrams,
     blank_split,
-    clean_description,
     clean_text,
     drop_digits,
     join_tokens,
@@ -27,7 +26,7 @@ from shelfsift.functions.text import (
 )
 from shelfsift.operators.html_cells import code_cells, code_like, page_scripts
 from shelfsift.operators.hybrid import explain, with_hybrid
-from shelfsift.operators.lemmas import corpus_dictionary, lemmatize, preprocess
+from shelfsift.operators.lemmas import corpus_dictionary, lemmatised_description, lemmatize, preprocess
 from shelfsift.operators.lexicon import lexicon_counts, lexicon_matches
 from shelfsift.operators.metrics import (
     class_counts,
@@ -144,18 +143,20 @@ def preprocess_query(spark, folder):
     return kept.select("product_id", join_tokens(F.col("tokens")).alias("preprocessed"))
 
 
+def described(spark: SparkSession, folder: str) -> DataFrame:
+    """The notebook path's cleaned descriptions, lemmas included."""
+    cleaned = lemmatised_description(listings(spark, folder), dictionary(spark, folder))
+    return cleaned.select("product_id", "clean_description")
+
+
 @query
 def clean_description_query(spark, folder):
-    return listings(spark, folder).select(
-        "product_id", clean_description(F.col("description")).alias("clean_description")
-    )
+    return described(spark, folder)
 
 
 @query
 def drop_digits_query(spark, folder):
-    return listings(spark, folder).select(
-        "product_id", drop_digits(clean_description(F.col("description"))).alias("letters")
-    )
+    return described(spark, folder).select("product_id", drop_digits(F.col("clean_description")).alias("letters"))
 
 
 @query
@@ -169,7 +170,7 @@ def stored_forms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cased_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    letters = listings(spark, folder).select("product_id", drop_digits(clean_description(F.col("description"))).alias("letters"))
+    letters = described(spark, folder).select("product_id", drop_digits(F.col("clean_description")).alias("letters"))
     split = letters.select("product_id", blank_split(F.col("letters")).alias("cased"))
     return truecase(split, "cased", stored_forms(spark, folder))
 
@@ -207,9 +208,7 @@ def spam_features(spark, folder):
 
 @query
 def notebook_features(spark, folder):
-    cleaned = listings(spark, folder).select(
-        "product_id", clean_description(F.col("description")).alias("clean_description")
-    )
+    cleaned = described(spark, folder)
     return rounded(with_notebook_features(cleaned), *NOTEBOOK_FEATURES).drop("clean_description")
 
 
@@ -232,7 +231,7 @@ def lexicon_terms(spark, folder):
 
 @query
 def model_frame(spark, folder):
-    cleaned = labelled(spark, folder).withColumn("clean_description", clean_description(F.col("description")))
+    cleaned = lemmatised_description(labelled(spark, folder), dictionary(spark, folder))
     featured = with_notebook_features(cleaned).drop("description", "clean_description", "split")
     return rounded(featured, *NOTEBOOK_FEATURES).withColumn("label", F.col("label").cast("bigint"))
 
@@ -292,12 +291,13 @@ def gram_terms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def notebook_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return notebook_frame(listings(spark, folder, labelled=True), stored_forms(spark, folder))
+    rows = listings(spark, folder, labelled=True)
+    return notebook_frame(rows, stored_forms(spark, folder), dictionary(spark, folder)).drop("description")
 
 
 def description_terms(spark: SparkSession, folder: str) -> DataFrame:
-    letters = listings(spark, folder).select(
-        "product_id", drop_digits(clean_description(F.col("description"))).alias("clean_description")
+    letters = described(spark, folder).select(
+        "product_id", drop_digits(F.col("clean_description")).alias("clean_description")
     )
     return word_terms(letters).select("product_id", "terms")
 
@@ -557,14 +557,16 @@ def boosting_logloss(spark, folder):
 @query
 def notebook_classifier_job(spark, folder):
     train, test = (rows(spark, folder).drop("split") for rows in (train_rows, test_rows))
-    return rounded(notebook_job(train, test).metrics, "accuracy", "precision", "recall", "f1_score")
+    done = notebook_job(train, test, dictionary=dictionary(spark, folder))
+    return rounded(done.metrics, "accuracy", "precision", "recall", "f1_score")
 
 
 @query
 def model_comparison_job(spark, folder):
     done = comparison_job(
-        train_rows(spark, folder), test_rows(spark, folder), {"Keyword Rule": keyword_rule_scorer}, head_rows=None
-    )
+        train_rows(spark, folder), test_rows(spark, folder), {"Keyword Rule": keyword_rule_scorer}, head_rows=None,
+        dictionary=dictionary(spark, folder),
+    )
     return rounded(done.comparison, "Random Forest", "Keyword Rule")
 
 
@@ -572,7 +574,9 @@ def model_comparison_job(spark, folder):
 def three_model_comparison_job(spark, folder):
     """The forest on all test listings, two scorers on the first 20 of them."""
     scorers = {"Keyword Rule": keyword_rule_scorer, "Tag Rule": tag_rule_scorer}
-    done = comparison_job(train_rows(spark, folder), test_rows(spark, folder), scorers)
+    done = comparison_job(
+        train_rows(spark, folder), test_rows(spark, folder), scorers, dictionary=dictionary(spark, folder)
+    )
     return rounded(done.comparison, "Random Forest", *scorers)
 
 
@@ -597,7 +601,9 @@ def few_shot_scoring_report(spark, folder):
 
 @query
 def hybrid_evaluation_job(spark, folder):
-    done = hybrid_job(train_rows(spark, folder), labelled(spark, folder), keyword_rule_scorer)
+    done = hybrid_job(
+        train_rows(spark, folder), labelled(spark, folder), keyword_rule_scorer, dictionary=dictionary(spark, folder)
+    )
     return rounded(done.metrics, "accuracy", "precision", "recall", "f1_score")
 
 

@@ -15,13 +15,22 @@ def json_part(response: Column) -> Column:
     return F.regexp_extract(response, r"(?s)(\{.*\})", 1)
 
 
+FIELDS = "end string, is_spam variant, spam_score variant, reasoning variant"
+
+
 def parsed(json_text: Column) -> Column:
-    """The text as a one-element list, or NULL if it is not exactly one JSON value.
+    """The answer's fields, or NULL if the text is not exactly one JSON object.
 
-    A closing element after the value catches text behind it, which a parser would ignore.
+    A closing element after the object catches text behind it, which a parser would ignore. Reading into named fields
+    takes the last value of a repeated key, whatever the session allows in variants.
     """
-    listed = F.try_parse_json(F.concat(F.lit("["), json_text, F.lit(f',"{END_MARK}"]')))
-    return F.when(F.try_variant_get(listed, "$[1]", "string") == END_MARK, listed)
+    listed = F.from_json(
+        F.concat(F.lit("["), json_text, F.lit(f',{{"end":"{END_MARK}"}}]')),
+        f"array<struct<{FIELDS.replace(' ', ':').replace(',:', ',')}>>",
+        {"allowSingleQuotes": "false"},
+    )
+    whole = (F.size(listed) == 2) & (F.get(listed, F.lit(1))["end"] == END_MARK)
+    return F.when(whole & F.ltrim(json_text).startswith("{"), F.get(listed, F.lit(0)))
 
 
 def truthy(value: Column) -> Column:
@@ -51,31 +60,27 @@ def parse_responses(
     found = json_part(raw) if lenient else raw
     # one step per projection, so each regex and each parse runs once per row
     parts = df.withColumn("_json", found).withColumn("_value", parsed(F.col("_json")))
-    item = F.try_variant_get("_value", "$[0]", "variant")
-    fields = parts.withColumn("_kind", F.schema_of_variant(item)).withColumn(
-        "_flag", F.try_variant_get("_value", "$[0].is_spam", "variant")
-    )
     status = (
         F.when(failed.isNotNull() | raw.isNull(), "error")
         .when(F.lit(lenient) & (F.col("_json") == ""), "no_json")
-        .when(F.col("_kind").startswith("OBJECT"), "ok")
+        .when(F.col("_value").isNotNull(), "ok")
         .otherwise("error")
     )
     mentions = F.lower(raw).contains("spam")
     cause = F.coalesce(failed, F.when(raw.isNull(), "no response").otherwise("invalid JSON"))
-    known = fields.withColumn("parse_status", status)
+    known = parts.withColumn("parse_status", status)
     ok, prose = F.col("parse_status") == "ok", F.col("parse_status") == "no_json"
     return known.withColumns(
         {
-            "is_spam": F.when(ok, truthy(F.col("_flag"))).when(prose, mentions).otherwise(False).cast("int"),
+            "is_spam": F.when(ok, truthy(F.col("_value.is_spam"))).when(prose, mentions).otherwise(False).cast("int"),
             "spam_score": F.coalesce(
-                F.when(ok, F.try_variant_get("_value", "$[0].spam_score", "double"))
+                F.when(ok, F.try_variant_get("_value.spam_score", "$", "double"))
                 .when(prose & mentions, SCORE_NO_JSON_SPAM)
                 .when(prose, SCORE_NO_JSON_OTHER),
                 F.lit(0.0),
             ),
-            "reasoning": F.when(ok, F.try_variant_get("_value", "$[0].reasoning", "string"))
+            "reasoning": F.when(ok, F.try_variant_get("_value.reasoning", "$", "string"))
             .when(prose, REASON_NO_JSON)
             .otherwise(F.concat(F.lit(f"{REASON_ERROR}: "), cause)),
         }
-    ).drop("_json", "_value", "_kind", "_flag")
+    ).drop("_json", "_value")

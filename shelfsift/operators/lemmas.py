@@ -6,7 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfsift.fixed_values import ENGLISH_STOP_WORDS
-from shelfsift.functions.text import clean_text, join_tokens, remove_stopwords, split_tokens, tokenize
+from shelfsift.functions.text import (
+    blank_split,
+    clean_description,
+    clean_text,
+    join_tokens,
+    remove_stopwords,
+    split_tokens,
+    tokenize,
+)
 from shelfsift.operators.token_map import map_tokens
 
 # (ending, replacement) of regular English inflections, tried in this order
@@ -49,6 +57,17 @@ def corpus_dictionary(df: DataFrame, tokens: str) -> DataFrame:
     return found.groupBy("form").agg(F.min_by("lemma", "rank").alias("lemma"))
 
 
+def lemmatised_description(
+    df: DataFrame, dictionary: DataFrame | None = None, text: str = "description", output: str = "clean_description", **options
+) -> DataFrame:
+    """Notebook cleaning, with the lemma of each blank-separated word where a dictionary (form, lemma) is given."""
+    cleaned = df.withColumn(output, clean_description(F.col(text)))
+    if dictionary is None:
+        return cleaned
+    words = lemmatize(cleaned.withColumn("_words", blank_split(F.col(output))), "_words", dictionary, **options)
+    return words.withColumn(output, join_tokens(F.col("_words"))).drop("_words")
+
+
 def preprocess(
     df: DataFrame,
     text: str = "description",

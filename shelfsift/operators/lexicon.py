@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from shelfsift.session import BROADCAST_ROWS, cut_lineage, small_table
 
-from shelfsift.operators.token_map import salt_values
-from shelfsift.session import BROADCAST_ROWS, SALTS, fits_broadcast, table_size
+# A term of a large lexicon is looked for by its first 8, 4, 2 or 1 characters: the most that it has.
+KEY_LENGTHS = (8, 4, 2, 1)
 
 
 def lexicon_matches(
@@ -15,37 +22,75 @@ def lexicon_matches(
     text: str = "description",
     row_key: str = "product_id",
     limit: int = BROADCAST_ROWS,
-    salts: int = SALTS,
 ) -> DataFrame:
-    """``row_key, term``: every lexicon term (one column, lower case) inside the lowered text.
+    """``row_key, term``, each once: every lexicon term (one column, lower case) inside the lowered text.
 
-    An equi join instead of testing every text against every term: a term can only start
-    where the text has the term's first characters, so each row's distinct windows join
-    the lexicon on that prefix, and the window must then start with the whole term.
+    A small lexicon goes to the tasks as one automaton, which reads each text once. Of a larger one, terms meet a row's
+    distinct stretches of at most 8 characters in an equi join, and what meets is verified on the whole text; the
+    stretches do not grow with the longest term, nor shrink to the shortest.
     """
     terms = lexicon.toDF("term").where(F.length("term") > 0).distinct()
-    length = F.length("term")
-    firsts = F.collect_set(F.ascii("term"))  # the first character's code point
-    measured = terms.agg(
-        F.min(length).alias("shortest"), F.max(length).alias("longest"), firsts.alias("firsts"), *table_size("term")
-    ).first()
-    if not measured["rows"]:
-        return df.select(row_key, F.lit(None).cast("string").alias("term")).where(F.lit(False))
-    shortest, longest = measured["shortest"], measured["longest"]
-    first = "[" + "".join(f"\\x{{{code:x}}}" for code in sorted(measured["firsts"])) + "]"
-    lowered = df.select(row_key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_text"))
-    window = rf"(?s)(?=({first}.{{{shortest - 1},{longest - 1}}}))"
-    windows = F.regexp_extract_all(F.col("_text"), F.lit(window), F.lit(1))
-    starts = lowered.select(row_key, F.explode(F.array_distinct(windows)).alias("_window")).withColumn(
-        "_prefix", F.left("_window", F.lit(shortest))
-    )
-    keyed = terms.withColumn("_prefix", F.left("term", F.lit(shortest)))
-    if fits_broadcast(measured["rows"], measured["size"], limit):
-        met = starts.join(F.broadcast(keyed), "_prefix")
+    lowered = df.select(F.col(row_key).alias("_key"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_text"))
+    small = small_table(terms, limit)
+    if small is not None:
+        found = lowered.select("_key", F.explode(_automaton(df, small)("_text")).alias("term"))
     else:
-        starts = starts.withColumn("_salt", F.pmod(F.hash(row_key), F.lit(salts)))
-        met = starts.join(keyed.withColumn("_salt", salt_values(salts)), ["_prefix", "_salt"])
-    return met.where(F.startswith("_window", "term")).select(row_key, "term").distinct()
+        found = _by_first_characters(lowered, terms)
+    return found.select(F.col("_key").alias(row_key), "term").distinct()
+
+
+def _automaton(df: DataFrame, terms: pa.Table):
+    shared = df.sparkSession.sparkContext.broadcast(_Terms(terms.column(0).to_pylist()))
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def terms_in(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        find = shared.value.find
+        for batch in texts:
+            yield pa.array([find(text) for text in batch.to_pylist()], pa.list_(pa.string()))
+
+    return terms_in
+
+
+class _Terms:
+    """Terms whose automaton is built once in each Python worker."""
+
+    def __init__(self, terms: list[str]):
+        self.terms, self.automaton = terms, None
+
+    def __getstate__(self):
+        return self.terms
+
+    def __setstate__(self, terms):
+        self.terms, self.automaton = terms, None
+
+    def find(self, text: str) -> list[str]:
+        if not self.terms:
+            return []
+        if self.automaton is None:
+            self.automaton = ahocorasick.Automaton()
+            for term in self.terms:
+                self.automaton.add_word(term, term)
+            self.automaton.make_automaton()
+        return list({term for _, term in self.automaton.iter(text)})
+
+
+def _by_first_characters(lowered: DataFrame, terms: DataFrame) -> DataFrame:
+    key = F.coalesce(*(F.when(F.length("term") >= n, F.left("term", F.lit(n))) for n in KEY_LENGTHS))
+    keyed = terms.withColumn("_start", key)
+    in_use = [n for n in KEY_LENGTHS if keyed.where(F.length("_start") == n).limit(1).count()]
+    # equal texts share what is found in them
+    rows = cut_lineage(lowered.withColumn("_content", F.sha2("_text", 256)))
+    texts = rows.groupBy("_content").agg(F.first("_text").alias("_text"))
+
+    def stretches(n: int) -> Column:
+        return F.array_distinct(F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+
+    starts = texts.select("_content", F.explode(F.concat(F.array().cast("array<string>"), *map(stretches, in_use))).alias("_start"))
+    maybe = starts.join(keyed, "_start").groupBy("_content").agg(F.collect_set("term").alias("_maybe"))
+    met = texts.join(maybe, "_content").select(
+        "_content", F.explode(F.filter("_maybe", lambda term: F.contains(F.col("_text"), term))).alias("term")
+    )
+    return rows.select("_key", "_content").join(met, "_content").select("_key", "term")
 
 
 def lexicon_counts(df: DataFrame, lexicon: DataFrame, **options) -> DataFrame:

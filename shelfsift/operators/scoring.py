@@ -19,8 +19,10 @@ from shelfsift.fixed_values import (
     TAG_SECTION_MARKERS,
 )
 
+# What a scorer is asked: a user text, or the whole conversation as role and content.
+Prompt = str | list[dict[str, str]]
 # A scorer takes prompts and returns one response text per prompt, in order.
-Scorer = Callable[[list[str]], list[str]]
+Scorer = Callable[[list[Prompt]], list[str]]
 
 
 def score_with(
@@ -30,9 +32,12 @@ def score_with(
     keep: tuple[str, ...] = ("product_id",),
     batch_size: int = SCORE_BATCH_SIZE,
     concurrency: int | None = None,
+    system: str | None = None,
 ) -> DataFrame:
     """``keep`` columns with ``response`` and ``score_error``, one row per input row.
 
+    With ``system``, each prompt goes out as a conversation: that system message, then the user's text.
+
     Rows stream through each task in batches of ``batch_size``. If the scorer fails on a
     batch, its rows are tried one by one and the failure stays with the row that caused
     it. ``concurrency`` bounds how many tasks call the scorer at once. A retried task
@@ -50,7 +55,7 @@ def score_with(
 
     def score_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            prompts = frame[prompt].tolist()
+            prompts = [conversation(text, system) for text in frame[prompt].tolist()]
             answers = [
                 answer
                 for start in range(0, len(prompts), batch_size)
@@ -67,7 +72,14 @@ def score_with(
     return source.mapInPandas(score_batches, schema)
 
 
-def _answers(scorer: Scorer, prompts: list[str]) -> list[tuple[str | None, str | None]]:
+def conversation(text: str, system: str | None) -> Prompt:
+    """What the scorer gets for one row."""
+    if system is None:
+        return text
+    return [{"role": "system", "content": system}, {"role": "user", "content": text}]
+
+
+def _answers(scorer: Scorer, prompts: list[Prompt]) -> list[tuple[str | None, str | None]]:
     try:
         responses = scorer(prompts)
         if len(responses) != len(prompts):
@@ -79,14 +91,15 @@ def _answers(scorer: Scorer, prompts: list[str]) -> list[tuple[str | None, str |
         return [answer for single in prompts for answer in _answers(scorer, [single])]
 
 
-def keyword_rule_scorer(prompts: list[str]) -> list[str]:
+def keyword_rule_scorer(prompts: list[Prompt]) -> list[str]:
     """A fixed keyword rule that answers in the asked-for JSON, for tests and dry runs.
 
     Not a model: spam means a tag section or at least two brand names.
     """
     answers = []
     for prompt in prompts:
-        text = prompt.rpartition(PROMPT_BEFORE_TEXT)[2]
+        user = prompt if isinstance(prompt, str) else prompt[-1]["content"]
+        text = user.rpartition(PROMPT_BEFORE_TEXT)[2]
         text = text.removesuffix(PROMPT_END_LONG).removesuffix(PROMPT_END_SHORT).lower()
         brands = sum(brand in text for brand in BRANDS)
         phrases = sum(phrase in text for phrase in TAG_PHRASES)

@@ -1,8 +1,8 @@
-"""Replace or drop tokens by a lookup table, whatever the table's size.
+"""Replace or drop tokens by a lookup table, whatever the table's size, with the same rows either way.
 
-A table small enough to copy to executors is looked up inside the task, column-wise,
-so texts are not shuffled at all. A larger table is joined by token instead, with the
-token side salted so that a very frequent token is spread over many tasks.
+A table small enough to copy to executors is looked up inside the task, column-wise, so texts are not shuffled at all.
+Of a larger table, only the FREQUENT entries that most rows ask for are copied (a bounded number), so no key of the join
+that serves the others is held by many rows.
 """
 
 from __future__ import annotations
@@ -13,88 +13,119 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfsift.session import BROADCAST_ROWS, SALTS, small_table
+from shelfsift.session import BROADCAST_ROWS, small_table
+
+# Entries of a large table that are looked up inside the task because most rows ask for them.
+FREQUENT = 10_000
+
+_FOUND = T.ArrayType(T.StructType([T.StructField("found", T.BooleanType()), T.StructField("value", T.StringType())]))
 
 
 def map_tokens(
     df: DataFrame,
     tokens: str,
     table: DataFrame,
-    row_key: str = "product_id",
     output: str | None = None,
     limit: int = BROADCAST_ROWS,
-    salts: int = SALTS,
+    frequent: int = FREQUENT,
 ) -> DataFrame:
-    """Replace each token found in ``table`` (columns: token, replacement; tokens unique).
+    """Replace each token found in ``table`` (columns: token, replacement).
 
-    Tokens not found stay. A NULL replacement drops the token. Order is kept. A NULL token
-    list becomes an empty one.
-    ``row_key`` must be unique per row; it is used only when the table is large.
+    Tokens not found stay, and so do NULL tokens. A NULL replacement drops the token. Order is kept. A NULL token list
+    becomes an empty one. In the table, NULL tokens are ignored, and of a repeated token the smallest replacement counts
+    (NULL only if it has no other).
     """
     output = output or tokens
-    pairs = table.toDF("_token", "_value")
+    given = table.toDF("_token", "_value").where(F.col("_token").isNotNull())
+    pairs = given.groupBy("_token").agg(F.min("_value").alias("_value"))
     small = small_table(pairs, limit)
-    if small is None:
-        return _map_by_join(df, tokens, pairs, row_key, output, salts)
-    return df.withColumn(output, _lookup(df, small)(F.col(tokens)))
+    if small is not None:
+        return df.withColumn(output, _replaced(_lookup(df, small), F.col(tokens)))
+    return _map_by_join(df, tokens, pairs, output, frequent)
 
 
 def drop_tokens(df: DataFrame, tokens: str, words: DataFrame, **options) -> DataFrame:
     """Anti join of a token column with a one-column word table, compared as given."""
-    gone = words.toDF("_token").distinct().withColumn("_value", F.lit(None).cast("string"))
+    gone = words.toDF("_token").withColumn("_value", F.lit(None).cast("string"))
     return map_tokens(df, tokens, gone, **options)
 
 
+class _Table:
+    """A small lookup table; its index is built once in each Python worker that uses it."""
+
+    def __init__(self, table: pa.Table):
+        self.keys, self.values = (column.cast(pa.string()).to_pylist() for column in table.columns)
+        self.index: dict[str, int] | None = None
+
+    def __getstate__(self):
+        return self.keys, self.values, None
+
+    def __setstate__(self, state):
+        self.keys, self.values, self.index = state
+
+    def find(self, tokens: list[str | None]) -> tuple[pa.Array, pa.Array]:
+        if self.index is None:
+            self.index = {key: place for place, key in enumerate(self.keys)}
+        places = [self.index.get(token) for token in tokens]
+        found = pa.array([place is not None for place in places], pa.bool_())
+        return found, pa.array([None if place is None else self.values[place] for place in places], pa.string())
+
+
 def _lookup(df: DataFrame, small: pa.Table):
-    table = df.sparkSession.sparkContext.broadcast(
-        tuple(column.cast(pa.string()).combine_chunks() for column in small.columns)
+    """A column function: for each token, whether the table has it, and its replacement."""
+    table = df.sparkSession.sparkContext.broadcast(_Table(small))
+
+    @F.arrow_udf(_FOUND)
+    def look_up(column: pa.Array) -> pa.Array:
+        # a batch's distinct tokens are looked up, whatever the size of the table
+        coded = column.flatten().dictionary_encode()
+        found, values = table.value.find(coded.dictionary.to_pylist())
+        met = pc.fill_null(found.take(coded.indices), False)
+        hits = pa.StructArray.from_arrays([met, values.take(coded.indices)], ["found", "value"])
+        ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(column), 0)).cast(pa.int32())
+        return pa.ListArray.from_arrays(pa.concat_arrays([pa.array([0], pa.int32()), ends]), hits)
+
+    return look_up
+
+
+def _replaced(look_up, tokens: Column) -> Column:
+    """The tokens with what was found put in; dropped tokens are left out."""
+    given = F.coalesce(tokens, F.array().cast("array<string>"))
+    met = F.zip_with(
+        given,
+        look_up(tokens),
+        lambda token, hit: F.struct(
+            (hit["found"] & hit["value"].isNull()).alias("dropped"),
+            F.when(hit["found"], hit["value"]).otherwise(token).alias("token"),
+        ),
     )
+    return F.transform(F.filter(met, lambda pair: ~pair["dropped"]), lambda pair: pair["token"])
 
-    @F.arrow_udf(T.ArrayType(T.StringType()))
-    def replace_tokens(column: pa.Array) -> pa.Array:
-        keys, values = table.value
-        lengths = pc.fill_null(pc.list_value_length(column), 0)
-        flat = column.flatten()
-        found = pc.index_in(flat, value_set=keys)
-        mapped = pc.if_else(pc.is_valid(found), values.take(found), flat)
-        ends = pc.cumulative_sum(lengths)
-        kept = pc.is_valid(mapped)
-        if pc.all(kept).as_py() is not False:
-            offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends.cast(pa.int32())])
-            return pa.ListArray.from_arrays(offsets, mapped)
-        running = pa.concat_arrays([pa.array([0], pa.int64()), pc.cumulative_sum(kept.cast(pa.int64()))])
-        offsets = pa.concat_arrays([pa.array([0], pa.int32()), running.take(ends).cast(pa.int32())])
-        return pa.ListArray.from_arrays(offsets, mapped.filter(kept))
-
-    return replace_tokens
-
-
-def _map_by_join(
-    df: DataFrame, tokens: str, pairs: DataFrame, row_key: str, output: str, salts: int
-) -> DataFrame:
-    """Each row's distinct tokens meet the table; only the hits come back, as one small map per row."""
-    wanted = df.select(row_key, F.explode(F.array_distinct(tokens)).alias("_token")).withColumn(
-        "_salt", F.pmod(F.hash(row_key), F.lit(salts))
-    )
-    copies = pairs.withColumn("_salt", salt_values(salts))
+
+def _map_by_join(df: DataFrame, tokens: str, pairs: DataFrame, output: str, frequent: int) -> DataFrame:
+    """Rows with equal token lists share one key and one map of the entries they hit; texts meet it once."""
+    keyed = df.withColumn("_list", F.xxhash64(tokens))
+    wanted = keyed.select("_list", F.explode(F.array_distinct(tokens)).alias("_token")).where("_token IS NOT NULL").distinct()
+    asked = wanted.groupBy("_token").agg(F.count("*").alias("_n")).join(pairs, "_token")
+    top = asked.orderBy(F.desc("_n"), "_token").limit(frequent).select("_token", "_value").toArrow()
+    copied = df.sparkSession.createDataFrame(top.select(["_token"]), "_token string")
+    rare = wanted.join(pairs, "_token").join(F.broadcast(copied), "_token", "left_anti")
     hit = F.struct("_token", F.struct("_value").alias("_hit"))
-    maps = (
-        wanted.join(copies, ["_token", "_salt"])
-        .groupBy(row_key)
-        .agg(F.map_from_entries(F.collect_list(hit)).alias("_map"))
-    )
-    met = df.join(maps, row_key, "left").withColumn(
+    maps = rare.groupBy("_list").agg(F.map_from_entries(F.collect_list(hit)).alias("_map"))
+    met = keyed.join(maps, "_list", "left").withColumn(
         "_map", F.coalesce("_map", F.create_map().cast("map<string,struct<_value:string>>"))
     )
-
-    def replaced(token: Column) -> Column:
-        found = F.try_element_at("_map", token)
-        return F.when(found.isNotNull(), found["_value"]).otherwise(token)
-
-    mapped = F.array_compact(F.transform(F.coalesce(tokens, F.array().cast("array<string>")), replaced))
-    return met.withColumn(output, mapped).drop("_map")
-
-
-def salt_values(salts: int) -> Column:
-    """One row per salt value, for the side of a salted join that is copied."""
-    return F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    # NULL tokens have no key in a map; what is dropped is told from what is not found
+    looked = _lookup(df, top)
+
+    def combined(hits: Column, token: Column) -> Column:
+        other = F.when(token.isNotNull(), F.try_element_at("_map", token))
+        return F.struct(
+            F.when(hits["found"], hits["value"].isNull()).otherwise(other.isNotNull() & other["_value"].isNull()).alias("dropped"),
+            F.when(hits["found"], hits["value"]).when(other.isNotNull(), other["_value"]).otherwise(token).alias("token"),
+        )
+
+    given = F.coalesce(F.col(tokens), F.array().cast("array<string>"))
+    pairs_met = F.zip_with(looked(F.col(tokens)), given, combined)
+    kept = F.transform(F.filter(pairs_met, lambda pair: ~pair["dropped"]), lambda pair: pair["token"])
+    return met.withColumn(output, kept).drop("_map", "_list")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfsift.functions.text import blank_split, drop_digits, surface_text
-from shelfsift.operators.token_map import map_tokens, salt_values
-from shelfsift.session import BROADCAST_ROWS, SALTS, fits_broadcast, table_size
+from shelfsift.operators.token_map import map_tokens
+from shelfsift.session import BROADCAST_ROWS, cut_lineage, small_table
 
 
 def surface_forms(df: DataFrame, text: str = "description") -> DataFrame:
@@ -35,35 +39,74 @@ def capitalised_entities(tokens: Column, dedupe: bool = True) -> Column:
     return F.array_distinct(found) if dedupe else found
 
 
-def token_runs(tokens: Column, width: int) -> Column:
-    """Every run of ``width`` neighbouring tokens, joined by blanks."""
-    if width == 1:
-        return tokens
-    last = F.size(tokens) - (width - 1)
-    starts = F.when(last > 0, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda start: F.array_join(F.slice(tokens, start, F.lit(width)), " "))
-
-
 def gazetteer_entities(
     df: DataFrame,
     tokens: str,
     names: DataFrame,
     row_key: str = "product_id",
     limit: int = BROADCAST_ROWS,
-    salts: int = SALTS,
 ) -> DataFrame:
-    """``row_key, entity``: names from a one-column table found as whole token runs.
+    """``row_key, entity``, each once: names from a one-column table found as whole token runs.
 
-    Each row's distinct runs of up to the longest name's words meet the names in an equi
-    join: the names are copied to executors if few, else both sides shuffle, salted.
+    A name is looked for by its first word, then verified; nothing grows with the longest name. A small table goes to
+    the tasks; of a larger one, names meet each row's distinct words in an equi join.
     """
-    table = names.toDF("_name").where(F.col("_name").isNotNull()).distinct()
-    measured = table.agg(F.max(F.size(F.split("_name", " "))).alias("longest"), *table_size("_name")).first()
-    runs = [token_runs(F.col(tokens), width) for width in range(1, (measured["longest"] or 1) + 1)]
-    found = df.select(row_key, F.explode(F.array_distinct(F.concat(*runs))).alias("_name"))
-    if fits_broadcast(measured["rows"], measured["size"], limit):
-        hits = found.join(F.broadcast(table), "_name")
+    table = names.toDF("name").where(F.col("name").isNotNull()).distinct()
+    words = df.select(F.col(row_key).alias("_key"), F.coalesce(F.col(tokens), F.array().cast("array<string>")).alias("_words"))
+    small = small_table(table, limit)
+    if small is not None:
+        found = words.select("_key", F.explode(_names_in(df, small)("_words")).alias("entity"))
     else:
-        found = found.withColumn("_salt", F.pmod(F.hash(row_key), F.lit(salts)))
-        hits = found.join(table.withColumn("_salt", salt_values(salts)), ["_name", "_salt"])
-    return hits.select(row_key, F.col("_name").alias("entity")).distinct()
+        first = F.split("name", " ")[0]
+        rows = cut_lineage(words.withColumn("_list", F.xxhash64("_words")))
+        starts = rows.select("_list", F.explode(F.array_distinct("_words")).alias("_first")).distinct()
+        maybe = starts.join(table.withColumn("_first", first), "_first")
+        maybe = maybe.groupBy("_list").agg(F.collect_set("name").alias("_maybe"))
+        text = F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" "))
+        found = rows.withColumn("_text", text).join(maybe, "_list").select(
+            "_key",
+            F.explode(
+                F.filter("_maybe", lambda name: F.contains(F.col("_text"), F.concat(F.lit(" "), name, F.lit(" "))))
+            ).alias("entity"),
+        )
+    return found.select(F.col("_key").alias(row_key), "entity").distinct()
+
+
+class _Names:
+    """Names by their first word, as tuples of words; the index is built once in each Python worker."""
+
+    def __init__(self, names: list[str]):
+        self.names, self.index = names, None
+
+    def __getstate__(self):
+        return self.names
+
+    def __setstate__(self, names):
+        self.names, self.index = names, None
+
+    def find(self, words: list[str]) -> list[str]:
+        if self.index is None:
+            self.index = {}
+            for name in self.names:
+                parts = name.split(" ")
+                self.index.setdefault(parts[0], []).append((name, parts))
+        return list(
+            {
+                name
+                for at, word in enumerate(words)
+                for name, parts in self.index.get(word, ())
+                if words[at : at + len(parts)] == parts
+            }
+        )
+
+
+def _names_in(df: DataFrame, names: pa.Table):
+    shared = df.sparkSession.sparkContext.broadcast(_Names(names.column(0).to_pylist()))
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def names_in(lists: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        find = shared.value.find
+        for batch in lists:
+            yield pa.array([find(words) for words in batch.to_pylist()], pa.list_(pa.string()))
+
+    return names_in

@@ -7,12 +7,19 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfsift.fixed_values import FEW_SHOT_EXAMPLES, HEAD_ROWS, SCORE_BATCH_SIZE, SEED
+from shelfsift.fixed_values import (
+    ENGLISH_STOP_WORDS,
+    FEW_SHOT_EXAMPLES,
+    HEAD_ROWS,
+    SCORE_BATCH_SIZE,
+    SEED,
+    SYSTEM_PROMPT,
+)
 from shelfsift.functions.prompts import block_text, choose_examples, user_prompt
 from shelfsift.functions.responses import parse_responses
 from shelfsift.operators.hybrid import explain, with_hybrid
 from shelfsift.operators.metrics import classification_metrics, classification_report, model_comparison
-from shelfsift.operators.reports import prediction_report
+from shelfsift.operators.reports import report_lines
 from shelfsift.operators.sampling import few_shot_examples, head_subset
 from shelfsift.operators.scoring import Scorer, score_with
 from shelfsift.operators.truecase import surface_forms
@@ -38,11 +45,20 @@ class NotebookResult:
     importance: DataFrame
 
 
-def notebook_job(train: DataFrame, test: DataFrame, fit_on: str = "train", **options) -> NotebookResult:
-    """Union, clean, features, entities, two TF-IDF blocks, boosted trees, accuracy, importances."""
+def notebook_job(
+    train: DataFrame,
+    test: DataFrame,
+    fit_on: str = "train",
+    dictionary: DataFrame | None = None,
+    stop_words: list[str] = ENGLISH_STOP_WORDS,
+    **options,
+) -> NotebookResult:
+    """Union, clean, lemmas (if a dictionary is given), features, entities, two TF-IDF blocks, boosted trees, accuracy,
+    importances."""
     both = union_listings(train, test)
-    frame = cut_lineage(notebook_frame(both, cut_lineage(surface_forms(both))))
-    model = fit_boosted(frame, fit_on, **options)
+    frame = notebook_frame(both, cut_lineage(surface_forms(both)), dictionary, stop_words)
+    frame = cut_lineage(frame.drop("description"))
+    model = fit_boosted(frame, fit_on, stop_words=stop_words, **options)
     tested = frame.where((F.col("split") == "test") & F.col("label").isNotNull())
     learnt = frame.where(F.col("label").isNotNull())
     learnt = learnt if fit_on == "all" else learnt.where(F.col("split") == "train")
@@ -69,13 +85,22 @@ def score_listings(
     examples: DataFrame | None = None,
     long_form: bool = True,
     batch_size: int = SCORE_BATCH_SIZE,
+    concurrency: int | None = None,
+    keep: tuple[str, ...] = ("product_id",),
+    system: str | None = SYSTEM_PROMPT,
 ) -> DataFrame:
-    """``product_id, is_spam, spam_score, reasoning, parse_status``; responses are written once, then read."""
+    """``keep`` columns with ``is_spam, spam_score, reasoning, parse_status``; responses are written once, then read.
+
+    The scorer gets the system and the user message. Columns that later steps need go through scoring (``keep``), so
+    nothing is joined back and repeated ids do no harm.
+    """
     block = block_text(choose_examples(listings.sparkSession, examples))
-    prompts = listings.select("product_id", user_prompt(F.col("description"), block, long_form).alias("prompt"))
-    answered = cut_lineage(score_with(prompts, scorer, batch_size=batch_size))
+    prompts = listings.select(*keep, user_prompt(F.col("description"), block, long_form).alias("prompt"))
+    answered = cut_lineage(
+        score_with(prompts, scorer, keep=keep, batch_size=batch_size, concurrency=concurrency, system=system)
+    )
     parsed = parse_responses(answered, error="score_error", lenient=long_form)
-    return parsed.select("product_id", "is_spam", "spam_score", "reasoning", "parse_status")
+    return parsed.select(*keep, "is_spam", "spam_score", "reasoning", "parse_status")
 
 
 def few_shot_job(
@@ -88,15 +113,17 @@ def few_shot_job(
     use_built_in: bool = False,
     seed: int = SEED,
     batch_size: int = SCORE_BATCH_SIZE,
+    concurrency: int | None = None,
 ) -> ScoredResult:
     """Pick examples, prompt, score, parse, report, measure. The subset is taken before scoring."""
     subset = head_subset(test, num_examples, use_all)
     picked = few_shot_examples(train, num_few_shot, seed) if train is not None and not use_built_in else None
-    scored = score_listings(subset, scorer, picked, batch_size=batch_size)
-    predictions = scored.withColumnRenamed("is_spam", "prediction")
-    judged = subset.select("product_id", "label").join(predictions, "product_id")
-    report = prediction_report(subset, predictions, num_examples, use_all)
-    return ScoredResult(scored, report, classification_metrics(judged))
+    rows = score_listings(
+        subset, scorer, picked, batch_size=batch_size, concurrency=concurrency, keep=("product_id", "description", "label")
+    )
+    judged = rows.withColumnRenamed("is_spam", "prediction")
+    scored = rows.drop("description", "label")
+    return ScoredResult(scored, report_lines(judged, whole=use_all), classification_metrics(judged))
 
 
 @dataclass(frozen=True)
@@ -113,6 +140,7 @@ def comparison_job(
     scorers: dict[str, Scorer],
     head_rows: int | None = HEAD_ROWS,
     dictionary: DataFrame | None = None,
+    concurrency: int | None = None,
     **options,
 ) -> ComparisonResult:
     """Forest on the whole test set next to each scorer on its first rows (``None``: on all of it)."""
@@ -121,8 +149,8 @@ def comparison_job(
     judged = model.transform(test).withColumn("model", F.lit("Random Forest")).select(*columns)
     for name, scorer in scorers.items():
         subset = head_subset(test, head_rows or 0, use_all=head_rows is None)
-        scored = score_listings(subset, scorer).withColumnRenamed("is_spam", "prediction")
-        rows = subset.select("product_id", "label").join(scored, "product_id").withColumn("model", F.lit(name))
+        scored = score_listings(subset, scorer, concurrency=concurrency, keep=("product_id", "label"))
+        rows = scored.withColumnRenamed("is_spam", "prediction").withColumn("model", F.lit(name))
         judged = judged.unionByName(rows.select(*columns))
     judged = cut_lineage(judged)  # read by both tables below
     names = ["Random Forest", *scorers]
@@ -138,18 +166,20 @@ class HybridResult:
     metrics: DataFrame
 
 
-def hybrid_job(train: DataFrame, test: DataFrame, scorer: Scorer, **options) -> HybridResult:
+def hybrid_job(
+    train: DataFrame, test: DataFrame, scorer: Scorer, concurrency: int | None = None, **options
+) -> HybridResult:
     """Forest and scorer on the same rows, and their weighted mix, each measured."""
     model = fit_forest(train, **options)
     classical = model.transform(test).select(
         "product_id", "description", "label",
         F.col("probability").alias("classical_score"), F.col("prediction").alias("classical"),
     )
-    scorer_rows = score_listings(test, scorer).select(
-        "product_id", F.col("is_spam").alias("llm"), F.col("spam_score").alias("llm_score"),
+    both = score_listings(classical, scorer, concurrency=concurrency, keep=tuple(classical.columns)).select(
+        *classical.columns, F.col("is_spam").alias("llm"), F.col("spam_score").alias("llm_score"),
         F.col("reasoning").alias("llm_reasoning"),
     )
-    scored = cut_lineage(with_hybrid(classical.join(scorer_rows, "product_id")))
+    scored = cut_lineage(with_hybrid(both))
     stacked = scored.select(
         "label",
         F.inline(

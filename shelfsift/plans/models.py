@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark import keyword_only
 from pyspark.ml import Transformer
@@ -32,8 +32,8 @@ from shelfsift.fixed_values import (
     THRESHOLD,
 )
 from shelfsift.functions.features import LISTING_FEATURES, NOTEBOOK_FEATURES, with_listing_features, with_notebook_features
-from shelfsift.functions.text import blank_split, clean_description, drop_digits, join_tokens
-from shelfsift.operators.lemmas import lemmatize, preprocess
+from shelfsift.functions.text import blank_split, drop_digits, join_tokens
+from shelfsift.operators.lemmas import lemmatised_description, preprocess
 from shelfsift.operators.metrics import threshold_label
 from shelfsift.operators.tfidf import GRAM_SPEC, WORD_SPEC, TfidfModel, TfidfSpec, fit_tfidf, with_terms
 from shelfsift.operators.truecase import capitalised_entities, truecase
@@ -126,11 +126,7 @@ def notebook_frame(
     ``forms`` is the surface-form table for true-casing; without it there are no capitals,
     so no entities.
     """
-    cleaned = df.withColumn("clean_description", clean_description(F.col("description")))
-    if dictionary is not None:
-        words = cleaned.withColumn("_words", blank_split(F.col("clean_description")))
-        words = lemmatize(words, "_words", dictionary)
-        cleaned = words.withColumn("clean_description", join_tokens(F.col("_words"))).drop("_words")
+    cleaned = lemmatised_description(df, dictionary)
     featured = with_notebook_features(cleaned, stop_words=stop_words)
     letters = featured.withColumn("clean_description", drop_digits(F.col("clean_description")))
     cased = letters.withColumn("_cased", blank_split(F.col("clean_description")))
@@ -145,9 +141,10 @@ class BoostedModel:
     words: TfidfModel
     include_product_id: bool
     trees: GBTClassificationModel
+    stop_words: tuple[str, ...] = tuple(ENGLISH_STOP_WORDS)
 
     def vectors(self, frame: DataFrame) -> DataFrame:
-        return boosted_vectors(frame, self.entities, self.words, self.include_product_id)
+        return boosted_vectors(frame, self.entities, self.words, self.include_product_id, self.stop_words)
 
     def transform(self, frame: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         """Append ``probability`` and ``prediction`` to a notebook frame."""
@@ -165,18 +162,29 @@ def boosted_columns(include_product_id: bool) -> list[str]:
     return [*(["product_id"] if include_product_id else []), *NOTEBOOK_FEATURES]
 
 
-def entity_terms(frame: DataFrame) -> DataFrame:
-    return with_terms(frame, F.col("named_entities"), WORD_SPEC)
+def word_spec(stop_words: list[str] | tuple[str, ...] = ENGLISH_STOP_WORDS) -> TfidfSpec:
+    """The notebook path's TF-IDF settings with a stop list of the caller's."""
+    return replace(WORD_SPEC, stop_words=tuple(stop_words))
 
 
-def word_terms(frame: DataFrame) -> DataFrame:
-    return with_terms(frame, F.col("clean_description"), WORD_SPEC)
+def entity_terms(frame: DataFrame, stop_words: list[str] = ENGLISH_STOP_WORDS) -> DataFrame:
+    return with_terms(frame, F.col("named_entities"), word_spec(stop_words))
 
 
-def boosted_vectors(frame: DataFrame, entities: TfidfModel, words: TfidfModel, include_product_id: bool) -> DataFrame:
+def word_terms(frame: DataFrame, stop_words: list[str] = ENGLISH_STOP_WORDS) -> DataFrame:
+    return with_terms(frame, F.col("clean_description"), word_spec(stop_words))
+
+
+def boosted_vectors(
+    frame: DataFrame,
+    entities: TfidfModel,
+    words: TfidfModel,
+    include_product_id: bool,
+    stop_words: tuple[str, ...] = tuple(ENGLISH_STOP_WORDS),
+) -> DataFrame:
     """Append ``features``; the texts they came from are dropped."""
-    weighed = entities.with_vector(entity_terms(frame), output="_entities").drop("terms")
-    weighed = words.with_vector(word_terms(weighed), output="_words").drop("terms")
+    weighed = entities.with_vector(entity_terms(frame, stop_words), output="_entities").drop("terms")
+    weighed = words.with_vector(word_terms(weighed, stop_words), output="_words").drop("terms")
     inputs = [*boosted_columns(include_product_id), "_entities", "_words"]
     assembled = VectorAssembler(inputCols=inputs, outputCol="features").transform(weighed)
     return assembled.drop("clean_description", "named_entities", "_entities", "_words")
@@ -190,6 +198,7 @@ def fit_boosted(
     depth: int = BOOST_DEPTH,
     step: float = BOOST_STEP,
     seed: int = SEED,
+    stop_words: list[str] = ENGLISH_STOP_WORDS,
 ) -> BoostedModel:
     """Boosted trees over a notebook frame with ``label`` and ``split``.
 
@@ -198,17 +207,17 @@ def fit_boosted(
     """
     if fit_on not in ("train", "all"):
         raise ValueError('fit_on is "train" or "all"')
-    entities = fit_tfidf(entity_terms(frame), WORD_SPEC)
-    words = fit_tfidf(word_terms(frame), WORD_SPEC)
+    entities = fit_tfidf(entity_terms(frame, stop_words), word_spec(stop_words))
+    words = fit_tfidf(word_terms(frame, stop_words), word_spec(stop_words))
     rows = frame.where(F.col("label").isNotNull())
     rows = rows if fit_on == "all" else rows.where(F.col("split") == "train")
     vectors = cut_lineage(
-        boosted_vectors(rows, entities, words, include_product_id).select(
+        boosted_vectors(rows, entities, words, include_product_id, tuple(stop_words)).select(
             "features", F.col("label").cast("double").alias("label")
         )
     )
     trees = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed).fit(vectors)
-    return BoostedModel(entities, words, include_product_id, trees)
+    return BoostedModel(entities, words, include_product_id, trees, tuple(stop_words))
 
 
 def staged_log_loss(model: BoostedModel, frames: dict[str, DataFrame]) -> DataFrame:

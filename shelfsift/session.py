@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A side table may be copied to every executor up to these sizes. Above them, joins shuffle.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
-# Rows a shuffled lookup is spread over per key, so one hot key never lands in one task.
-SALTS = 32
+# A scan below this size is dealt out, because a small file may be a single split. Larger ones are never shuffled.
+SPREAD_BYTES = 64 * 1024 * 1024
 
 
 def build_session(app: str = "shelfsift", master: str | None = None, **conf: str) -> SparkSession:
@@ -24,8 +24,6 @@ def build_session(app: str = "shelfsift", master: str | None = None, **conf: str
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # texts are long: keep the batches that go to Python small
         "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
-        # a response that repeats a JSON key counts with its last value
-        "spark.sql.variant.allowDuplicateKeys": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **{name.replace("__", "."): value for name, value in conf.items()},
@@ -39,13 +37,13 @@ def build_session(app: str = "shelfsift", master: str | None = None, **conf: str
 
 
 def spread(scan: DataFrame, key: str) -> DataFrame:
-    """Spread a scan that yields fewer splits than there are cores (small inputs only).
+    """Deal out a scan of less than ``SPREAD_BYTES`` by a key.
 
-    Large inputs already have more splits than cores and come back unchanged, so
-    this never adds a shuffle where a shuffle would hurt. Call it on plain scans.
+    The choice depends on the size of the files alone, not on the cluster: a scan of that size or more comes back
+    unchanged on every cluster, and the shuffle of a smaller one is bounded. Call it on plain scans.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
+    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return scan.repartition(scan.sparkSession.sparkContext.defaultParallelism, key) if size < SPREAD_BYTES else scan
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -50,8 +50,13 @@ def read_indexed_listings(spark: SparkSession, path: str, sep: str = ",", multi_
 
 
 def read_labelled_text(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """File with at least ``description`` and ``label``."""
-    return read_listings(spark, path, sep, LABELLED_TEXT)
+    """File with at least ``description`` and ``label``; rows get an id of their content, as all jobs expect one."""
+    return with_content_id(read_listings(spark, path, sep, LABELLED_TEXT)).select(*LISTING.fieldNames())
+
+
+def with_content_id(df: DataFrame) -> DataFrame:
+    """Append ``product_id``, a hash of description and label: stable over runs and clusters. Equal rows share it."""
+    return df.withColumn("product_id", F.xxhash64("description", "label"))
 
 
 def _reader(spark: SparkSession, sep: str, multi_line: bool) -> DataFrameReader:

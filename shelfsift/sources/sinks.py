@@ -17,12 +17,12 @@ def write_table(df: DataFrame, path: str, file_format: str = "parquet", mode: st
 
 
 def write_scripts(scripts: DataFrame, path: str, per_page: bool = False, mode: str = "overwrite") -> None:
-    """Write ``page_id, script`` rows as text.
+    """Write ``page_id, script`` rows, so that each page's script can be told from the others.
 
-    ``per_page`` gives every page a folder of its own, for a handful of pages; the
-    default keeps all scripts in the job's part files, which suits any number.
+    ``per_page`` gives every page a folder with its text, for a handful of pages; the default is a Parquet table of
+    both columns, which suits any number.
     """
     if per_page:
         scripts.select("page_id", F.col("script").alias("value")).write.mode(mode).partitionBy("page_id").text(path)
     else:
-        scripts.select(F.col("script").alias("value")).write.mode(mode).text(path)
+        scripts.select("page_id", "script").write.mode(mode).parquet(path)

@@ -63,11 +63,15 @@ def test_scripts_and_sink(spark, pages, tmp_path):
     header = '#!/usr/bin/env python3\n"""\nThis script was automatically generated from a Jupyter notebook HTML export\n"""\n\n'
     assert scripts[0] == header + "a = 1 < 2b\n\n\nsecond".replace("\n\n\n", "\n\n")
     assert scripts[2] == header + "prose"
-    for per_page in (True, False):
-        target = str(tmp_path / f"scripts{per_page}")
-        write_scripts(page_scripts(pages), target, per_page=per_page)
-        written = spark.read.text(f"{target}/page_id=0" if per_page else target, wholetext=True).collect()
-        assert any(row["value"].startswith(scripts[0]) for row in written)
+    target = str(tmp_path / "per_page")
+    write_scripts(page_scripts(pages), target, per_page=True)
+    written = spark.read.text(f"{target}/page_id=0", wholetext=True).collect()
+    assert any(row["value"].startswith(scripts[0]) for row in written)
+    # the table keeps every page's script apart
+    target = str(tmp_path / "table")
+    write_scripts(page_scripts(pages), target)
+    assert {r["page_id"]: r["script"] for r in spark.read.parquet(target).collect()} == scripts and len(scripts) > 1
+
 
 
 def test_one_row_per_html_file(spark, tmp_path):

@@ -128,6 +128,44 @@ def test_stream_gives_the_batch_result(spark, rows, tmp_path):
     assert sorted(written.collect()) == sorted(listing_feature_stream(source).collect())
 
 
+def test_repeated_ids_count_once_each(spark):
+    rows = [(1, "nike adidas gucci", 1), (1, "a plain top", 0), (2, "tags: x", 0)]
+    test = spark.createDataFrame(rows, "product_id bigint, description string, label int")
+    done = few_shot_job(test, keyword_rule_scorer, use_all=True)
+    matrix = done.metrics.first()
+    assert (matrix["tn"], matrix["fp"], matrix["fn"], matrix["tp"]) == (1, 1, 0, 1)
+    assert sorted(r["row_number"] for r in done.report.collect()) == [1, 2, 3]
+
+
+def test_separate_tables_with_repeated_predictions_fail(spark):
+    from shelfsift.operators.reports import prediction_report
+
+    truth = spark.createDataFrame([(1, "x", 1)], "product_id bigint, description string, label int")
+    twice = spark.createDataFrame([(1, 1), (1, 0)], "product_id bigint, prediction int")
+    with pytest.raises(Exception, match="several predictions"):
+        prediction_report(truth, twice).collect()
+
+
+def test_file_without_ids_and_the_whole_conversation(spark, tmp_path):
+    """A two-column file runs through the job, and the scorer gets the system prompt."""
+    from shelfsift.fixed_values import SYSTEM_PROMPT
+    from shelfsift.sources.listings import read_labelled_text
+
+    (tmp_path / "rows.csv").write_text("description,label\nnike adidas gucci,1\nplain top,0\n")
+    log = str(tmp_path / "asked")
+
+    def recording(prompts):
+        with open(log, "a") as asked:
+            asked.writelines(repr(p[0]["content"]) + "\n" for p in prompts if [m["role"] for m in p] == ["system", "user"])
+        return keyword_rule_scorer(prompts)
+
+    rows = read_labelled_text(spark, str(tmp_path / "rows.csv"))
+    done = few_shot_job(rows, recording, use_all=True, concurrency=1)
+    assert done.metrics.first()["accuracy"] == 1.0 and rows.select("product_id").distinct().count() == 2
+    with open(log) as asked:
+        assert asked.read().splitlines() == [repr(SYSTEM_PROMPT)] * 2
+
+
 def test_scorer_result_is_written_before_it_is_read(sides):
     done = few_shot_job(sides[1], keyword_rule_scorer, num_examples=5)
     plan = done.scored._jdf.queryExecution().executedPlan().toString()

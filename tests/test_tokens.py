@@ -33,6 +33,19 @@ def test_drop_tokens_keeps_the_rest(spark, tokens, limit):
     assert rows[0] == ["a", "a", "c"] and rows[3] == [] and rows[4] == ["z", "c"]
 
 
+@pytest.mark.parametrize("limit,frequent", [(100, 5), (0, 5), (0, 0), (0, 1)])
+def test_repeated_ids_repeated_keys_and_nulls(spark, limit, frequent):
+    """The same rows on every path: repeated and null ids, null tokens, repeated and null table keys."""
+    rows = [(1, ["a", "b"]), (1, ["a", "a", "c"]), (None, ["a"]), (2, ["b", None, "d"]), (2, ["b", None, "d"]), (3, None)]
+    frame = spark.createDataFrame(rows, "product_id bigint, tokens array<string>")
+    table = spark.createDataFrame(
+        [("a", "z"), ("a", "y"), ("a", None), ("b", None), ("b", None), (None, "n"), ("c", "a")], "t string, v string"
+    )
+    found = map_tokens(frame, "tokens", table, limit=limit, frequent=frequent).collect()
+    want = [(1, ["y"]), (1, ["y", "y", "a"]), (None, ["y"]), (2, [None, "d"]), (2, [None, "d"]), (3, [])]
+    assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, want))
+
+
 def test_empty_table_changes_nothing(spark, tokens):
     table = spark.createDataFrame([], "token string, value string")
     rows = {r["product_id"]: r["tokens"] for r in map_tokens(tokens, "tokens", table).collect()}
@@ -114,6 +127,18 @@ def test_lexicon_like_brute_force(spark, texts, limit):
     assert counts == {i: len([t for t in terms if t in (text or "").lower()]) for i, text in enumerate(rows)}
 
 
+def test_long_and_short_terms_do_not_blow_up_the_join(spark, texts):
+    """With a 1-letter and a 400-letter term, a row gives at most its characters per key length."""
+    from shelfsift.operators.lexicon import KEY_LENGTHS
+
+    chance = random.Random(5)
+    text = "".join(chance.choice("abcdefgh") for _ in range(3000))
+    lexicon = spark.createDataFrame([("a",), (text[100:500],), ("zz",)], "term string")
+    plan = lexicon_matches(texts([text]), lexicon, limit=0)
+    assert sorted(r["term"] for r in plan.collect()) == sorted(["a", text[100:500]])
+    assert max(KEY_LENGTHS) == 8  # the longest stretch that is ever made a row
+
+
 def test_empty_lexicon(spark, texts):
     lexicon = spark.createDataFrame([], "term string")
     assert [tuple(r) for r in lexicon_counts(texts(["a"]), lexicon).collect()] == [(0, 0)]
