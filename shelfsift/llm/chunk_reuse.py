@@ -178,9 +178,10 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     owners = chunks.groupBy("hash").agg(F.count("*").alias("n"), F.min("block").alias("owner")).where("n > 1")
     owners = stored(owners.select("hash", "owner"), "shared-chunks")
 
-    # both joins below read one shuffle of the blocks
+    # both joins below read one shuffle of the blocks; the filter that an inner join would put in stands in both
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = rows.mapInArrow(_packed, "block bigint, content binary").repartition(partitions, "block")
+    blocks = rows.mapInArrow(_packed, "block bigint, content binary").where("block IS NOT NULL")
+    blocks = blocks.repartition(partitions, "block")
 
     def owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_bytes = _bytes_encoder(encoder(shared.value))
