@@ -36,6 +36,8 @@ BLOCK_BYTES = 128 * 1024
 CUT_BITS = 10  # a cut every 2**CUT_BITS bytes on average, but no chunk shorter than LEAST_CHUNK
 LEAST_CHUNK = 256
 LONGEST_WORD = 2048
+# Pieces remembered per worker: less than elsewhere, as an executor runs encoders and decoders side by side.
+MEMORY = 250_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -184,7 +186,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     blocks = blocks.repartition(partitions, "block")
 
     def owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_bytes = _bytes_encoder(encoder(shared.value))
+        of_bytes = _bytes_encoder(encoder(shared.value, MEMORY))
         for batch in batches:
             for content, names in zip(batch.column(1), batch.column(2).to_pylist()):
                 wanted, found = set(names), {}
@@ -208,7 +210,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     met = blocks.join(given.hint("merge"), "block", "left").select("block", "content", "given")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(shared.value)
+        own = encoder(shared.value, MEMORY)
         of_bytes = _bytes_encoder(own)
         for batch in batches:
             for content, entries in zip(batch.column(1), batch.column(2)):

@@ -50,11 +50,11 @@ def _byte_letters() -> list[str]:
 
 
 class _Remembered(dict):
-    """What ``make`` gave for a key, up to MEMORY keys; the dict itself is the newer half."""
+    """What ``make`` gave for a key, up to ``memory`` keys; the dict itself is the newer half."""
 
-    def __init__(self, make):
+    def __init__(self, make, memory: int):
         super().__init__()
-        self.make = make
+        self.make, self.half = make, memory // 2
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, key: str) -> bytes:
@@ -62,7 +62,7 @@ class _Remembered(dict):
         if value is None:
             value = self.make(key)
         if len(key) <= LONGEST_REMEMBERED:
-            if len(self) >= MEMORY // 2:
+            if len(self) >= self.half:
                 self.older = dict(self)
                 self.clear()
             self[key] = value
@@ -72,7 +72,7 @@ class _Remembered(dict):
 class Encoder:
     """``encode(text)`` gives the ids as little-endian unsigned 32-bit integers, special tokens not added."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, memory: int | None = None):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(text)
@@ -92,8 +92,8 @@ class Encoder:
         if any(_WORDS.fullmatch(t) is None for t in self.added):
             self.fast = False
         self._letters = _byte_letters()
-        self._pieces = _Remembered(self._by_model)
-        self._words = _Remembered(self._by_library)
+        self._pieces = _Remembered(self._by_model, memory or MEMORY)
+        self._words = _Remembered(self._by_library, memory or MEMORY)
 
     def _by_model(self, piece: str) -> bytes:
         word = "".join([self._letters[b] for b in piece.encode()])
@@ -126,9 +126,9 @@ def share_tokenizer(spark: SparkSession, path: str) -> Broadcast:
         return spark.sparkContext.broadcast(file.read())
 
 
-def encoder(text: str) -> Encoder:
-    """This process' encoder for a tokenizer text, with what it remembers."""
-    key = hashlib.sha256(text.encode()).hexdigest()
+def encoder(text: str, memory: int | None = None) -> Encoder:
+    """This process' encoder for a tokenizer text, with what it remembers (up to ``memory`` pieces)."""
+    key = f"{hashlib.sha256(text.encode()).hexdigest()} {memory}"
     if key not in _encoders:
-        _encoders[key] = Encoder(text)
+        _encoders[key] = Encoder(text, memory)
     return _encoders[key]
