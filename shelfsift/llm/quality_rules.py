@@ -74,7 +74,7 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(f"[^{BLANKS}]"))
     cut = rows.select(
         "row",
-        F.array_remove(F.split(spaced, " "), "").alias("words"),
+        _apart(F.array_remove(F.split(spaced, " "), "")).alias("words"),
         lines.alias("lines"),
         _length_without("text", _BLANK_SIGNS).alias("word_chars"),
         (F.length("text") - _length_without("text", SYMBOLS)).alias("n_symbols"),
@@ -87,7 +87,7 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
         F.size(F.filter("lines", lambda line: line.rlike(f"^[{BLANKS}]*[-*•]"))).alias("n_bullet_lines"),
         F.size(F.filter("lines", lambda line: line.rlike(rf"(\.\.\.|…)[{BLANKS}]*$"))).alias("n_ellipsis_lines"),
-        _windows("words").alias("windows"),
+        _apart(_windows("words")).alias("windows"),
     )
     measured = hashed.withColumn("n_repeat_words", _repeated_words("windows"))
     long = [F.col(name).cast("bigint").alias(name) for name in MEASURES]
@@ -95,6 +95,12 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     return measured.select("row", *long).withColumn("fail_bits", failed.cast("bigint"))
 
 
+def _apart(value: Column) -> Column:
+    """The value, in a projection that no filter is pushed through: a filter on what follows from it would otherwise
+    hold its whole expression, and compute it again wherever it is used, also once per word."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def _length_without(text: str, signs: str) -> Column:
     return F.length(F.translate(text, signs, ""))
 
