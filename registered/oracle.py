@@ -530,4 +530,17 @@ ORACLE: dict[str, str] = {
     + "SELECT row_number() OVER (ORDER BY product_id) AS row_number, product_id,"
     + REPORT_COLUMNS
     + " FROM rule WHERE label IS NOT NULL",
+    "rf_prediction_checks": steps(LISTINGS) + "SELECT product_id, true AS by_threshold, true AS in_range FROM listings",
+    "gbt_prediction_checks": steps(LISTINGS) + "SELECT product_id, true AS by_threshold, true AS in_range FROM listings",
+    "importance_checks": steps(WORD_WEIGHTS)
+    + "SELECT 3::BIGINT AS features, count(*) AS description_terms, 1.0::DOUBLE AS total FROM vocabulary",
+    "job_scorer_checks": steps(
+        FEATURED,
+        RULE,
+        "known AS (SELECT 'hybrid' AS job, * FROM rule WHERE label IS NOT NULL"
+        " UNION ALL SELECT 'comparison', * FROM rule WHERE label IS NOT NULL AND product_id % 5 = 0)",
+    )
+    + "SELECT job, 'Random Forest' AS model, count(*) AS n, NULL::BIGINT AS tp, NULL::BIGINT AS fp FROM known GROUP BY job"
+    " UNION ALL SELECT job, 'LLM', count(*), count(*) FILTER (label = 1 AND prediction = 1),"
+    " count(*) FILTER (label = 0 AND prediction = 1) FROM known GROUP BY job",
 }

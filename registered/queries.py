@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsift.fixed_values import DESCRIPTION_SUFFIX, ENTITY_SUFFIX
+from shelfsift.fixed_values import DESCRIPTION_SUFFIX, ENTITY_SUFFIX, THRESHOLD
 from shelfsift.functions.features import LISTING_FEATURES, NOTEBOOK_FEATURES, with_listing_features, with_notebook_features
 from shelfsift.functions.prompts import block_text, built_in_examples, few_shot_block, messages, user_prompt
 from shelfsift.functions.responses import parse_responses
@@ -607,4 +607,68 @@ def hybrid_evaluation_job(spark, folder):
     return rounded(done.metrics, "accuracy", "precision", "recall", "f1_score")
 
 
+# --- what SQL can check of trained models ----------------------------------------
+
+
+def prediction_checks(predicted: DataFrame) -> DataFrame:
+    """For each listing: the prediction follows from the probability, which is one."""
+    by_threshold = F.col("prediction") == (F.col("probability") >= THRESHOLD).cast("int")
+    return predicted.select(
+        "product_id", by_threshold.alias("by_threshold"), F.col("probability").between(0, 1).alias("in_range")
+    )
+
+
+@query
+def rf_prediction_checks(spark, folder):
+    model = fit_forest(train_rows(spark, folder), dictionary(spark, folder))
+    return prediction_checks(model.transform(listings(spark, folder)))
+
+
+@query
+def gbt_prediction_checks(spark, folder):
+    frame = cut_lineage(notebook_rows(spark, folder))
+    return prediction_checks(fit_boosted(frame).transform(frame))
+
+
+@query
+def importance_checks(spark, folder):
+    """How many inputs of each kind the boosted model names, and the sum of all importances."""
+    table = feature_importance(spark, fit_boosted(cut_lineage(notebook_rows(spark, folder))))
+    kind = F.when(F.col("feature_name").isin(*NOTEBOOK_FEATURES), "feature").when(
+        F.col("feature_name").endswith(DESCRIPTION_SUFFIX), "description"
+    )
+    return table.agg(
+        F.count(F.when(kind == "feature", 1)).alias("features"),
+        F.count(F.when(kind == "description", 1)).alias("description_terms"),
+        F.round(F.sum("feature_importance"), 6).alias("total"),
+    )
+
+
+@query
+def job_scorer_checks(spark, folder):
+    """The scorer's side of the comparison and hybrid jobs, which no training touches, and each model's row count."""
+    sides = {
+        "comparison": comparison_job(
+            train_rows(spark, folder), test_rows(spark, folder), {"LLM": keyword_rule_scorer}, head_rows=None,
+            dictionary=dictionary(spark, folder), trees=10,
+        ).judged,
+        "hybrid": hybrid_job(
+            train_rows(spark, folder), labelled(spark, folder), keyword_rule_scorer, dictionary=dictionary(spark, folder),
+            trees=10,
+        ).scored.select("label", F.inline(F.array(
+            F.struct(F.lit("Random Forest").alias("model"), F.col("classical").alias("prediction")),
+            F.struct(F.lit("LLM").alias("model"), F.col("llm").alias("prediction")),
+        ))),
+    }
+    rows = None
+    for job, judged_rows in sides.items():
+        counted = confusion_matrix(judged_rows, by=("model",)).select(
+            F.lit(job).alias("job"), "model", (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("n"),
+            F.when(F.col("model") == "LLM", F.col("tp")).alias("tp"),
+            F.when(F.col("model") == "LLM", F.col("fp")).alias("fp"),
+        )
+        rows = counted if rows is None else rows.unionByName(counted)
+    return rows
+
+
 QUERIES = {name.removesuffix("_query"): build for name, build in QUERIES.items()}

@@ -7,8 +7,11 @@ import pytest
 from conftest import SMALL
 
 import __spark_entry__ as entry
+import registered.oracle
+import registered.queries
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+# the training-data operators have tests of their own
+QUERIES, SQL = registered.queries.QUERIES, registered.oracle.ORACLE
 MODEL_ONLY = {
     "rf_predictions", "gbt_predictions", "feature_importance", "boosting_logloss", "notebook_classifier_job",
     "model_comparison_job", "three_model_comparison_job", "hybrid_evaluation_job",
@@ -29,6 +32,7 @@ def in_name_order(rows, columns):
 
 
 def test_only_model_queries_have_no_sql():
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
     assert set(QUERIES) - set(SQL) == MODEL_ONLY and set(SQL) <= set(QUERIES)
 
 
