@@ -49,10 +49,15 @@ SEGMENTS = (
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int) -> bytes:
     """A zstandard dictionary from a bounded sample of encoded documents; empty if the sample is too small for one."""
     sample = inputs(docs, id="doc_id", text="text").where("text is not null")
-    sample = sample.select(F.substring("text", 1, 4 * SAMPLE_IDS).alias("text"), F.xxhash64("id", "text").alias("h"))
+    # first the largest hash that belongs to the sample, from ids alone; then only the sample's texts travel
+    sample = sample.select(F.xxhash64("id").alias("h"), F.substring("text", 1, 4 * SAMPLE_IDS).alias("text"))
+    last = sample.select("h").orderBy("h").limit(SAMPLE_DOCUMENTS).agg(F.max("h")).first()[0]
+    if last is None:
+        return b""
+    rows = sample.where(F.col("h") <= last).orderBy("h", "text").limit(SAMPLE_DOCUMENTS).collect()
     shared = share_tokenizer(docs.sparkSession, tokenizer)
     encode = encoder(shared.value).encode
-    frames = [encode(r["text"])[: 4 * SAMPLE_IDS] for r in sample.orderBy("h", "text").limit(SAMPLE_DOCUMENTS).collect()]
+    frames = [encode(r["text"])[: 4 * SAMPLE_IDS] for r in rows]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [f for f in frames if f]).as_bytes()
     except (zstandard.ZstdError, ValueError):
