@@ -75,12 +75,15 @@ def raw_words(raw: Column) -> Column:
     return F.regexp_count(raw, F.lit(f"[^{WHITESPACE}]+"))
 
 
-def with_listing_features(df: DataFrame, text: str = "description", names: list[str] | None = None) -> DataFrame:
-    """Append the named features (all 14 by default); the cleaned text is computed once per row."""
+def with_listing_features(
+    df: DataFrame, text: str = "description", names: list[str] | None = None, cleaned: str | None = None
+) -> DataFrame:
+    """Append the named features (all 14 by default); the cleaned text is computed once per row, or taken from the
+    column ``cleaned``."""
     shared = (
         df.withColumn(RAW, text_or_empty(F.col(text)))
         .withColumn(LOWERED, F.lower(F.col(RAW)))
-        .withColumn(CLEAN, words_only(remove_urls(F.col(LOWERED))))
+        .withColumn(CLEAN, F.col(cleaned) if cleaned else words_only(remove_urls(F.col(LOWERED))))
     )
     chosen = {
         name: LISTING_FEATURES[name](F.col(RAW), F.col(LOWERED), F.col(CLEAN)) for name in names or LISTING_FEATURES

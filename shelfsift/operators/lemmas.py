@@ -30,14 +30,12 @@ def lemmatize(df: DataFrame, tokens: str, dictionary: DataFrame, **options) -> D
 def corpus_dictionary(df: DataFrame, tokens: str) -> DataFrame:
     """``form, lemma`` for regular inflections whose base form occurs in the same corpus.
 
-    One pass over the texts: each distinct word is sent to its own spelling and to every
-    base form it could have, so meeting there says which base forms exist. A base form
-    has at most one word per rule, so groups stay tiny. Of several readings the first
-    rule's wins. Write the result (``cut_lineage``) if it is used more than once.
+    One pass over the texts gives the distinct words; of the at most five base forms that a word could have,
+    those stay that are words themselves. Of several readings the first rule's wins. Write the result
+    (``cut_lineage``) if it is used more than once.
     """
     # array_distinct also keeps Spark from testing the token column twice for emptiness
     words = df.select(F.explode(F.array_distinct(tokens)).alias("word")).distinct()
-    itself = F.struct(F.lit(-1).alias("rank"), F.col("word").alias("lemma"))
     readings = [
         F.when(
             F.col("word").endswith(ending) & (F.length("word") >= SHORTEST_STEM + len(ending)),
@@ -48,13 +46,9 @@ def corpus_dictionary(df: DataFrame, tokens: str) -> DataFrame:
         )
         for rank, (ending, base) in enumerate(SUFFIX_RULES)
     ]
-    sent = words.select(F.col("word").alias("form"), F.inline(F.array_compact(F.array(itself, *readings))))
-    met = sent.groupBy("lemma").agg(
-        F.max(F.col("rank") == -1).alias("known"),
-        F.collect_list(F.when(F.col("rank") >= 0, F.struct("form", "rank"))).alias("forms"),
-    )
-    found = met.where("known").select("lemma", F.inline(F.filter("forms", lambda form: form.isNotNull())))
-    return found.groupBy("form").agg(F.min_by("lemma", "rank").alias("lemma"))
+    read = words.select(F.col("word").alias("form"), F.inline(F.array_compact(F.array(*readings))))
+    known = read.join(words.withColumnRenamed("word", "lemma"), "lemma", "left_semi")
+    return known.groupBy("form").agg(F.min_by("lemma", "rank").alias("lemma"))
 
 
 def lemmatised_description(
@@ -75,13 +69,14 @@ def preprocess(
     dictionary: DataFrame | None = None,
     remove_stop: bool = True,
     stop_words: list[str] = ENGLISH_STOP_WORDS,
+    clean_column: str | None = None,
     **options,
 ) -> DataFrame:
     """Clean, lemmatise (if a dictionary is given), tokenise, drop stop words: a token array.
 
-    ``join_tokens`` of the result is the preprocessed text.
+    ``join_tokens`` of the result is the preprocessed text. ``clean_column`` names a column that is clean already.
     """
-    cleaned = df.withColumn("_clean", clean_text(F.col(text)))
+    cleaned = df.withColumn("_clean", F.col(clean_column) if clean_column else clean_text(F.col(text)))
     if dictionary is not None:
         split = cleaned.withColumn("_words", split_tokens(F.col("_clean")))
         split = lemmatize(split, "_words", dictionary, **options)

@@ -32,7 +32,7 @@ from shelfsift.fixed_values import (
     THRESHOLD,
 )
 from shelfsift.functions.features import LISTING_FEATURES, NOTEBOOK_FEATURES, with_listing_features, with_notebook_features
-from shelfsift.functions.text import blank_split, drop_digits, join_tokens
+from shelfsift.functions.text import blank_split, clean_text, drop_digits, join_tokens
 from shelfsift.operators.lemmas import lemmatised_description, preprocess
 from shelfsift.operators.metrics import threshold_label
 from shelfsift.operators.tfidf import GRAM_SPEC, WORD_SPEC, TfidfModel, TfidfSpec, fit_tfidf, with_terms
@@ -80,8 +80,14 @@ class ForestModel:
         return [*self.tfidf.feature_names(), *LISTING_FEATURES]
 
 
-def forest_terms(df: DataFrame, spec: TfidfSpec, dictionary: DataFrame | None, text: str = "description") -> DataFrame:
-    prepared = preprocess(df, text, "_kept", dictionary)
+def forest_terms(
+    df: DataFrame,
+    spec: TfidfSpec,
+    dictionary: DataFrame | None,
+    text: str = "description",
+    clean_column: str | None = None,
+) -> DataFrame:
+    prepared = preprocess(df, text, "_kept", dictionary, clean_column=clean_column)
     return with_terms(prepared, join_tokens(F.col("_kept")), spec).drop("_kept")
 
 
@@ -89,8 +95,10 @@ def forest_vectors(
     df: DataFrame, tfidf: TfidfModel, spec: TfidfSpec = GRAM_SPEC, dictionary: DataFrame | None = None
 ) -> DataFrame:
     """Append ``features``: the TF-IDF vector and the 14 hand features, side by side in one row."""
-    weighed = tfidf.with_vector(forest_terms(df, spec, dictionary)).drop("terms")
-    featured = with_listing_features(weighed)
+    # the cleaned text serves the terms and the hand features
+    cleaned = df.withColumn("_cleaned", clean_text(F.col("description")))
+    weighed = tfidf.with_vector(forest_terms(cleaned, spec, dictionary, clean_column="_cleaned")).drop("terms")
+    featured = with_listing_features(weighed, cleaned="_cleaned").drop("_cleaned")
     assembler = VectorAssembler(inputCols=["tfidf", *LISTING_FEATURES], outputCol="features")
     return assembler.transform(featured).drop("tfidf", *LISTING_FEATURES)
 
