@@ -11,13 +11,18 @@ METRICS = ("accuracy", "precision", "recall", "f1_score")
 def confusion_matrix(
     df: DataFrame, truth: str = "label", prediction: str = "prediction", by: tuple[str, ...] = ()
 ) -> DataFrame:
-    """``tn, fp, fn, tp`` per group in ``by``; all four are there even if a class never occurs."""
+    """``tn, fp, fn, tp`` per group in ``by``; all four are there even if a class never occurs.
+
+    A label or prediction that is NULL or not 0 or 1 fails loudly: leaving its row out would change every ratio.
+    """
     y, p = F.col(truth), F.col(prediction)
+    odd = F.raise_error(F.lit(f"{truth} and {prediction} must be 0 or 1 in every row")).cast("boolean")
+
+    def cell(actual: int, predicted: int) -> Column:
+        return F.count_if(F.when(y.isin(0, 1) & p.isin(0, 1), (y == actual) & (p == predicted)).otherwise(odd))
+
     return df.groupBy(*by).agg(
-        F.count_if((y == 0) & (p == 0)).alias("tn"),
-        F.count_if((y == 0) & (p == 1)).alias("fp"),
-        F.count_if((y == 1) & (p == 0)).alias("fn"),
-        F.count_if((y == 1) & (p == 1)).alias("tp"),
+        cell(0, 0).alias("tn"), cell(0, 1).alias("fp"), cell(1, 0).alias("fn"), cell(1, 1).alias("tp")
     )
 
 

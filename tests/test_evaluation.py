@@ -141,3 +141,10 @@ def test_hybrid(spark):
     assert rows[1]["text"] == "x" * 100 + "..."
     with pytest.raises(ValueError):
         combined_score(F.lit(1.0), F.lit(1.0), 0, 0)
+
+
+@pytest.mark.parametrize("row", [(None, 1), (1, None), (2, 1), (0, -1)])
+def test_odd_labels_are_refused(spark, row):
+    frame = spark.createDataFrame([(0, 0), row], "label int, prediction int")
+    with pytest.raises(Exception, match="must be 0 or 1"):
+        classification_metrics(frame).collect()
