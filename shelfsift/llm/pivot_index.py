@@ -1,7 +1,9 @@
 """Embedding near duplicates by a pivot-permutation index.
 
-A vector is described by the ordered list of its PREFIX nearest pivots (vectors of a bounded sample). Lists per pivot
-hold the vectors that name it; two vectors are candidates if they share at least SHARED pivots, and are then verified
+A vector is described by the ordered list of its PREFIX nearest pivots: vectors of a bounded sample, thinned so that no
+two lie close to each other. A dense cluster has few pivots then, however large it is, and its members name the same
+ones. If that leaves fewer pivots than PREFIX, vectors name all of them, and all pairs are compared. Lists per pivot hold
+the vectors that name it; two vectors are candidates if they share at least SHARED pivots, and are then verified
 by their cosine in double precision. Pivots are ranked by the length of their lists, rarest first: vectors that share
 SHARED of PREFIX pivots meet in the list of the rarest pivot that they share, which is among the first
 ``PREFIX - SHARED + 1`` of both, so only those lists are kept, and each pair is looked at in that one list only.
@@ -32,6 +34,8 @@ from shelfsift.llm.support import inputs, stored
 PREFIX = 12
 SHARED = 3
 LEAST_PIVOTS, MOST_PIVOTS = 64, 8192
+# Pivots have cosines below this, or below the square of the least cosine asked for if that is smaller.
+APART = 0.9
 BLOCK = 1024
 
 
@@ -62,21 +66,39 @@ def _read(df: DataFrame) -> DataFrame:
     return rows.mapInArrow(units, "vec_id bigint, key binary, unit binary")
 
 
-def choose_pivots(entries: DataFrame, count: int) -> dict[int, np.ndarray]:
-    """Per vector length, at most ``count`` pivots: the entries with the smallest key hashes, a bounded sample.
-
-    Hashes are spread evenly, so about four times as many entries lie below a cut that follows from their number; only
-    those are sorted.
+def thinned(vectors: np.ndarray, count: int, apart: float) -> np.ndarray:
+    """The first ``count`` of the vectors that have a cosine below ``apart`` with all that are taken before them."""
+    taken = vectors[:0]
+    for at in range(0, len(vectors), 256):
+        block = vectors[at : at + 256]
+        block = block[~(block @ taken.T >= apart).any(axis=1)]
+        close, free = block @ block.T >= apart, np.ones(len(block), bool)
+        for k in range(len(block)):
+            if free[k]:
+                free[k + 1 :] &= ~close[k, k + 1 :]
+        taken = np.concatenate([taken, block[free]])
+        if len(taken) >= count:
+            break
+    return taken[:count]
+
+
+def choose_pivots(entries: DataFrame, count: int, apart: float = APART) -> dict[int, np.ndarray]:
+    """Per vector length, at most ``count`` pivots: of the entries with the smallest key hashes, a bounded sample of up
+    to four times as many, those that do not lie close to one taken before.
+
+    Hashes are spread evenly, so about four times as many entries as wanted lie below a cut that follows from their
+    number; only those are sorted.
     """
     hashed = entries.select("unit", "key", F.octet_length("unit").alias("length"), F.xxhash64("key").alias("h"))
+    sample = min(MOST_PIVOTS, 4 * count)
     pivots: dict[int, np.ndarray] = {}
     for row in hashed.groupBy("length").count().collect():
         length, total = row["length"], row["count"]
-        share = min(1.0, 4 * count / total)
+        share = min(1.0, 4 * sample / total)
         cut = (1 << 63) - 1 if share == 1 else int(share * 2**64) - (1 << 63)
         low = hashed.where((F.col("length") == length) & (F.col("h") <= cut))
-        chosen = low.orderBy("h", "key").limit(count).select("unit").collect()
-        pivots[length] = np.array([np.frombuffer(r["unit"], "<f8") for r in chosen], "<f8")
+        chosen = low.orderBy("h", "key").limit(sample).select("unit").collect()
+        pivots[length] = thinned(np.array([np.frombuffer(r["unit"], "<f8") for r in chosen], "<f8"), count, apart)
     return pivots
 
 
@@ -84,9 +106,9 @@ def _matrix(units) -> np.ndarray:
     return np.array([np.frombuffer(u, "<f8") for u in units])
 
 
-def permutations(entries: DataFrame, count: int) -> DataFrame:
+def permutations(entries: DataFrame, count: int, apart: float = APART) -> DataFrame:
     """id, size, unit and ``pivots``: the PREFIX nearest pivots in order, as numbers (apart for each vector length)."""
-    shared = entries.sparkSession.sparkContext.broadcast(choose_pivots(entries, count))
+    shared = entries.sparkSession.sparkContext.broadcast(choose_pivots(entries, count, apart))
     bases = {length: k * MOST_PIVOTS for k, length in enumerate(sorted(shared.value))}
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +234,8 @@ def near_duplicates(df: DataFrame, least_cosine: float = 0.95) -> DataFrame:
     )
     entries = stored(grouped.withColumn("id", F.monotonically_increasing_id()), "entries")
     wanted = 2 ** math.ceil(math.log2(4 * math.sqrt(max(1, entries.count()))))
-    described = stored(permutations(entries, max(LEAST_PIVOTS, min(MOST_PIVOTS, wanted))), "permutations")
+    count, apart = max(LEAST_PIVOTS, min(MOST_PIVOTS, wanted)), min(APART, max(0.0, least_cosine) ** 2)
+    described = stored(permutations(entries, count, apart), "permutations")
     linked = stored(
         _tiles(described).groupBy("list", "i", "j").applyInArrow(lambda t: _of_tile(t, least_cosine), _LINKED), "tiles"
     )

@@ -81,3 +81,17 @@ def test_awkward_rows(spark):
     assert {r["vec_id"] for r in out if not r["kept"]} == {8, None, 10, 11}
     empty = spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")
     assert V.near_duplicates(empty).collect() == []
+
+
+def test_large_dense_cluster_like_all_pairs(spark):
+    """A third of all rows are distinct vectors of one cluster."""
+    chance = np.random.default_rng(3)
+    rest = chance.normal(size=(4000, 64))
+    near = chance.normal(size=64) + chance.normal(size=(2000, 64)) * 0.2
+    vectors = chance.permutation(np.concatenate([rest, near]))
+    units = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    links = (units @ units.T >= 0.95).sum(axis=1) - 1
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>")
+    mine = {r["vec_id"]: r["n_links"] for r in V.near_duplicates(frame).collect()}
+    found = np.array([mine[i] for i in range(len(vectors))])
+    assert links.sum() > 1_000_000 and (found <= links).all() and found.sum() >= 0.99 * links.sum()
