@@ -173,7 +173,7 @@ def op8_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row.doc_id",
         *(F.size(kind).cast("bigint").alias(f"n_{kind}") for kind in sanitize.KINDS),
         F.sha2(sanitize.span_list(*sanitize.KINDS), 256).alias("base_sha256"),
-        sanitize.span_list(*sanitize.KINDS, "term").alias("spans"),
+        sanitize.span_list(*sanitize.KINDS, "term", "far_term").alias("spans"),
     )
 
 

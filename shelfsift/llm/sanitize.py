@@ -5,12 +5,14 @@
    the whole corpus, documents are counted that hold the entity, the term, and the term in the entity's context.
 3. The disclosure of entity e by term t is PMI(e, t) / IC(e) with IC(e) = -log2 P(e) and
    PMI = log2 P(e, t) / (P(e) P(t)): 1 when the term occurs nowhere without the entity, 0 when it says nothing. Terms
-   at or above the threshold, seen with the entity in enough documents, are sanitised in that entity's contexts.
+   at or above the threshold, seen with the entity in enough documents, are sanitised wherever they stand: ``term``
+   holds their spans in contexts of the entity, ``far_term`` all others, in any document.
 4. ``sanitized`` replaces base spans by their kind, disclosing numbers by ``[NUMBER]`` (generalised), and removes other
    disclosing terms.
 
 Everything is Column expressions and equi joins; patterns are written so that each character is looked at a bounded
-number of times. Counts are combined before they are shuffled, and contexts, not documents, meet the entity table.
+number of times. Counts are combined before they are shuffled, and contexts, not documents, meet the entity table. The
+distinct terms of documents meet the disclosing ones inside the task while those are few, else in a join.
 
 Defined cases: a null text is empty and has no spans; repeated ids and rows are kept, each counts as a document; an
 empty table gives an empty result; other columns are carried in ``row``.
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfsift.llm.support import BLANKS, column, stored
+from shelfsift.llm.support import BLANKS, column, small_side, stored
 
 CONTEXT_WORDS = 6
 DISCLOSURE = 0.9
@@ -156,22 +158,47 @@ def _contexts(found: DataFrame) -> DataFrame:
     return sides.select("row_id", "entity", F.explode(words).alias("w")).select("row_id", "entity", "w.*")
 
 
+def _distinct_terms(text: str = "text") -> Column:
+    spaced = F.split(F.lower(text), f"[{BLANKS}]+")
+    return F.array_distinct(F.transform(spaced, lambda w: F.regexp_replace(w, f"^{_EDGE}+|{_EDGE}+$", "")))
+
+
 def _term_documents(found: DataFrame) -> DataFrame:
     """In how many documents each term occurs, over the whole corpus."""
-    spaced = F.split(F.lower("text"), f"[{BLANKS}]+")
-    bare = F.transform(spaced, lambda w: F.regexp_replace(w, f"^{_EDGE}+|{_EDGE}+$", ""))
-    terms = found.select(F.explode(F.array_distinct(bare)).alias("term")).where("term <> ''")
+    terms = found.select(F.explode(_distinct_terms()).alias("term")).where("term <> ''")
     return terms.groupBy("term").agg(F.count("*").alias("term_docs"))
 
 
+def _occurrences(text: Column, terms: Column) -> Column:
+    """The spans of all words of a text that are one of ``terms``; only hits are added to the list."""
+    edge = f"^[{BLANKS}]*+{_EDGE}*+"
+
+    def measured(piece: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(piece, edge, ""), f"{_EDGE}+$", "")
+        return F.struct(piece.alias("piece"), F.length(bare).alias("length"), F.lower(bare).alias("term"))
+
+    def step(state: Column, w: Column) -> Column:
+        start = state["at"] + F.length(w["piece"]) - F.length(F.regexp_replace(w["piece"], edge, ""))
+        span = F.struct(start.alias("start"), (start + w["length"]).alias("end"), w["term"].alias("value"))
+        spans = F.when(F.array_contains(terms, w["term"]), F.concat(state["spans"], F.array(span)))
+        return F.struct(
+            (state["at"] + F.length(w["piece"])).alias("at"), F.coalesce(spans, state["spans"]).alias("spans")
+        )
+
+    empty = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPANS).alias("spans"))
+    pieces = F.regexp_extract_all(text, F.lit(f"[{BLANKS}]*+{_WORD}+"), F.lit(0))
+    return F.aggregate(F.transform(pieces, measured), empty, step, lambda state: state["spans"])
+
+
 def find(docs: DataFrame, text: str = "text", threshold: float = DISCLOSURE, least: int = LEAST_DOCUMENTS) -> DataFrame:
-    """``row``, ``text``, the base spans per kind, and ``term``: spans of terms that disclose a protected entity."""
-    found = base_spans(docs, text)
-    anything = F.concat(*KINDS)
-    # rows with entities are few; they are written once with a number of their own, the others pass by
-    held = stored(
-        found.where(F.size(anything) > 0).withColumn("row_id", F.monotonically_increasing_id()), "held"
+    """``row``, ``text``, the base spans per kind, and ``term`` and ``far_term``: spans of terms that disclose a
+    protected entity, in its contexts and everywhere else."""
+    # rows are written once with a number of their own; their text is a column of the row
+    found = stored(
+        base_spans(docs, text).withColumn("row_id", F.monotonically_increasing_id()).drop("text"), "spans"
     )
+    found = found.withColumn("text", F.coalesce(F.col("row")[text].cast("string"), F.lit("")))
+    held = found.where(F.size(F.concat(*KINDS)) > 0)
     contexts = stored(_contexts(held), "contexts")
     total = found.agg(F.count("*")).first()[0]
     pairs = (
@@ -191,10 +218,16 @@ def find(docs: DataFrame, text: str = "text", threshold: float = DISCLOSURE, lea
         contexts.join(disclosing, ["entity", "term"]).groupBy("row_id")
         .agg(F.array_sort(F.collect_set(span)).alias("term"))
     )
+    met = (
+        found.select("row_id", F.explode(_distinct_terms()).alias("term"))
+        .join(small_side(disclosing.select("term").distinct()), "term", "left_semi")
+        .groupBy("row_id").agg(F.collect_set("term").alias("met"))
+    )
+    marks = stored(met.join(terms, "row_id", "full"), "marks")
     none = F.array().cast(_SPANS)
-    with_terms = held.join(terms, "row_id", "left").withColumn("term", F.coalesce("term", none)).drop("row_id")
-    clean = found.where(F.size(anything) == 0).withColumn("term", none)
-    return with_terms.select(*clean.columns).unionByName(clean)
+    marked = found.join(small_side(marks), "row_id", "left").withColumn("term", F.coalesce("term", none))
+    everywhere = F.when(F.col("met").isNotNull(), F.array_except(_occurrences(F.col("text"), F.col("met")), "term"))
+    return marked.select("row", "text", *KINDS, "term", F.coalesce(everywhere, none).alias("far_term"))
 
 
 def span_list(*kinds: str) -> Column:
@@ -209,9 +242,9 @@ def sanitized_text() -> Column:
     """The text of a row of ``find`` without its personal data; spans that overlap become one, named by the first."""
     def named(kind: str) -> Column:
         mark = F.lit(f"[{kind.upper()}]")
-        if kind == "term":
+        if kind in ("term", "far_term"):
             return F.transform(
-                "term",
+                kind,
                 lambda s: F.struct(
                     s["start"].alias("start"), s["end"].alias("end"),
                     F.when(s["value"].rlike("[0-9]"), F.lit("[NUMBER]")).otherwise(F.lit("")).alias("mark"),
@@ -219,7 +252,7 @@ def sanitized_text() -> Column:
             )
         return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), mark.alias("mark")))
 
-    spans = F.sort_array(F.concat(*(named(k) for k in (*KINDS, "term"))))
+    spans = F.sort_array(F.concat(*(named(k) for k in (*KINDS, "term", "far_term"))))
 
     def step(state: Column, s: Column) -> Column:
         between = F.substring(F.col("text"), state["at"] + 1, F.greatest(F.lit(0), s["start"] - state["at"]).cast("int"))

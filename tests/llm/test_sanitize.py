@@ -108,3 +108,15 @@ def test_awkward_rows(spark, awkward, no_documents):
     assert out.columns == awkward.columns and out.count() == 12
     assert [r["text"] for r in out.where("doc_id = 10").collect()] == ["[EMAIL] [IP]"]
     assert S.find(no_documents).collect() == []
+
+
+def test_disclosing_terms_far_from_the_entity(spark):
+    """Seven words away, and in documents without a base span."""
+    far = "z@b.cc one two three four five six Zorblat"
+    texts = ["Meet Zorblat; mail z@b.cc"] * 12 + [far, 'İ 👍🏽\n ("ZORBLAT") came, zorblat\twent', "Zorblatt"] + [f"word {i}" for i in range(400)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    rows = {r["row"]["doc_id"]: r for r in S.find(frame).collect()}
+    spans = {i: [(s["start"], s["end"]) for s in r["far_term"]] for i, r in rows.items() if r["far_term"]}
+    assert spans == {12: [(35, 42)], 13: [(m.start(), m.end()) for m in re.finditer("(?i)zorblat", texts[13])]}
+    cleaned = {r["doc_id"]: r["text"] for r in S.sanitize(frame).collect()}
+    assert cleaned[13] == 'İ 👍🏽\n ("") came, \twent' and cleaned[14] == "Zorblatt" and "Zorblat" not in cleaned[12]
