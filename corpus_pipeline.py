@@ -18,8 +18,8 @@ from shelfsift.llm.support import stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the default policy."""
-    return quality_rules.ledger(docs).where(quality_rules.kept()).select("row.*")
+    """Documents that pass the policy for training text, however long they are."""
+    return quality_rules.ledger(docs).where(quality_rules.kept("corpus-1")).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,6 +56,8 @@ BITS = {
 }
 BASE = ("few_words", "repeated_windows")
 POLICIES: dict[str, tuple[str, ...]] = {"base-1": BASE, "web-1": tuple(BITS)}
+# For training text: length alone rejects no document; long ones are judged by the ratio rules.
+POLICIES["corpus-1"] = tuple(name for name in BITS if name != "many_words")
 DEFAULT_POLICY = "web-1"
 
 

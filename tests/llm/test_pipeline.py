@@ -58,3 +58,9 @@ def test_run_and_awkward_rows(spark, stages, awkward, no_documents):
         for name, stage in P.STAGES:
             docs = stored(stage(spark, docs, SMALL), name)
             assert docs.columns == columns or name == "packing"
+
+
+def test_clean_book_stays(spark):
+    book = "\n".join(f"Sentence word{i}a speaks word{i}b and word{i}c here word{i}d" for i in range(13_000))
+    docs = spark.createDataFrame([(1, book), (2, "too short")], "doc_id bigint, text string")
+    assert len(book.split()) > 100_000 and [r["doc_id"] for r in P.quality(spark, docs, SMALL).collect()] == [1]
