@@ -5,8 +5,9 @@
    the whole corpus, documents are counted that hold the entity, the term, and the term in the entity's context.
 3. The disclosure of entity e by term t is PMI(e, t) / IC(e) with IC(e) = -log2 P(e) and
    PMI = log2 P(e, t) / (P(e) P(t)): 1 when the term occurs nowhere without the entity, 0 when it says nothing. Terms
-   at or above the threshold, seen with the entity in enough documents, are sanitised wherever they stand: ``term``
-   holds their spans in contexts of the entity, ``far_term`` all others, in any document.
+   at or above the threshold are sanitised wherever they stand, unless chance could explain their meeting: with E =
+   docs(e) * docs(t) / documents meetings expected, n or more have at most the probability exp(n - E) * (E / n) ** n
+   (Chernoff, for a Poisson count), which must not exceed CHANCE. For a rare entity one document is enough. ``term`` holds their spans in contexts of the entity, ``far_term`` all others, in any document.
 4. ``sanitized`` replaces base spans by their kind, disclosing numbers by ``[NUMBER]`` (generalised), and removes other
    disclosing terms.
 
@@ -27,7 +28,9 @@ from shelfsift.llm.support import BLANKS, column, small_side, stored
 
 CONTEXT_WORDS = 6
 DISCLOSURE = 0.9
-LEAST_DOCUMENTS = 5
+# No floor by number: a rare entity has few documents. What chance could explain is left out instead.
+LEAST_DOCUMENTS = 1
+CHANCE = 0.1
 
 KINDS = ("email", "ip", "card", "phone")
 # Each pattern finds what its plain form finds. A look-behind (or \G, the end of the match before) keeps the search
@@ -211,7 +214,11 @@ def find(docs: DataFrame, text: str = "text", threshold: float = DISCLOSURE, lea
     scored = pairs.join(entity_docs, "entity").join(_term_documents(found), "term")
     information = -F.log2(F.col("entity_docs") / F.lit(float(max(1, total))))
     pmi = F.log2(F.col("pair_docs") * F.lit(float(max(1, total))) / (F.col("entity_docs") * F.col("term_docs")))
-    disclosing = scored.where((information > 0) & (pmi >= threshold * information)).select("entity", "term")
+    expected = F.col("entity_docs") * F.col("term_docs") / F.lit(float(max(1, total)))
+    by_chance = F.exp(F.col("pair_docs") * (1 + F.log(expected / F.col("pair_docs"))) - expected)
+    disclosing = scored.where(
+        (information > 0) & (pmi >= threshold * information) & (by_chance <= CHANCE)
+    ).select("entity", "term")
     disclosing = stored(disclosing, "disclosing")
     span = F.struct("start", "end", F.col("term").alias("value"))
     terms = (

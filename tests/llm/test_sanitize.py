@@ -120,3 +120,14 @@ def test_disclosing_terms_far_from_the_entity(spark):
     assert spans == {12: [(35, 42)], 13: [(m.start(), m.end()) for m in re.finditer("(?i)zorblat", texts[13])]}
     cleaned = {r["doc_id"]: r["text"] for r in S.sanitize(frame).collect()}
     assert cleaned[13] == 'İ 👍🏽\n ("") came, \twent' and cleaned[14] == "Zorblatt" and "Zorblat" not in cleaned[12]
+
+
+def test_rare_entities_have_terms(spark):
+    """Entities in one to four documents; a single word beside an entity of a third of all documents may be chance."""
+    texts = [f"ask Name{n} at name{n}@b.cc or the plumber" for n in range(1, 5) for _ in range(n)]
+    texts += [f"the plumber or word {i} at ask" for i in range(200)] + ["Name4 again"]
+    texts += [f"mail all@b.cc or{' Hapax' if not i else ''}" for i in range(100)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    cleaned = [r["text"] for r in S.sanitize(frame).orderBy("doc_id").collect()]
+    assert cleaned[:10] == ["ask [NUMBER] at [EMAIL] or the plumber"] * 10
+    assert cleaned[210] == "[NUMBER] again" and "Hapax" in cleaned[211] and cleaned[10:210] == texts[10:210]
