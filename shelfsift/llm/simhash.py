@@ -23,7 +23,6 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from shelfsift.llm.components import components
 from shelfsift.llm.support import column, inputs, stored
@@ -56,16 +55,20 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * set_bits > count, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fp: the fingerprint's 64 bits as a bigint."""
+def fingerprints(docs: DataFrame, shingle: int = 3, text_hash: bool = False) -> DataFrame:
+    """doc_id, fp: the fingerprint's 64 bits as a bigint; with ``text_hash``, also a hash of the text."""
+    names = ["doc_id", "fp", *["text_hash"] * text_hash]
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits = np.array([fingerprint(text.as_py(), shingle) for text in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits.view(np.int64))], ["doc_id", "fp"])
+            columns = [batch.column(0), pa.array(bits.view(np.int64)), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = inputs(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    return rows.mapInArrow(of_batches, "doc_id bigint, fp bigint")
+    if text_hash:
+        rows = rows.withColumn("text_hash", F.xxhash64("text"))
+    return rows.mapInArrow(of_batches, ", ".join(f"{name} bigint" for name in names))
 
 
 def gray_rank(fp: str) -> Column:
@@ -233,15 +236,20 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, np.nda
                 yield int(block[a]), bool(visitor[a]), fps[at : min(b, at + 4096)]
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, limit: int = 2) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id reached through links of at most ``limit`` differing bits)."""
-    rows = stored(fingerprints(docs, shingle), "fingerprints")
+def _rooted(rows: DataFrame, limit: int) -> DataFrame:
+    """fp, least (smallest doc_id) and root (one fp per component), stored, for the fingerprints of ``rows``."""
     entries = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     roots = components(near_links(entries.select("fp"), limit))
     rooted = entries.join(roots, entries["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
-    rooted = stored(rooted, "rooted")
+    return stored(rooted, "rooted")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, limit: int = 2) -> DataFrame:
+    """doc_id, fp, component_id (smallest doc_id reached through links of at most ``limit`` differing bits)."""
+    rows = stored(fingerprints(docs, shingle), "fingerprints")
+    rooted = _rooted(rows, limit)
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(smallest, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
@@ -249,16 +257,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, limit: int = 2) -> DataFr
 
 def keep_one(docs: DataFrame, shingle: int = 3, limit: int = 2) -> DataFrame:
     """``docs`` without all but one row of each component: the row with the smallest id (null ids are greatest; of
-    rows that share the smallest id, the one with the smallest text hash)."""
-    found = near_duplicates(docs, shingle, limit)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*_id_key("doc_id")).distinct()
+    rows that share the smallest id, the one with the smallest text hash).
+
+    Components are told apart by their root, so each one without ids keeps a row. A given id stands for one row: of
+    several components whose rows were chosen by the same id, the one with the smallest text hash is kept."""
+    prints = stored(fingerprints(docs, shingle, text_hash=True), "fingerprints")
+    row = F.struct("no_id", "id", "text_hash")
+    chosen = (
+        prints.join(_rooted(prints, limit).select("fp", "root"), "fp")
+        .select("root", "text_hash", *_id_key("doc_id"))
+        .groupBy("root").agg(F.min(row).alias("row")).select("row.*")
+    )
+    of_id = chosen.where("NOT no_id").groupBy("no_id", "id").agg(F.min("text_hash").alias("text_hash"))
+    chosen = stored(of_id.unionByName(chosen.where("no_id")), "chosen")
     rows = docs.select(
         F.struct(*(column(docs, name) for name in docs.columns)).alias("row"),
         F.xxhash64(column(docs, "text")).alias("text_hash"),
     ).select("row", "text_hash", *_id_key("row.doc_id"))
-    order = Window.partitionBy("id", "no_id").orderBy("text_hash")
-    kept = rows.join(first, ["id", "no_id"], "left_semi").withColumn("copy", F.row_number().over(order))
-    return kept.where("copy = 1").select("row.*")
+    key = ["no_id", "id", "text_hash"]
+    # copies with one id and text: one of them, picked before the shuffle as well
+    return rows.join(chosen, key, "left_semi").groupBy(*key).agg(F.first("row").alias("row")).select("row.*")
 
 
 def _id_key(doc_id: str) -> list[Column]:

@@ -93,3 +93,11 @@ def test_awkward_rows(spark, awkward, no_documents):
     # empty texts 2, 3, 4 are one group; of the three rows with id 9, the copies are one group
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([1, 2, 5, 6, 7, None, 9, 10], key=str)
     assert S.near_duplicates(no_documents).collect() == [] and S.keep_one(no_documents).collect() == []
+
+
+def test_components_without_ids_keep_a_row_each(spark):
+    texts = ["one text here", "one text here", "quite another one", "and a third of them", "and a third of them"]
+    frame = spark.createDataFrame([(None, t) for t in texts] + [(3, texts[0])], "doc_id bigint, text string")
+    assert sorted(map(tuple, S.keep_one(frame).collect()), key=str) == sorted(
+        [(3, texts[0]), (None, texts[2]), (None, texts[3])], key=str
+    )
