@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsift.llm import chunk_reuse, filter_audit, hash_tree, legacy_archive, license_scan, packing, pivot_index, quality_rules, sanitize, simhash, token_archive
+from shelfsift.llm import block_search, centroids, chunk_reuse, filter_audit, hash_tree, legacy_archive, license_scan, packing, pivot_index, quality_rules, sanitize, simhash, token_archive
 from shelfsift.llm.support import hex_lower
 
 TOKENIZER = "word_bpe_49k.json"
@@ -232,6 +232,61 @@ SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS ke
 FROM counted
 """
 
+def op12_equal_average_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), clusters=8, rounds=10, length=64)
+
+
+def _op12_sql(rounds: int = 10) -> str:
+    """Each round in full: all distances (exact whole numbers in doubles), then the floors of the means."""
+    steps = ["""
+WITH vecs AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS INT) AS k, v AS c
+  FROM vecs QUALIFY k < 8)"""]
+    for n in range(rounds + 1):
+        steps.append(f"""
+a{n} AS MATERIALIZED (
+  SELECT r, vec_id, v, k, CAST(d AS BIGINT) AS d
+  FROM (SELECT *, list_dot_product(v, v) - 2 * list_dot_product(v, c) + list_dot_product(c, c) AS d FROM vecs, c{n})
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, k) = 1)""")
+        if n < rounds:
+            steps.append(f"""
+c{n + 1} AS MATERIALIZED (
+  SELECT k, coalesce(m, c) AS c FROM c{n} LEFT JOIN (
+    SELECT k, list(floor(s / n) ORDER BY i) AS m FROM (
+      SELECT k, i, sum(x) AS s, count(*) AS n
+      FROM (SELECT k, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{n}) GROUP BY k, i)
+    GROUP BY k) USING (k))""")
+    return ",".join(steps) + f"""
+SELECT vec_id, k AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(c, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (k)
+"""
+
+
+OP12_SQL = _op12_sql()
+
+
+def op13_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_search.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
+
+
+OP13_SQL = """
+WITH vecs AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score, q.r
+  FROM vecs q JOIN vecs c ON q.r <> c.r WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER spot AS INT) AS rank, vec_id, score
+FROM scored WINDOW spot AS (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) QUALIFY rank <= 5
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_mixture_packing": op2_mixture_packing,
@@ -244,6 +299,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_gray_simhash": op9_gray_simhash,
     "op10_token_files": op10_token_files,
     "op11_filter_audit": op11_filter_audit,
+    "op12_equal_average_clusters": op12_equal_average_clusters,
+    "op13_block_search": op13_block_search,
 }
 
 ORACLE: dict[str, str] = {
@@ -251,4 +308,6 @@ ORACLE: dict[str, str] = {
     "op4_legacy_archive": OP4_SQL,
     "op6_rule_ledger": OP6_SQL,
     "op11_filter_audit": OP11_SQL,
+    "op12_equal_average_clusters": OP12_SQL,
+    "op13_block_search": OP13_SQL,
 }
