@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfsift.session import spread
+from shelfsift.sources.quoted import parsed, read_records
 
 LISTING = T.StructType(
     [
@@ -28,12 +29,14 @@ def read_listings(
     schema: T.StructType = LISTING,
     columns: list[str] | None = None,
     multi_line: bool = True,
+    splittable: bool = True,
 ) -> DataFrame:
     """Delimited file with a header; quoted fields may hold line breaks and doubled quotes.
 
     The header must name the schema's columns, in any order; other columns are ignored.
-    A file whose fields may hold line breaks is read by one task, so give large inputs as
-    many files, or set ``multi_line=False`` when every record is one line.
+    Large files are read by many tasks (``sources/quoted.py``), in two passes. With
+    ``multi_line=False`` every line is a record and one pass is enough. ``splittable=False``
+    gives each file to one task instead, for files whose lines end with a bare ``\\r``.
     """
     names = _reader(spark, sep, multi_line).csv(path).columns
     by_name = {field.name: field for field in schema.fields}
@@ -41,12 +44,21 @@ def read_listings(
     if missing:
         raise ValueError(f"{path}: header has no column {', '.join(missing)}")
     layout = T.StructType([by_name.get(name, T.StructField(name, T.StringType())) for name in names])
-    return _reader(spark, sep, multi_line).schema(layout).csv(path).select(*(columns or by_name))
+    return _read(spark, path, sep, layout, multi_line, splittable).select(*(columns or by_name))
 
 
-def read_indexed_listings(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = True) -> DataFrame:
+def read_indexed_listings(
+    spark: SparkSession, path: str, sep: str = ",", multi_line: bool = True, splittable: bool = True
+) -> DataFrame:
     """File with a leading index column that the header does not name: columns by position."""
-    return _reader(spark, sep, multi_line).schema(INDEXED_LISTING).csv(path).select(*LISTING.fieldNames())
+    return _read(spark, path, sep, INDEXED_LISTING, multi_line, splittable).select(*LISTING.fieldNames())
+
+
+def _read(spark: SparkSession, path: str, sep: str, layout: T.StructType, multi_line: bool, splittable: bool) -> DataFrame:
+    if multi_line and splittable:
+        fields = [(field.name, field.dataType.simpleString()) for field in layout.fields]
+        return parsed(read_records(spark, path, sep), fields, sep)
+    return _reader(spark, sep, multi_line).schema(layout).csv(path)
 
 
 def read_labelled_text(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
