@@ -41,7 +41,8 @@ def score_with(
     Rows stream through each task in batches of ``batch_size``. If the scorer fails on a
     batch, its rows are tried one by one and the failure stays with the row that caused
     it. ``concurrency`` bounds how many tasks call the scorer at once. A retried task
-    scores again, so write the result (``cut_lineage``) before using it more than once.
+    scores again, so write the result (``cut_lineage``) before using it more than once, or
+    keep the responses in a ledger (``score_ledger.py``), which does not pay twice.
     """
     if batch_size < 1:
         raise ValueError("batch_size must be at least 1")

@@ -21,6 +21,7 @@ from shelfsift.operators.hybrid import explain, with_hybrid
 from shelfsift.operators.metrics import classification_metrics, classification_report, model_comparison
 from shelfsift.operators.reports import report_lines
 from shelfsift.operators.sampling import few_shot_examples, head_subset
+from shelfsift.operators.score_ledger import score_with_ledger
 from shelfsift.operators.scoring import Scorer, score_with
 from shelfsift.operators.truecase import surface_forms
 from shelfsift.plans.models import (
@@ -88,17 +89,23 @@ def score_listings(
     concurrency: int | None = None,
     keep: tuple[str, ...] = ("product_id",),
     system: str | None = SYSTEM_PROMPT,
+    ledger: tuple[str, str] | None = None,
 ) -> DataFrame:
     """``keep`` columns with ``is_spam, spam_score, reasoning, parse_status``; responses are written once, then read.
 
+    With ``ledger`` (a folder, and the scorer's name and version), responses are kept there, and prompts that it has an
+    answer for are not sent again, by this job or any later one.
+
     The scorer gets the system and the user message. Columns that later steps need go through scoring (``keep``), so
     nothing is joined back and repeated ids do no harm.
     """
     block = block_text(choose_examples(listings.sparkSession, examples))
     prompts = listings.select(*keep, user_prompt(F.col("description"), block, long_form).alias("prompt"))
-    answered = cut_lineage(
-        score_with(prompts, scorer, keep=keep, batch_size=batch_size, concurrency=concurrency, system=system)
-    )
+    options = {"keep": keep, "batch_size": batch_size, "concurrency": concurrency, "system": system}
+    if ledger:
+        answered = score_with_ledger(prompts, scorer, *ledger, **options)
+    else:
+        answered = cut_lineage(score_with(prompts, scorer, **options))
     parsed = parse_responses(answered, error="score_error", lenient=long_form)
     return parsed.select(*keep, "is_spam", "spam_score", "reasoning", "parse_status")
 
@@ -114,13 +121,15 @@ def few_shot_job(
     seed: int = SEED,
     batch_size: int = SCORE_BATCH_SIZE,
     concurrency: int | None = None,
+    ledger: tuple[str, str] | None = None,
 ) -> ScoredResult:
     """Pick examples, prompt, score, parse, report, measure. The subset is taken before scoring."""
     subset = head_subset(test, num_examples, use_all)
     picked = few_shot_examples(train, num_few_shot, seed) if train is not None and not use_built_in else None
     rows = score_listings(
-        subset, scorer, picked, batch_size=batch_size, concurrency=concurrency, keep=("product_id", "description", "label")
-    )
+        subset, scorer, picked, batch_size=batch_size, concurrency=concurrency,
+        keep=("product_id", "description", "label"), ledger=ledger,
+    )
     judged = rows.withColumnRenamed("is_spam", "prediction")
     scored = rows.drop("description", "label")
     return ScoredResult(scored, report_lines(judged, whole=use_all), classification_metrics(judged))
