@@ -6,15 +6,13 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfsift.operators.lexicon_shards import sharded_matches
 from shelfsift.session import BROADCAST_ROWS, cut_lineage, small_table
 
-# A term of a large lexicon is looked for by its first 8, 4, 2 or 1 characters: the most that it has.
-KEY_LENGTHS = (8, 4, 2, 1)
-
 
 def lexicon_matches(
     df: DataFrame,
@@ -25,9 +23,8 @@ def lexicon_matches(
 ) -> DataFrame:
     """``row_key, term``, each once: every lexicon term (one column, lower case) inside the lowered text.
 
-    A small lexicon goes to the tasks as one automaton, which reads each text once. Of a larger one, terms meet a row's
-    distinct stretches of at most 8 characters in an equi join, and what meets is verified on the whole text; the
-    stretches do not grow with the longest term, nor shrink to the shortest.
+    A small lexicon goes to the tasks as one automaton, which reads each text once. A larger one is cut into shards, and
+    a text visits those whose terms can begin in it (``lexicon_shards.py``).
     """
     terms = lexicon.toDF("term").where(F.length("term") > 0).distinct()
     lowered = df.select(F.col(row_key).alias("_key"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_text"))
@@ -35,7 +32,7 @@ def lexicon_matches(
     if small is not None:
         found = lowered.select("_key", F.explode(_automaton(df, small)("_text")).alias("term"))
     else:
-        found = _by_first_characters(lowered, terms)
+        found = _by_shards(lowered, terms)
     return found.select(F.col("_key").alias(row_key), "term").distinct()
 
 
@@ -74,23 +71,11 @@ class _Terms:
         return list({term for _, term in self.automaton.iter(text)})
 
 
-def _by_first_characters(lowered: DataFrame, terms: DataFrame) -> DataFrame:
-    key = F.coalesce(*(F.when(F.length("term") >= n, F.left("term", F.lit(n))) for n in KEY_LENGTHS))
-    keyed = terms.withColumn("_start", key)
-    in_use = [n for n in KEY_LENGTHS if keyed.where(F.length("_start") == n).limit(1).count()]
+def _by_shards(lowered: DataFrame, terms: DataFrame) -> DataFrame:
     # equal texts share what is found in them
-    rows = cut_lineage(lowered.withColumn("_content", F.sha2("_text", 256)))
-    texts = rows.groupBy("_content").agg(F.first("_text").alias("_text"))
-
-    def stretches(n: int) -> Column:
-        return F.array_distinct(F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
-
-    starts = texts.select("_content", F.explode(F.concat(F.array().cast("array<string>"), *map(stretches, in_use))).alias("_start"))
-    maybe = starts.join(keyed, "_start").groupBy("_content").agg(F.collect_set("term").alias("_maybe"))
-    met = texts.join(maybe, "_content").select(
-        "_content", F.explode(F.filter("_maybe", lambda term: F.contains(F.col("_text"), term))).alias("term")
-    )
-    return rows.select("_key", "_content").join(met, "_content").select("_key", "term")
+    rows = cut_lineage(lowered.withColumn("content", F.sha2("_text", 256)))
+    texts = rows.groupBy("content").agg(F.first("_text").alias("text"))
+    return rows.select("_key", "content").join(sharded_matches(texts, terms), "content").select("_key", "term")
 
 
 def lexicon_counts(df: DataFrame, lexicon: DataFrame, **options) -> DataFrame:
