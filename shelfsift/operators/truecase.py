@@ -48,8 +48,8 @@ def gazetteer_entities(
 ) -> DataFrame:
     """``row_key, entity``, each once: names from a one-column table found as whole token runs.
 
-    A name is looked for by its first word, then verified; nothing grows with the longest name. A small table goes to
-    the tasks; of a larger one, names meet each row's distinct words in an equi join.
+    A small table goes to the tasks, where names are looked for by their first word. Of a larger one, a name meets the places
+    of the word that fewest rows hold among its words, so a word that many names share costs nothing.
     """
     table = names.toDF("name").where(F.col("name").isNotNull()).distinct()
     words = df.select(F.col(row_key).alias("_key"), F.coalesce(F.col(tokens), F.array().cast("array<string>")).alias("_words"))
@@ -57,21 +57,30 @@ def gazetteer_entities(
     if small is not None:
         found = words.select("_key", F.explode(_names_in(df, small)("_words")).alias("entity"))
     else:
-        first = F.split("name", " ")[0]
-        rows = cut_lineage(words.withColumn("_list", F.xxhash64("_words")))
-        starts = rows.select("_list", F.explode(F.array_distinct("_words")).alias("_first")).distinct()
-        maybe = starts.join(table.withColumn("_first", first), "_first")
-        maybe = maybe.groupBy("_list").agg(F.collect_set("name").alias("_maybe"))
-        text = F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" "))
-        found = rows.withColumn("_text", text).join(maybe, "_list").select(
-            "_key",
-            F.explode(
-                F.filter("_maybe", lambda name: F.contains(F.col("_text"), F.concat(F.lit(" "), name, F.lit(" "))))
-            ).alias("entity"),
-        )
+        found = _by_rarest_word(words, table)
     return found.select(F.col("_key").alias(row_key), "entity").distinct()
 
 
+def _by_rarest_word(words: DataFrame, names: DataFrame) -> DataFrame:
+    """``_key, entity`` by a positional join: the rarest word of a name says where the name would have to begin, and
+    that place is compared. No group is gathered; names with a word that no row holds drop out first."""
+    rows = cut_lineage(words.withColumn("_row", F.monotonically_increasing_id()))
+    offsets = names.select("name", F.posexplode(F.split("name", " ")).alias("offset", "word"))
+    counts = (
+        rows.select(F.explode(F.array_distinct("_words")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+        .join(offsets.select("word").distinct(), "word", "left_semi")
+    )
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "offset")).alias("rarest")
+    keyed = cut_lineage(offsets.join(counts, "word", "left").groupBy("name").agg(rarest).where("rarest.n > 0"))
+    places = rows.select("_row", F.posexplode("_words").alias("at", "word"))
+    starts = places.join(keyed.select("name", "rarest.word", "rarest.offset"), "word").select(
+        "_row", "name", (F.col("at") - F.col("offset")).alias("start")
+    )
+    parts = F.split("name", " ")
+    met = rows.join(starts.where("start >= 0"), "_row")
+    return met.where(F.slice("_words", F.col("start") + 1, F.size(parts)) == parts).select("_key", F.col("name").alias("entity"))
+
+
 class _Names:
     """Names by their first word, as tuples of words; the index is built once in each Python worker."""
 

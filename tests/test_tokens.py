@@ -114,6 +114,37 @@ def test_gazetteer_matches_whole_runs(spark, limit):
     assert found == [(0, "new balance"), (0, "york"), (3, "york")]
 
 
+def runs_in(words, names):
+    return {n for n in names for at in range(len(words)) if words[at : at + len(n.split(" "))] == n.split(" ")}
+
+
+def test_many_names_that_share_a_first_word(spark):
+    """100,000 names begin with the word that every row holds; each meets the places of its rarest word only."""
+    chance = random.Random(8)
+    names = [f"the shop{k}" for k in range(100_000)] + ["the the", "the old the", "of the old", "old of shop7"]
+    rows = [
+        (i, [w for _ in range(chance.randrange(12)) for w in ("the", chance.choice(["old", "of", f"shop{chance.randrange(40)}"]))])
+        for i in range(60)
+    ]
+    frame = spark.createDataFrame(rows, "product_id bigint, words array<string>")
+    table = spark.createDataFrame([(n,) for n in names], "name string")
+    found = gazetteer_entities(frame, "words", table, limit=0).collect()
+    assert len(found) == len(set(found))
+    few = [n for n in names if n.split(" ")[-1] in {w for _, words in rows for w in words}]
+    assert set(map(tuple, found)) == {(i, n) for i, words in rows for n in runs_in(words, few)}
+
+
+def test_gazetteer_paths_agree(spark):
+    chance = random.Random(4)
+    word = lambda: chance.choice(["a", "b", "c", "", None, "d e"])
+    rows = [(chance.choice([i, 1, None]), [word() for _ in range(chance.randrange(9))]) for i in range(60)] + [(5, None)]
+    names = {" ".join(chance.choice(["a", "b", "c", "z", ""]) for _ in range(chance.randint(1, 3))) for _ in range(40)}
+    frame = spark.createDataFrame(rows, "product_id bigint, words array<string>")
+    table = spark.createDataFrame([(n,) for n in names], "name string")
+    both = [set(map(tuple, gazetteer_entities(frame, "words", table, limit=n).collect())) for n in (1000, 0)]
+    assert both[0] == both[1] == {(i, n) for i, words in rows for n in runs_in(words or [], names)}
+
+
 @pytest.mark.parametrize("limit", [1000, 0])
 def test_lexicon_like_brute_force(spark, texts, limit):
     rng = random.Random(3)
@@ -127,16 +158,18 @@ def test_lexicon_like_brute_force(spark, texts, limit):
     assert counts == {i: len([t for t in terms if t in (text or "").lower()]) for i, text in enumerate(rows)}
 
 
-def test_long_and_short_terms_do_not_blow_up_the_join(spark, texts):
-    """With a 1-letter and a 400-letter term, a row gives at most its characters per key length."""
-    from shelfsift.operators.lexicon import KEY_LENGTHS
+def test_long_and_short_terms(spark, texts):
+    """A 1-letter and a 400-letter term: beginnings have at most 8 characters, whatever the terms."""
+    from shelfsift.operators.lexicon_shards import KEY_LENGTHS
 
     chance = random.Random(5)
     text = "".join(chance.choice("abcdefgh") for _ in range(3000))
     lexicon = spark.createDataFrame([("a",), (text[100:500],), ("zz",)], "term string")
     plan = lexicon_matches(texts([text]), lexicon, limit=0)
     assert sorted(r["term"] for r in plan.collect()) == sorted(["a", text[100:500]])
-    assert max(KEY_LENGTHS) == 8  # the longest stretch that is ever made a row
+    assert max(KEY_LENGTHS) == 8
+    explained = plan._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in explained  # no stretches of the text are made
 
 
 def test_empty_lexicon(spark, texts):
