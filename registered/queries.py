@@ -287,7 +287,8 @@ def prediction_report_query(spark, folder):
 
 
 def gram_terms(spark: SparkSession, folder: str) -> DataFrame:
-    return forest_terms(listings(spark, folder), GRAM_SPEC, dictionary(spark, folder)).select("product_id", "terms")
+    rows = listings(spark, folder).select("product_id", "description")
+    return forest_terms(rows, GRAM_SPEC, dictionary(spark, folder), store=True)
 
 
 def notebook_rows(spark: SparkSession, folder: str) -> DataFrame:

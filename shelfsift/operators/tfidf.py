@@ -1,6 +1,7 @@
 """Exact TF-IDF with n-grams and a bounded vocabulary.
 
-Fitting is one pass and one shuffle of map-side combined term counts. Weighing is
+Fitting is one pass and one shuffle of map-side combined term counts, or, for the many pairs of a large corpus, two
+passes that shuffle bounded summaries only (``heavy_terms.py``). Weighing is
 row-local: the vocabulary (at most ``max_features`` terms) goes to the tasks and each
 row becomes a sparse vector there, so texts are never exploded or shuffled.
 """
@@ -22,21 +23,26 @@ from shelfsift.fixed_values import (
     WORD_VOCABULARY,
 )
 from shelfsift.functions.text import bigrams, remove_stopwords, vector_terms
+from shelfsift.operators.heavy_terms import TRACKED, top_terms
 
 
 @dataclass(frozen=True)
 class TfidfSpec:
-    """``min_df`` and ``max_df``: a whole number is a row count, a fraction a share of rows."""
+    """``min_df`` and ``max_df``: a whole number is a row count, a fraction a share of rows.
+
+    With ``tracked``, the vocabulary is found from bounded summaries, with the same result."""
 
     max_features: int
     min_df: float = 1
     max_df: float = 1.0
     pairs: bool = False
     stop_words: tuple[str, ...] = ()
+    # items that a summary of the corpus tracks per bucket; without it all terms are counted
+    tracked: int | None = None
 
 
 WORD_SPEC = TfidfSpec(WORD_VOCABULARY, stop_words=tuple(ENGLISH_STOP_WORDS))
-GRAM_SPEC = TfidfSpec(GRAM_VOCABULARY, GRAM_MIN_DF, GRAM_MAX_DF, pairs=True)
+GRAM_SPEC = TfidfSpec(GRAM_VOCABULARY, GRAM_MIN_DF, GRAM_MAX_DF, pairs=True, tracked=TRACKED)
 
 
 def with_terms(df: DataFrame, text: Column, spec: TfidfSpec, output: str = "terms") -> DataFrame:
@@ -66,9 +72,14 @@ def term_counts(df: DataFrame, terms: str = "terms") -> DataFrame:
 def vocabulary(df: DataFrame, spec: TfidfSpec, terms: str = "terms", rows: int | None = None) -> DataFrame:
     """``term, cf, df`` of the most frequent terms within the df bounds; ties go to the lesser term."""
     rows = df.count() if rows is None else rows
+    low, high = _bound(spec.min_df, rows), _bound(spec.max_df, rows)
+    if spec.tracked:
+        found = top_terms(df, spec.max_features, terms, low, high, spec.tracked)
+        if found is not None:
+            return found
     counted = term_counts(df, terms)
     return (
-        counted.where((F.col("df") >= _bound(spec.min_df, rows)) & (F.col("df") <= _bound(spec.max_df, rows)))
+        counted.where((F.col("df") >= low) & (F.col("df") <= high))
         .orderBy(F.desc("cf"), "term")
         .limit(spec.max_features)
     )

@@ -80,14 +80,21 @@ class ForestModel:
         return [*self.tfidf.feature_names(), *LISTING_FEATURES]
 
 
+def prepared_listings(df: DataFrame, dictionary: DataFrame | None, text: str = "description") -> DataFrame:
+    """Append ``_cleaned``, the cleaned text, and ``_kept``, its tokens: what terms and hand features are made of."""
+    cleaned = df.withColumn("_cleaned", clean_text(F.col(text)))
+    return preprocess(cleaned, text, "_kept", dictionary, clean_column="_cleaned")
+
+
 def forest_terms(
-    df: DataFrame,
-    spec: TfidfSpec,
-    dictionary: DataFrame | None,
-    text: str = "description",
-    clean_column: str | None = None,
+    df: DataFrame, spec: TfidfSpec, dictionary: DataFrame | None, text: str = "description", store: bool = False
 ) -> DataFrame:
-    prepared = preprocess(df, text, "_kept", dictionary, clean_column=clean_column)
+    """Append ``terms``. With ``store``, the tokens are written first, without the text: terms are then read often."""
+    prepared = prepared_listings(df, dictionary, text).drop("_cleaned")
+    return _with_kept_terms(cut_lineage(prepared.drop(text)) if store else prepared, spec)
+
+
+def _with_kept_terms(prepared: DataFrame, spec: TfidfSpec) -> DataFrame:
     return with_terms(prepared, join_tokens(F.col("_kept")), spec).drop("_kept")
 
 
@@ -95,9 +102,11 @@ def forest_vectors(
     df: DataFrame, tfidf: TfidfModel, spec: TfidfSpec = GRAM_SPEC, dictionary: DataFrame | None = None
 ) -> DataFrame:
     """Append ``features``: the TF-IDF vector and the 14 hand features, side by side in one row."""
-    # the cleaned text serves the terms and the hand features
-    cleaned = df.withColumn("_cleaned", clean_text(F.col("description")))
-    weighed = tfidf.with_vector(forest_terms(cleaned, spec, dictionary, clean_column="_cleaned")).drop("terms")
+    return _prepared_vectors(prepared_listings(df, dictionary), tfidf, spec)
+
+
+def _prepared_vectors(prepared: DataFrame, tfidf: TfidfModel, spec: TfidfSpec) -> DataFrame:
+    weighed = tfidf.with_vector(_with_kept_terms(prepared, spec)).drop("terms")
     featured = with_listing_features(weighed, cleaned="_cleaned").drop("_cleaned")
     assembler = VectorAssembler(inputCols=["tfidf", *LISTING_FEATURES], outputCol="features")
     return assembler.transform(featured).drop("tfidf", *LISTING_FEATURES)
@@ -111,10 +120,13 @@ def fit_forest(
     depth: int = FOREST_DEPTH,
     seed: int = SEED,
 ) -> ForestModel:
-    """Vocabulary from the training texts, then the forest. ``train``: description, label (0/1)."""
-    tfidf = fit_tfidf(forest_terms(train, spec, dictionary), spec)
+    """Vocabulary from the training texts, then the forest. ``train``: description, label (0/1).
+
+    Texts are cleaned and lemmatised once; the vocabulary and the vectors read what was written then."""
+    prepared = cut_lineage(prepared_listings(train.select("description", "label"), dictionary))
+    tfidf = fit_tfidf(_with_kept_terms(prepared, spec), spec)
     vectors = cut_lineage(
-        forest_vectors(train, tfidf, spec, dictionary).select("features", F.col("label").cast("double").alias("label"))
+        _prepared_vectors(prepared, tfidf, spec).select("features", F.col("label").cast("double").alias("label"))
     )
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(vectors)
     return ForestModel(tfidf, spec, dictionary, forest)
