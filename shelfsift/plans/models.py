@@ -37,6 +37,7 @@ from shelfsift.operators.lemmas import lemmatised_description, preprocess
 from shelfsift.operators.metrics import threshold_label
 from shelfsift.operators.tfidf import GRAM_SPEC, WORD_SPEC, TfidfModel, TfidfSpec, fit_tfidf, with_terms
 from shelfsift.operators.truecase import capitalised_entities, truecase
+from shelfsift.plans.second_order import BoostSpec, SecondOrderModel, fit_second_order, gain_importance
 from shelfsift.session import cut_lineage
 
 
@@ -160,7 +161,7 @@ class BoostedModel:
     entities: TfidfModel
     words: TfidfModel
     include_product_id: bool
-    trees: GBTClassificationModel
+    trees: GBTClassificationModel | SecondOrderModel
     stop_words: tuple[str, ...] = tuple(ENGLISH_STOP_WORDS)
 
     def vectors(self, frame: DataFrame) -> DataFrame:
@@ -168,6 +169,8 @@ class BoostedModel:
 
     def transform(self, frame: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         """Append ``probability`` and ``prediction`` to a notebook frame."""
+        if isinstance(self.trees, SecondOrderModel):
+            return self.trees.transform(self.vectors(frame), threshold).drop("features")
         return with_probability(self.trees.transform(self.vectors(frame)), threshold)
 
     def feature_names(self) -> list[str]:
@@ -219,9 +222,12 @@ def fit_boosted(
     step: float = BOOST_STEP,
     seed: int = SEED,
     stop_words: list[str] = ENGLISH_STOP_WORDS,
+    second_order: bool = False,
 ) -> BoostedModel:
     """Boosted trees over a notebook frame with ``label`` and ``split``.
 
+    MLlib's trees, or, with ``second_order``, trees that maximise the regularised second-order gain.
+
     Vocabularies come from all rows of the frame. The trees learn from the train rows, or,
     with ``fit_on="all"``, from the test rows as well.
     """
@@ -236,6 +242,9 @@ def fit_boosted(
             "features", F.col("label").cast("double").alias("label")
         )
     )
+    if second_order:
+        fitted = fit_second_order(vectors, BoostSpec(rounds=rounds, depth=depth, step=step))
+        return BoostedModel(entities, words, include_product_id, fitted, tuple(stop_words))
     trees = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed).fit(vectors)
     return BoostedModel(entities, words, include_product_id, trees, tuple(stop_words))
 
@@ -245,15 +254,22 @@ def staged_log_loss(model: BoostedModel, frames: dict[str, DataFrame]) -> DataFr
     rows = []
     for name, frame in frames.items():
         labelled = model.vectors(frame).select("features", F.col("label").cast("double").alias("label"))
-        # MLlib's loss is twice the binomial log loss
-        losses = model.trees.evaluateEachIteration(labelled)
-        rows += [(number, name, loss / 2) for number, loss in enumerate(losses)]
+        if isinstance(model.trees, SecondOrderModel):
+            losses = model.trees.staged_losses(labelled)
+        else:  # MLlib's loss is twice the binomial log loss
+            losses = [loss / 2 for loss in model.trees.evaluateEachIteration(labelled)]
+        rows += [(number, name, loss) for number, loss in enumerate(losses)]
     spark = next(iter(frames.values())).sparkSession
     return spark.createDataFrame(rows, "round int, dataset string, logloss double")
 
 
 def feature_importance(spark: SparkSession, model: ForestModel | BoostedModel) -> DataFrame:
-    """``feature_name, feature_importance``, most important first (one row per model input)."""
+    """``feature_name, feature_importance``, most important first (one row per model input).
+
+    MLlib's normalised impurity gains, or of second-order trees the mean gain of a feature's splits as a share."""
+    if isinstance(model, BoostedModel) and isinstance(model.trees, SecondOrderModel):
+        nodes = model.trees.node_table(spark, model.feature_names())
+        return gain_importance(nodes, model.feature_names()).select("feature_name", "feature_importance")
     trees = model.forest if isinstance(model, ForestModel) else model.trees
     rows = [(name, float(value)) for name, value in zip(model.feature_names(), trees.featureImportances.toArray())]
     table = spark.createDataFrame(rows, "feature_name string, feature_importance double")
