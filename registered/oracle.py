@@ -43,6 +43,14 @@ def word_list(words: list[str]) -> str:
 
 STOP_LIST = word_list(ENGLISH_STOP_WORDS)
 
+# the hand features in the order of the assembled vector, and those of the first split
+HAND_FEATURES = [
+    "text_length", "clean_text_length", "word_count", "hashtag_count", "uppercase_ratio", "special_char_ratio",
+    "hashtag_to_text_ratio", "contains_ignore", "contains_hashtags_at_end", "hashtag_section_length", "brand_count",
+    "tag_indicators", "keyword_density", "has_tag_section",
+]
+ROOT_FEATURES = ["contains_ignore", "contains_hashtags_at_end", "brand_count", "tag_indicators", "has_tag_section"]
+
 
 def clean(text: str) -> str:
     no_urls = f"regexp_replace(lower(coalesce({text}, '')), '(http|www)[^{WHITESPACE}]+', '', 'g')"
@@ -115,6 +123,26 @@ readings AS (
   UNION ALL SELECT word, 4, left(word, length(word) - 2) FROM vocab WHERE ends_with(word, 'ed') AND length(word) >= 5),
 dictionary AS (
   SELECT form, arg_min(lemma, rank) AS lemma FROM readings WHERE lemma IN (SELECT word FROM vocab) GROUP BY form)"""
+# rewrites of endings by at most one character behind the same stem, scored by the words that they explain
+LEARNT_LEMMAS = """
+vocab AS (SELECT DISTINCT unnest(words) AS word FROM clean_words),
+forms AS (
+  SELECT word AS form, word[:len(word) - n] AS stem, word[len(word) - n + 1:] AS ending
+  FROM vocab, (VALUES (1), (2), (3), (4)) AS v(n) WHERE len(word) >= 3 + n),
+bases AS (
+  SELECT word AS lemma, word AS stem, '' AS base_ending FROM vocab WHERE len(word) >= 3
+  UNION ALL SELECT word, word[:len(word) - 1], word[len(word):] FROM vocab WHERE len(word) >= 4),
+rewrites AS (
+  SELECT form, ending, base_ending, lemma FROM forms JOIN bases USING (stem)
+  WHERE base_ending = '' OR (len(ending) > 1 AND ending[1] <> base_ending)),
+rules AS (
+  SELECT ending, base_ending, explains, words
+  FROM (SELECT ending, base_ending, count(*) AS explains FROM rewrites GROUP BY ALL)
+  JOIN (SELECT ending, count(*) AS words FROM forms GROUP BY ending) USING (ending)
+  WHERE explains >= 5 AND 100 * explains >= 20 * words),
+learnt AS (
+  SELECT form, lemma FROM rewrites JOIN rules USING (ending, base_ending)
+  QUALIFY row_number() OVER (PARTITION BY form ORDER BY explains DESC, len(ending) DESC, ending, base_ending) = 1)"""
 LEMMAS = f"""
 spelled AS (SELECT product_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM clean_words),
 lemmas AS (
@@ -398,6 +426,8 @@ ORACLE: dict[str, str] = {
     + f"SELECT product_id, len({without_stop_words('tokens')})::BIGINT AS n_kept,"
     + f" array_to_string({without_stop_words('tokens')}, ' ') AS kept FROM tokens",
     "lemma_dictionary": steps(LISTINGS, CLEANED, CLEAN_WORDS, LEMMA_DICTIONARY) + "SELECT form, lemma FROM dictionary",
+    "lemma_rules": steps(LISTINGS, CLEANED, CLEAN_WORDS, LEARNT_LEMMAS) + "SELECT * FROM rules",
+    "lemma_learnt": steps(LISTINGS, CLEANED, CLEAN_WORDS, LEARNT_LEMMAS) + "SELECT * FROM learnt",
     "lemmatize_dict": steps(PREPROCESSED) + "SELECT product_id, lemmas FROM lemmas",
     "preprocess": steps(PREPROCESSED) + "SELECT product_id, preprocessed FROM preprocessed",
     "clean_description": steps(LISTINGS, DESCRIPTIONS) + "SELECT product_id, clean_description FROM described",
@@ -423,6 +453,8 @@ ORACLE: dict[str, str] = {
     "lexicon_hits": steps(LISTINGS, PART_LEXICON)
     + "SELECT l.product_id, count(f.term) AS term_hits FROM listings l LEFT JOIN found f"
     " ON f.product_id = l.product_id GROUP BY l.product_id",
+    "lexicon_terms_large": steps(LISTINGS, PART_LEXICON)
+    + "SELECT term, count(*) AS listings FROM found GROUP BY term",
     "lexicon_terms": steps(LISTINGS, PART_LEXICON) + "SELECT term, count(*) AS listings FROM found GROUP BY term",
     "model_frame": steps(LISTINGS, DESCRIPTIONS, NOTEBOOK)
     + "SELECT * REPLACE (label::BIGINT AS label) FROM notebook WHERE label IS NOT NULL",
@@ -439,6 +471,22 @@ ORACLE: dict[str, str] = {
     + "SELECT split, label::BIGINT AS label, count(*) AS n FROM listings GROUP BY split, label",
     "head_subset": steps(LISTINGS) + "SELECT product_id, description FROM listings ORDER BY product_id LIMIT 20",
     "few_shot_balanced": steps(LISTINGS, FEW_SHOT) + "SELECT place, product_id, description, label FROM few_shot",
+    "few_shot_merged": steps(LISTINGS, FEW_SHOT) + "SELECT place, product_id, description, label FROM few_shot",
+    "csv_listings": steps(LISTINGS)
+    + "SELECT product_id, md5(description) AS text_md5, length(description)::BIGINT AS text_length, label::BIGINT AS label"
+    " FROM listings",
+    "entity_gazetteer_large": steps(
+        LISTINGS,
+        f"passages AS (SELECT string_split({ascii_surface('text')}, ' ') AS w FROM benchmark)",
+        "names AS (SELECT DISTINCT unnest(list_concat("
+        "list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),"
+        " list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS name FROM passages)",
+        f"spelled AS (SELECT product_id, string_split({ascii_surface('description')}, ' ') AS w FROM listings)",
+        "runs AS (SELECT DISTINCT product_id, unnest(list_concat("
+        "list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),"
+        " list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS entity FROM spelled)",
+    )
+    + "SELECT product_id, entity FROM runs WHERE entity IN (SELECT name FROM names)",
     "prediction_report": steps(FEATURED)
     + "SELECT row_number() OVER (ORDER BY product_id) AS row_number, product_id,"
     + REPORT_COLUMNS.replace("prediction", "has_tag_section")
@@ -466,6 +514,18 @@ ORACLE: dict[str, str] = {
     )
     + "SELECT product_id, count(*) FILTER (value <> 0)::BIGINT AS n_nonzero, round(sum(value), 4) AS total"
     " FROM entries GROUP BY product_id",
+    "feature_vector_long": steps(
+        GRAMS,
+        FEATURES,
+        "places AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS ix FROM vocabulary)",
+        "names AS (SELECT unnest(" + word_list(HAND_FEATURES) + ") AS name,"
+        f" generate_subscripts({word_list(HAND_FEATURES)}, 1) - 1 + (SELECT count(*) FROM vocabulary) AS ix)",
+        "hand AS (UNPIVOT (SELECT product_id, COLUMNS(* EXCLUDE (product_id, description, label, split))::DOUBLE"
+        " FROM features) ON * EXCLUDE (product_id) INTO NAME name VALUE value)",
+        "entries AS (SELECT product_id, ix, value FROM hand JOIN names USING (name)"
+        " UNION ALL SELECT product_id, ix, tfidf FROM weights JOIN places USING (term))",
+    )
+    + "SELECT product_id, ix::BIGINT AS ix, round(value, 6) AS value FROM entries WHERE value <> 0",
     "few_shot_block": steps(LISTINGS, FEW_SHOT)
     + "SELECT string_agg('Description: ' || description || chr(10) || 'Label: ' || label, chr(10) || chr(10)"
     " ORDER BY place) AS block FROM few_shot",
@@ -479,6 +539,9 @@ ORACLE: dict[str, str] = {
     "score_batches": steps(FEATURED, RULE)
     + "SELECT product_id, prediction AS is_spam, round(spam_score, 6) AS spam_score, reasoning, 'ok' AS parse_status"
     " FROM rule",
+    "score_ledger": steps(FEATURED, RULE)
+    + "SELECT product_id, prediction AS is_spam, round(spam_score, 6) AS spam_score, reasoning, 'ok' AS parse_status"
+    " FROM rule",
     "hybrid_score": steps(
         FEATURED,
         "scored AS (SELECT product_id, description, ((product_id * 37) % 100 + 0.5)::DOUBLE / 100 AS classical_score,"
@@ -534,6 +597,23 @@ ORACLE: dict[str, str] = {
     "gbt_prediction_checks": steps(LISTINGS) + "SELECT product_id, true AS by_threshold, true AS in_range FROM listings",
     "importance_checks": steps(WORD_WEIGHTS)
     + "SELECT 3::BIGINT AS features, count(*) AS description_terms, 1.0::DOUBLE AS total FROM vocabulary",
+    "boosting_root_split": steps(
+        FEATURED,
+        "known AS (SELECT * FROM features WHERE label IS NOT NULL)",
+        "totals AS (SELECT sum(0.5 - label) AS g, 0.25 * count(*) AS h FROM known)",
+        "long_rows AS (UNPIVOT (SELECT label, " + ", ".join(f"{n}::DOUBLE AS {n}" for n in ROOT_FEATURES)
+        + " FROM known) ON * EXCLUDE (label) INTO NAME name VALUE value)",
+        "sums AS (SELECT name, value, sum(0.5 - label) AS g, 0.25 * count(*) AS h FROM long_rows GROUP BY ALL)",
+        "sides AS (SELECT name, value, sum(g) OVER spot AS gl, sum(h) OVER spot AS hl FROM sums"
+        " WINDOW spot AS (PARTITION BY name ORDER BY value))",
+        "best AS (SELECT s.*, g, h, gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1) AS gain"
+        " FROM sides s, totals WHERE hl >= 1 AND h - hl >= 1"
+        f" ORDER BY round(gain, 9) DESC, list_position({word_list(ROOT_FEATURES)}, name), value LIMIT 1)",
+    )
+    + "SELECT 1 AS node, name AS feature_name, value AS threshold, round(gain, 6)::DOUBLE AS gain, round(h, 6)::DOUBLE AS cover,"
+    " NULL::DOUBLE AS weight FROM best"
+    " UNION ALL SELECT 2, NULL, NULL, NULL, round(hl, 6)::DOUBLE, round(-0.3 * gl / (hl + 1), 6)::DOUBLE FROM best"
+    " UNION ALL SELECT 3, NULL, NULL, NULL, round(h - hl, 6)::DOUBLE, round(-0.3 * (g - gl) / (h - hl + 1), 6)::DOUBLE FROM best",
     "job_scorer_checks": steps(
         FEATURED,
         RULE,

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +25,10 @@ from shelfsift.functions.text import (
     tokenize,
     vector_terms,
 )
+from shelfsift.operators.casing_paths import fit_casing
 from shelfsift.operators.html_cells import code_cells, code_like, page_scripts
 from shelfsift.operators.hybrid import explain, with_hybrid
+from shelfsift.operators.lemma_rules import learn_lemmas
 from shelfsift.operators.lemmas import corpus_dictionary, lemmatised_description, lemmatize, preprocess
 from shelfsift.operators.lexicon import lexicon_counts, lexicon_matches
 from shelfsift.operators.metrics import (
@@ -38,7 +41,7 @@ from shelfsift.operators.metrics import (
     threshold_label,
 )
 from shelfsift.operators.reports import prediction_report
-from shelfsift.operators.sampling import few_shot_examples, head_subset, rows_in, rows_not_in
+from shelfsift.operators.sampling import examples_of, few_shot_examples, head_subset, merge_states, rows_in, rows_not_in, sample_state
 from shelfsift.operators.scoring import keyword_rule_scorer
 from shelfsift.operators.tfidf import GRAM_SPEC, WORD_SPEC, TfidfSpec, fit_tfidf, vocabulary
 from shelfsift.operators.truecase import capitalised_entities, gazetteer_entities, surface_forms, truecase
@@ -54,9 +57,12 @@ from shelfsift.plans.models import (
     staged_log_loss,
     word_terms,
 )
-from shelfsift.session import cut_lineage
-from shelfsift.sources.listings import label_table, listings, union_listings
+from shelfsift.plans.second_order import BoostSpec, fit_second_order
+from shelfsift.plans.second_order import entries as vector_entries
+from shelfsift.session import cut_lineage, new_folder
+from shelfsift.sources.listings import label_table, listings, read_listings, union_listings
 from shelfsift.sources.pages import notebook_pages
+from shelfsift.sources.sinks import write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -149,6 +155,19 @@ def described(spark: SparkSession, folder: str) -> DataFrame:
     return cleaned.select("product_id", "clean_description")
 
 
+@query
+def lemma_rules(spark, folder):
+    """Rewrites of endings that explain enough of the corpus' words."""
+    rules, _ = learn_lemmas(clean_words(spark, folder), "words")
+    return rules
+
+
+@query
+def lemma_learnt(spark, folder):
+    _, learnt = learn_lemmas(clean_words(spark, folder), "words")
+    return learnt
+
+
 @query
 def clean_description_query(spark, folder):
     return described(spark, folder)
@@ -180,6 +199,15 @@ def truecase_text(spark, folder):
     return cased_tokens(spark, folder).select("product_id", join_tokens(F.col("cased")).alias("cased"))
 
 
+@query
+def truecase_context(spark, folder):
+    """Each listing's words in the forms that fit their neighbours best."""
+    letters = described(spark, folder).select("product_id", drop_digits(F.col("clean_description")).alias("letters"))
+    split = letters.select("product_id", blank_split(F.col("letters")).alias("cased"))
+    cased = fit_casing(listings(spark, folder)).apply(split, "cased")
+    return cased.select("product_id", join_tokens(F.col("cased")).alias("cased"))
+
+
 @query
 def entity_tokens(spark, folder):
     return cased_tokens(spark, folder).select(
@@ -187,14 +215,32 @@ def entity_tokens(spark, folder):
     )
 
 
+def surface_words(spark: SparkSession, folder: str) -> DataFrame:
+    words = listings(spark, folder).select("product_id", surface_text(F.col("description")).alias("surface"))
+    return words.select("product_id", F.split("surface", " ").alias("words"))
+
+
+def word_runs(words: str, count: int) -> Column:
+    starts = F.slice(words, 1, F.greatest(F.size(words) - count + 1, F.lit(0)))
+    return F.transform(starts, lambda _, i: F.array_join(F.slice(words, i + 1, count), " "))
+
+
 @query
 def entity_gazetteer(spark, folder):
     """Capitalised words of the benchmark passages as a name table, looked for in every listing."""
     passages = spark.read.parquet(f"{folder}/benchmark.parquet")
     names = passages.select(F.explode(F.split(surface_text(F.col("text")), " ")).alias("name"))
-    words = listings(spark, folder).select("product_id", surface_text(F.col("description")).alias("surface"))
-    split = words.select("product_id", F.split("surface", " ").alias("words"))
-    return gazetteer_entities(split, "words", names.where(F.col("name").rlike("^[A-Z]")))
+    return gazetteer_entities(surface_words(spark, folder), "words", names.where(F.col("name").rlike("^[A-Z]")))
+
+
+@query
+def entity_gazetteer_large(spark, folder):
+    """All pairs and triples of words in the benchmark passages as names, by the path for tables of any size."""
+    passages = spark.read.parquet(f"{folder}/benchmark.parquet")
+    split = passages.select(F.split(surface_text(F.col("text")), " ").alias("w"))
+    runs = [word_runs("w", n) for n in (2, 3)]
+    names = split.select(F.explode(F.concat(*runs)).alias("name"))
+    return gazetteer_entities(surface_words(spark, folder), "words", names, limit=0)
 
 
 # --- features and lexicons -------------------------------------------------------
@@ -229,6 +275,13 @@ def lexicon_terms(spark, folder):
     return found.groupBy("term").agg(F.count("*").alias("listings"))
 
 
+@query
+def lexicon_terms_large(spark, folder):
+    """The same by the path for lexicons of any size."""
+    found = lexicon_matches(listings(spark, folder), part_lexicon(spark, folder), limit=0)
+    return found.groupBy("term").agg(F.count("*").alias("listings"))
+
+
 @query
 def model_frame(spark, folder):
     cleaned = lemmatised_description(labelled(spark, folder), dictionary(spark, folder))
@@ -274,6 +327,27 @@ def few_shot_balanced(spark, folder):
     return few_shot_examples(labelled(spark, folder), examples=8).select("place", "product_id", "description", "label")
 
 
+@query
+def few_shot_merged(spark, folder):
+    """The same picks from the merged samples of four parts."""
+    rows = labelled(spark, folder)
+    parts = [sample_state(rows.where(F.pmod(F.xxhash64("product_id"), F.lit(4)) == k), examples=8) for k in range(4)]
+    halves = [merge_states(parts[:3], examples=8), parts[3]]
+    return examples_of(merge_states(halves, examples=8)).select("place", "product_id", "description", "label")
+
+
+@query
+def csv_listings(spark, folder):
+    """Listings written as a delimited file with line breaks in its fields, and read back by many tasks."""
+    path = new_folder(spark, "csv-listings")
+    rows = listings(spark, folder, labelled=True).select("product_id", "description", "label")
+    write_table(rows, path, "csv")
+    return read_listings(spark, path).select(
+        "product_id", F.md5("description").alias("text_md5"), F.length("description").cast("bigint").alias("text_length"),
+        F.col("label").cast("bigint").alias("label"),
+    )
+
+
 @query
 def prediction_report_query(spark, folder):
     rows = labelled(spark, folder)
@@ -376,6 +450,15 @@ def feature_vector(spark, folder):
     return vectors.select("product_id", *vector_summary(vectors, "features"))
 
 
+@query
+def feature_vector_long(spark, folder):
+    """The assembled vectors entry by entry: place and value."""
+    model = fit_tfidf(gram_terms(spark, folder), GRAM_SPEC)
+    vectors = forest_vectors(listings(spark, folder), model, GRAM_SPEC, dictionary(spark, folder))
+    entries = vectors.select("product_id", F.inline(vector_entries("features")))
+    return entries.select("product_id", F.col("ix").cast("bigint").alias("ix"), F.round("value", 6).alias("value"))
+
+
 # --- prompts, scoring, responses -------------------------------------------------
 
 
@@ -446,6 +529,20 @@ def score_batches(spark, folder):
     return rounded(scored, "spam_score").withColumn("is_spam", F.col("is_spam").cast("bigint"))
 
 
+@query
+def score_ledger(spark, folder):
+    """The same through a ledger of responses, filled by one job and read by a second that asks for nothing."""
+    ledger = (new_folder(spark, "score-ledger"), "keyword-rule-1")
+    rows = listings(spark, folder)
+    score_listings(rows, keyword_rule_scorer, ledger=ledger, batch_size=100)
+    scored = score_listings(rows, _silent, ledger=ledger)
+    return rounded(scored, "spam_score").withColumn("is_spam", F.col("is_spam").cast("bigint"))
+
+
+def _silent(prompts: list) -> list[str]:
+    raise RuntimeError("the ledger has every response")
+
+
 @query
 def hybrid_score(spark, folder):
     featured = with_listing_features(listings(spark, folder), names=["brand_count", "tag_indicators"])
@@ -645,6 +742,39 @@ def importance_checks(spark, folder):
     )
 
 
+def second_order_model(spark: SparkSession, folder: str):
+    frame = cut_lineage(notebook_rows(spark, folder))
+    return frame, fit_boosted(frame, second_order=True)
+
+
+@query
+def boosted_predictions(spark, folder):
+    """Second-order boosted trees on every listing."""
+    frame, model = second_order_model(spark, folder)
+    return model.transform(frame).select("product_id", F.round("probability", 6).alias("probability"), "prediction")
+
+
+@query
+def boosting_gains(spark, folder):
+    """Importance by the mean gain of a feature's splits."""
+    frame, model = second_order_model(spark, folder)
+    return rounded(feature_importance(spark, model), "feature_importance")
+
+
+# hand features with few values, so that every value is a bin
+FEW_VALUED = ["contains_ignore", "contains_hashtags_at_end", "brand_count", "tag_indicators", "has_tag_section"]
+
+
+@query
+def boosting_root_split(spark, folder):
+    """The first split of the first round over five hand features: gain and leaf weights."""
+    rows = with_listing_features(labelled(spark, folder), names=FEW_VALUED)
+    numbers = F.array(*(F.col(name).cast("double") for name in FEW_VALUED))
+    vectors = rows.select("label", array_to_vector(numbers).alias("features"))
+    nodes = fit_second_order(vectors, BoostSpec(rounds=1, depth=1)).node_table(spark, FEW_VALUED)
+    return rounded(nodes.select("node", "feature_name", "threshold", "gain", "cover", "weight"), "gain", "cover", "weight")
+
+
 @query
 def job_scorer_checks(spark, folder):
     """The scorer's side of the comparison and hybrid jobs, which no training touches, and each model's row count."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,21 +47,30 @@ def spread(scan: DataFrame, key: str) -> DataFrame:
     return scan.repartition(scan.sparkSession.sparkContext.defaultParallelism, key) if size < SPREAD_BYTES else scan
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one that ``spark.checkpoint.dir`` names.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-    local session without that setting gets a temporary folder of its own.
+    Only a single-process local session without that setting gets a temporary folder of its own.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
-            if not context.master.startswith("local"):
+            if context.master != "local" and not context.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="shelfsift-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A folder name in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark)}/{label}-{uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and continue from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

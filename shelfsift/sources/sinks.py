@@ -13,7 +13,11 @@ def write_table(df: DataFrame, path: str, file_format: str = "parquet", mode: st
     if file_format not in FORMATS:
         raise ValueError(f"unknown format {file_format}; one of {', '.join(FORMATS)}")
     writer = df.write.mode(mode).format(file_format)
-    (writer.option("header", True) if file_format == "csv" else writer).save(path)
+    if file_format == "csv":  # as read_listings reads it: quotes are doubled and blanks stay; an empty text is read as a missing one
+        writer = writer.options(
+            header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+        )
+    writer.save(path)
 
 
 def write_scripts(scripts: DataFrame, path: str, per_page: bool = False, mode: str = "overwrite") -> None:
