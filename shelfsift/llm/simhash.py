@@ -259,8 +259,7 @@ def keep_one(docs: DataFrame, shingle: int = 3, limit: int = 2) -> DataFrame:
     """``docs`` without all but one row of each component: the row with the smallest id (null ids are greatest; of
     rows that share the smallest id, the one with the smallest text hash).
 
-    Components are told apart by their root, so each one without ids keeps a row. A given id stands for one row: of
-    several components whose rows were chosen by the same id, the one with the smallest text hash is kept."""
+    Components are told apart by their root, so each one keeps a row, also where ids are missing or repeated."""
     prints = stored(fingerprints(docs, shingle, text_hash=True), "fingerprints")
     row = F.struct("no_id", "id", "text_hash")
     chosen = (
@@ -268,8 +267,7 @@ def keep_one(docs: DataFrame, shingle: int = 3, limit: int = 2) -> DataFrame:
         .select("root", "text_hash", *_id_key("doc_id"))
         .groupBy("root").agg(F.min(row).alias("row")).select("row.*")
     )
-    of_id = chosen.where("NOT no_id").groupBy("no_id", "id").agg(F.min("text_hash").alias("text_hash"))
-    chosen = stored(of_id.unionByName(chosen.where("no_id")), "chosen")
+    chosen = stored(chosen, "chosen")
     rows = docs.select(
         F.struct(*(column(docs, name) for name in docs.columns)).alias("row"),
         F.xxhash64(column(docs, "text")).alias("text_hash"),

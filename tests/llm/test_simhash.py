@@ -90,8 +90,9 @@ def test_awkward_rows(spark, awkward, no_documents):
     assert mine == plain_components(prints, 2)
     kept = S.keep_one(awkward)
     assert kept.columns == awkward.columns
-    # empty texts 2, 3, 4 are one group; of the three rows with id 9, the copies are one group
-    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([1, 2, 5, 6, 7, None, 9, 10], key=str)
+    # empty texts 2, 3, 4 are one group; of the three rows with id 9, the copies are one group and the third is another
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([1, 2, 5, 6, 7, None, 9, 9, 10], key=str)
+    assert {r["text"] for r in kept.collect() if r["doc_id"] == 9} == {"same id", "same id, other text"}
     assert S.near_duplicates(no_documents).collect() == [] and S.keep_one(no_documents).collect() == []
 
 
@@ -101,3 +102,9 @@ def test_components_without_ids_keep_a_row_each(spark):
     assert sorted(map(tuple, S.keep_one(frame).collect()), key=str) == sorted(
         [(3, texts[0]), (None, texts[2]), (None, texts[3])], key=str
     )
+
+
+def test_components_that_share_an_id_keep_a_row_each(spark):
+    texts = ["one text here", "quite another one", "and a third of them", "and a third of them"]
+    frame = spark.createDataFrame([(7, t) for t in texts] + [(8, texts[0])], "doc_id bigint, text string")
+    assert sorted(map(tuple, S.keep_one(frame).collect())) == sorted([(7, t) for t in texts[:3]])
