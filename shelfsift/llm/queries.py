@@ -79,8 +79,7 @@ FROM docs LEFT JOIN summed USING (r)
 
 
 def op2_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2, temperature=0.7)
-    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2, temperature=0.7, digests=True)
 
 
 def op3_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +118,7 @@ def op6_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = ~quality_rules.kept("base-1")
     return rows.select(
         "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base.alias("base_failed"), (~base & quality_rules.kept()).alias("kept"), "fail_bits",
+        base.alias("base_failed"), (~base & quality_rules.kept("corpus-1")).alias("kept"), "fail_bits",
     )
 
 
@@ -158,7 +157,7 @@ ruled AS (
     + 512 * CAST(n_lines > 1 AND 100 * n_ellipsis_lines > 30 * n_lines AS BIGINT) AS fail_bits
   FROM measured)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-  fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits
+  fail_bits & 3 <> 0 AS base_failed, fail_bits & ~4 = 0 AS kept, fail_bits
 FROM ruled
 """
 

@@ -1,3 +1,4 @@
+import random
 import re
 
 from test_llm_common import SMALL
@@ -74,3 +75,15 @@ def test_plan_has_no_python(spark, no_documents):
     plan = op6_rule_ledger(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
     assert Q.ledger(no_documents).collect() == []
+
+
+def test_length_alone_rejects_no_document(spark):
+    """A clean text of over 100,000 words is kept by op6; its bit stays in the ledger."""
+    chance = random.Random(9)
+    long = " ".join(chance.choice(WORDS_OF_BOOK) + str(chance.randrange(4000)) for _ in range(100_001))
+    frame = spark.createDataFrame([(1, long)], "doc_id bigint, text string")
+    row = Q.ledger(frame).select("n_words", "fail_bits", Q.kept("corpus-1").alias("kept"), Q.kept("web-1").alias("web")).first()
+    assert tuple(row) == (100_001, Q.BITS["many_words"], True, False)
+
+
+WORDS_OF_BOOK = ["river", "mountain", "letter", "window", "garden", "morning", "father", "story"]
