@@ -38,6 +38,9 @@ LAYOUT_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+
 _LETTERS = "a-zß-öø-ÿ"
 _PLAIN = re.compile("[\\x09-\\x0d\\x20-\\x7eÀ-ÖØ-öø-ÿ]*")
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\\x09-\\x0d\\x20{_LETTERS}0-9]+")
+# A text without runs of signs and without apostrophes is cut by setting its signs and digits apart.
+_RUNS = re.compile(f"[^\\x09-\\x0d\\x20{_LETTERS}0-9]{{2}}|'")
+_APART = [(chr(c), f" {chr(c)} ") for c in range(0x21, 0x7F) if not chr(c).isalpha()]
 _WORDS = re.compile("[^\\x20\\x09-\\x0d]+")
 
 
@@ -49,6 +52,16 @@ def _byte_letters() -> list[str]:
     return [table[b] for b in range(256)]
 
 
+def _pieces_of(text: str) -> list[str]:
+    """The layout's pieces of a plain text in lower case."""
+    if _RUNS.search(text) is not None:
+        return _PIECES.findall(text)
+    for sign, apart in _APART:
+        if sign in text:
+            text = text.replace(sign, apart)
+    return text.split()
+
+
 class _Remembered(dict):
     """What ``make`` gave for a key, up to ``memory`` keys; the dict itself is the newer half."""
 
@@ -96,7 +109,8 @@ class Encoder:
         self._words = _Remembered(self._by_library, memory or MEMORY)
 
     def _by_model(self, piece: str) -> bytes:
-        word = "".join([self._letters[b] for b in piece.encode()])
+        # visible ASCII characters stand for themselves
+        word = piece if piece.isascii() else "".join([self._letters[b] for b in piece.encode()])
         return np.array([t.id for t in self.library.model.tokenize(word)], "<u4").tobytes()
 
     def _by_library(self, word: str) -> bytes:
@@ -110,7 +124,7 @@ class Encoder:
             return self._by_library(text)
         pieces = self._pieces
         if self._plain(text):
-            return b"".join(map(pieces.__getitem__, _PIECES.findall(text.lower())))
+            return b"".join(map(pieces.__getitem__, _pieces_of(text.lower())))
         return b"".join(
             b"".join(map(pieces.__getitem__, _PIECES.findall(w.lower()))) if self._plain(w) else self._words[w]
             for w in _WORDS.findall(text)

@@ -20,6 +20,7 @@ from __future__ import annotations
 import struct
 from bisect import bisect_right
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ ENCODED = "part bigint, source string, before bigint, doc_id bigint, n bigint, i
 PIECES = (
     "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 )
+# the same with a checksum of the ids in their place
+DIGESTS = PIECES.replace("ids binary", "ids_crc32 bigint")
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
@@ -167,9 +170,10 @@ def cut(position: int, count: int, spans: list[tuple], total: int) -> Iterator[t
 
 
 def pack(
-    docs: DataFrame, tokenizer: str, end_id: int, temperature: float = 1.0, weights: dict | None = None
+    docs: DataFrame, tokenizer: str, end_id: int, temperature: float = 1.0, weights: dict | None = None, digests: bool = False
 ) -> DataFrame:
-    """Pieces of documents in windows: doc_id, start, length, ids, doc_tokens, sequence_id, offset.
+    """Pieces of documents in windows: doc_id, start, length, ids, doc_tokens, sequence_id, offset. With ``digests``, a
+    CRC-32 of the ids (``ids_crc32``) comes in place of the ids, which then need not leave the task that cuts them.
 
     Target proportions: ``weights`` by source where given (a source that is missing there gets the smallest), else
     each source's tokens to the power of ``temperature`` (1: every window mirrors the corpus; less: small sources
@@ -202,7 +206,7 @@ def pack(
     )
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split()[0] for f in PIECES.split(", ")]
+        names = [f.split()[0] for f in schema.split(", ")]
         kinds = [pa.binary() if n == "ids" else pa.int64() for n in names]
         for batch in batches:
             out: list[list] = [[] for _ in names]
@@ -211,17 +215,19 @@ def pack(
             for doc, queue, position, count, ids in zip(docs, queues, positions, counts, batch.column(4)):
                 ids, start = ids.as_py(), 0
                 for length, window, offset in cut(position, count, spans.value[queue], tokens[queue]):
-                    row = (doc, start, length, ids[4 * start : 4 * (start + length)], count, window, offset)
+                    own = ids[4 * start : 4 * (start + length)]
+                    row = (doc, start, length, crc32(own) if digests else own, count, window, offset)
                     for values, value in zip(out, row):
                         values.append(value)
                     start += length
-                size += len(ids)
+                size += 0 if digests else len(ids)
                 if size > 1 << 23:
                     yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names)
                     out, size = [[] for _ in names], 0
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names)
 
-    return placed.mapInArrow(pieces, PIECES)
+    schema = DIGESTS if digests else PIECES
+    return placed.mapInArrow(pieces, schema)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:
