@@ -35,8 +35,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in windows of 4096 tokens."""
-    pieces = packing.pack(docs, tokenizer_path(), end_id=2, temperature=0.7)
-    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.pack(docs, tokenizer_path(), end_id=2, temperature=0.7, digests=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
