@@ -11,8 +11,9 @@ layout have no such sure place; their texts are encoded whole.
 Documents travel as blocks of about BLOCK_BYTES of text, compressed, which are shuffled once; a passage that a third of
 all rows share is asked for once per block, not once per row. Chunks are told apart by 128-bit hashes.
 
-Defined cases: null and empty texts have no ids; a run without blanks that is longer than LONGEST_WORD is not cut;
-repeated ids and rows are kept; an empty table gives an empty result.
+Defined cases: null and empty texts have no ids; texts of any length are encoded whole, in time that grows with their length; a
+run without blanks that is longer than LONGEST_WORD is not cut; a chunk that several blocks hold belongs to the
+smallest of them; repeated ids and rows are kept; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,6 +37,9 @@ BLOCK_BYTES = 128 * 1024
 CUT_BITS = 10  # a cut every 2**CUT_BITS bytes on average, but no chunk shorter than LEAST_CHUNK
 LEAST_CHUNK = 256
 LONGEST_WORD = 2048
+# Chunks with more than one in so many rows of (block, chunk) are copied rather than shuffled.
+HOT = 1000
+COPIED = 64 * 1024
 # Pieces remembered per worker: less than elsewhere, as an executor runs encoders and decoders side by side.
 MEMORY = 250_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -68,8 +72,9 @@ def chunk_hash(chunk: bytes) -> bytes:
     return hashlib.blake2b(chunk, digest_size=16).digest()
 
 
-def _spliced(encode: Callable[[bytes], bytes], text: bytes, join: int, end: int, left: bytes, right: bytes) -> bytes:
-    """The ids of ``text[:end]`` from those of ``text[:join]`` and ``text[join:end]``."""
+def _splice(encode: Callable[[bytes], bytes], text: bytes, join: int, end: int, left: bytearray, right: bytes) -> None:
+    """Make the ids of ``text[:end]`` of ``left``, those of ``text[:join]``, and of those of ``text[join:end]``. Only the end of
+    ``left`` that lies in the window is touched, so the work does not grow with what stands before."""
     words = 2
     reach = 64
     while True:
@@ -88,30 +93,32 @@ def _spliced(encode: Callable[[bytes], bytes], text: bytes, join: int, end: int,
             agrees = left.endswith(a) and right.startswith(b)
             agrees = agrees and whole.startswith(sure_a) and a.startswith(sure_a)
             if agrees and whole.endswith(sure_b) and b.endswith(sure_b):
-                return left[: len(left) - len(a)] + whole + right[len(b) :]
+                del left[len(left) - len(a) :]
+                left += whole
+                left += right[len(b) :]
+                return
             if first == 0 and last == end:
-                return whole
+                left[:] = whole
+                return
             words *= 2
         reach *= 4
 
 
 def encode_by_chunks(encode: Callable[[bytes], bytes], text: bytes, known: dict[bytes, bytes]) -> bytes:
     """A text's ids; chunks in ``known`` (by hash) are taken from there, new ones are encoded and added."""
-    done, ids = 0, b""
+    done, ids = 0, bytearray()
     for end in cut_points(text):
         chunk = text[done:end]
         name = chunk_hash(chunk)
         if name not in known:
             known[name] = encode(chunk)
         own = known[name]
-        if done == 0:
-            ids = own
-        elif _BLANK[text[done - 1]] or _BLANK[text[done]]:
+        if done == 0 or _BLANK[text[done - 1]] or _BLANK[text[done]]:
             ids += own  # the chunks part between words
         else:
-            ids = _spliced(encode, text, done, end, ids, own)
+            _splice(encode, text, done, end, ids, own)
         done = end
-    return ids
+    return bytes(ids)
 
 
 def _pack(rows: list[tuple[int | None, bytes]]) -> bytes:
@@ -178,7 +185,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     rows = inputs(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
     chunks = stored(rows.mapInArrow(_hashes, "block bigint, hash binary"), "chunk-hashes")
     owners = chunks.groupBy("hash").agg(F.count("*").alias("n"), F.min("block").alias("owner")).where("n > 1")
-    owners = stored(owners.select("hash", "owner"), "shared-chunks")
+    owners = stored(owners, "shared-chunks")
 
     # both joins below read one shuffle of the blocks; the filter that an inner join would put in stands in both
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -205,7 +212,12 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     dictionary = blocks.join(lists.hint("merge"), "block").select("block", "content", "names").mapInArrow(
         owned, "hash binary, ids binary"
     )
-    asked = chunks.join(owners.select("hash"), "hash", "left_semi").join(dictionary, "hash")
+    # a chunk with more than one in HOT of all rows is joined by a copy: at most HOT chunks of at most COPIED bytes
+    dictionary = stored(dictionary, "chunk-ids")
+    hot = owners.where(F.col("n") > chunks.count() / HOT).select("hash")
+    copied = stored(dictionary.join(F.broadcast(hot), "hash").where(F.octet_length("ids") <= COPIED), "hot-chunks")
+    others = [side.join(F.broadcast(copied.select("hash")), "hash", "left_anti") for side in (chunks, dictionary)]
+    asked = chunks.join(F.broadcast(copied), "hash").unionByName(others[0].join(others[1], "hash"))
     given = asked.groupBy("block").agg(F.collect_list(F.struct("hash", "ids")).alias("given"))
     met = blocks.join(given.hint("merge"), "block", "left").select("block", "content", "given")
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -77,3 +78,40 @@ def test_awkward_rows(spark, awkward, no_documents, tokenizer, library, monkeypa
     )
     assert got == expected(docs, library)
     assert C.encode(no_documents, tokenizer).collect() == []
+
+
+def test_work_grows_with_the_length(tokenizer):
+    """Joins touch the ids around them only: of a text of megabytes, little more than its bytes are encoded."""
+    with open(tokenizer) as file:
+        own = Encoder(file.read())
+    chance = random.Random(12)
+    text = " ".join(chance.choice(["river", "mountain's", "12", "l'été", "x!"]) + str(chance.randrange(999)) for _ in range(300_000)).encode()
+    asked = []
+
+    def counting(part):
+        asked.append(len(part))
+        return own.encode(part.decode())
+
+    ids = C.encode_by_chunks(counting, text, {})
+    assert ids == own.encode(text.decode()) and len(text) > 2_000_000
+    assert sum(asked) < 2 * len(text)
+    begun = time.perf_counter()
+    C.encode_by_chunks(lambda part: own.encode(part.decode()), text, {})
+    middle = time.perf_counter()
+    C.encode_by_chunks(lambda part: own.encode(part.decode()), text * 4, {})
+    assert time.perf_counter() - middle < 12 * (middle - begun)
+
+
+@pytest.mark.parametrize("hot", [1, 10_000])
+def test_a_chunk_in_every_block(spark, tokenizer, library, monkeypatch, hot):
+    """A passage that all rows share, joined by a copy and by the shuffle; repeated, null and odd rows besides."""
+    monkeypatch.setattr(C, "HOT", hot)
+    monkeypatch.setattr(C, "BLOCK_BYTES", 3000)
+    chance = random.Random(hot)
+    passage = " ".join("".join(chance.choice("aeionrst") for _ in range(7)) for _ in range(400))
+    rows = [(i % 70, f"{chance.random()} {passage} {chance.random()}") for i in range(120)] + [(None, None), (5, ""), (5, " ")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, ids string").repartition(6)
+    encoded = C.encode(docs, tokenizer)
+    assert encoded.columns == ["doc_id", "ids"]
+    mine = Counter((r["doc_id"], bytes(r["ids"])) for r in encoded.collect())
+    assert mine == Counter((i, np.array(by_library(library, t), "<u4").tobytes()) for i, t in rows)
