@@ -30,10 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsift.llm.support import inputs, new_folder, stored
+from shelfsift.llm.support import SMALL_ROWS, inputs, new_folder, stored
 
 ARCHIVE_BYTES = 4 << 20
 REVISIT_BYTES = 100
+# Revisit lists are copied to the archives up to so many bytes of URLs.
+SMALL_URLS = 32 << 20
+# Compressed records are read in steps of so many bytes.
+PIECE = 1 << 16
 NO_ID = (1 << 63) - 1
 
 # The header lines of the two versions.
@@ -242,6 +246,7 @@ def convert(spark: SparkSession, arc_folder: str, folder: str | None = None) ->
     again = keys.join(first, "digest").where(
         (F.col("archive") != F.col("first.archive")) | (F.col("offset") != F.col("first.offset"))
     )
+    again = stored(again.select("archive", "offset", "first"), "arc-revisits")
     lists = again.groupBy("archive").agg(
         F.collect_list(F.struct("offset", F.col("first.archive").alias("of_archive"), F.col("first.offset").alias("of_offset"),
                                 F.col("first.url").alias("url"), F.col("first.date").alias("date"))).alias("revisits")
@@ -259,16 +264,24 @@ def convert(spark: SparkSession, arc_folder: str, folder: str | None = None) ->
                     out += _as_warc(record, archive, originals.get(record.offset))
                 yield _archive(archive.removesuffix(".arc") + ".warc.gz", bytes(out))
 
+    # short lists go to the archives; only where they are long do archives go to their lists
+    size = again.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("first.url")), F.lit(0))).first()
+    if size[0] <= SMALL_ROWS and size[1] <= SMALL_URLS:
+        lists = F.broadcast(lists)
     met = arcs.join(lists, arcs["archive"] == lists["of"], "left").select("archive", "content", "revisits")
     met.mapInArrow(converted, ARCHIVES).write.option("compression", "none").parquet(folder)
     return folder
 
 
 def _members(content: bytes) -> Iterator[bytes]:
-    while content:
-        gunzip = zlib.decompressobj(31)
-        yield gunzip.decompress(content) + gunzip.flush()
-        content = gunzip.unused_data
+    at, view = 0, memoryview(content)
+    while at < len(view):
+        gunzip, parts = zlib.decompressobj(31), []
+        while not gunzip.eof and at < len(view):
+            parts.append(gunzip.decompress(view[at : at + PIECE]))
+            at = min(len(view), at + PIECE)
+        yield b"".join(parts) + gunzip.flush()
+        at -= len(gunzip.unused_data)
 
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:

@@ -50,3 +50,27 @@ def test_versions_and_cut_off_records():
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert A.resolve(A.read_warc(spark, A.convert(spark, A.write_arc(empty)))).collect() == []
+
+
+@pytest.mark.parametrize("rows", [200_000, 0])
+def test_long_and_short_revisit_lists(spark, monkeypatch, rows):
+    """The same records whether lists go to the archives or archives to their lists."""
+    monkeypatch.setattr(A, "SMALL_ROWS", rows)
+    html = ["x" * 99, "y" * 100, "y" * 100, "z" * 200_000, "z" * 200_000, "", None, "y" * 100]
+    frame = spark.createDataFrame([(i, f"http://a.b/{i}", h) for i, h in enumerate(html)], "page_id bigint, url string, html string")
+    records = A.resolve(A.read_warc(spark, A.convert(spark, A.write_arc(frame.repartition(3)))))
+    found = {r["page_id"]: (r["record_type"], r["refers_to"], r["payload_bytes"]) for r in records.collect()}
+    assert found == {
+        0: ("response", None, 99), 1: ("response", None, 100), 2: ("revisit", 1, 100), 3: ("response", None, 200_000),
+        4: ("revisit", 3, 200_000), 5: ("response", None, 0), 6: ("response", None, 0), 7: ("revisit", 1, 100),
+    }
+
+
+def test_members_of_any_size(monkeypatch):
+    import gzip
+
+    parts = [b"", b"a", b"b" * 100_000, bytes(range(256)) * 999]
+    content = b"".join(gzip.compress(p) for p in parts)
+    for piece in (1, 7, 1 << 16):
+        monkeypatch.setattr(A, "PIECE", piece)
+        assert list(A._members(content)) == parts

@@ -108,3 +108,17 @@ def test_components_that_share_an_id_keep_a_row_each(spark):
     texts = ["one text here", "quite another one", "and a third of them", "and a third of them"]
     frame = spark.createDataFrame([(7, t) for t in texts] + [(8, texts[0])], "doc_id bigint, text string")
     assert sorted(map(tuple, S.keep_one(frame).collect())) == sorted([(7, t) for t in texts[:3]])
+
+
+def test_links_of_hubs_are_spread(spark, monkeypatch):
+    """Every node a hub, and none: the same components."""
+    from shelfsift.llm import components as module
+
+    chance = random.Random(2)
+    links = [(1, 10 + i) for i in range(400)] + [(500 + i, 499 + i) for i in range(60)] + [(30, 520), (9000, 9001)]
+    frame = spark.createDataFrame(links + [(chance.choice([40, 41]), 7000 + i) for i in range(200)], "a bigint, b bigint")
+    expected = {n: 1 for a, b in links[:400] for n in (a, b)} | {n: 1 for n in range(499, 560)} | {9000: 9000, 9001: 9000}
+    expected |= {n: 1 for n in range(7000, 7200)}
+    for hubs in (1, 1000, 10**9):
+        monkeypatch.setattr(module, "HUBS", hubs)
+        assert {r["node"]: r["root"] for r in components(frame).collect()} == expected
