@@ -8,18 +8,26 @@ position alone: partitions need no hand-over, and each one cuts its documents by
 credit any more, one window takes what it has, the others fill that window, and a new phase goes on without it. Only
 the last window of all can be short.
 
-The driver holds totals per source and the ledger of phases (at most 2 * MAX_QUEUES phases of MAX_QUEUES queues);
-the smallest of more sources share one queue. Documents are encoded once, into a table in the shared folder.
-
-Defined cases: a null text is empty (it holds the end id); a null source is a queue of its own; repeated rows are packed
-as often as they occur; an empty table gives no pieces.
+Rounds nest, so that any number of sources and any weights keep their proportions. Queues that would get less than two tokens of
+a window, and the smallest ones where a round would have more than CHILDREN, are first joined by a round of their own
+(FAN queues of like weight, or two of unlike weight), whose window is just long enough to give each of them two tokens; its
+stream is one queue of the round above, with the sum of their weights. A source's tokens stay within a few of its target
+in all windows while its round's members last; what a member leaves goes to its own round first.
+
+The driver holds totals per source and the nested rounds; their phases are worked out in the tasks that need them. Sources
+beyond the MOST_SOURCES largest go one after another through one queue. Documents are encoded once, into a table in the shared folder.
+
+Defined cases: a null text is empty (it holds the end id); texts of any length are cut into as many windows as they need; a
+null source is a queue of its own; sources tied in size come in the order of their names; repeated rows are packed
+as often as they occur; an empty table gives no pieces; other columns are not read.
 """
 
 from __future__ import annotations
 
 import struct
-from bisect import bisect_right
+from bisect import bisect_right, insort
 from collections.abc import Iterator
+from functools import cached_property
 from zlib import crc32
 
 import numpy as np
@@ -33,10 +41,15 @@ from shelfsift.llm.encoding import encoder, share_tokenizer
 from shelfsift.llm.support import inputs, small_side, stored
 
 WINDOW = 4096
-# Named queues; the sources with the fewest tokens beyond these share one more queue.
-MAX_QUEUES = 200
-# Weights are whole numbers out of about this total; each queue gets a token in every window at least.
-WEIGHT_TOTAL = 1 << 20
+# Sources with a queue of their own: one number and one name each on the driver.
+MOST_SOURCES = 1_000_000
+# Queues of the outermost round, and of a round inside another.
+CHILDREN = 200
+FAN = 64
+# Queues are of like weight if the heaviest weighs at most so many times the lightest.
+LIKE = 4
+# Weights are whole numbers out of about this total.
+WEIGHT_TOTAL = 1 << 50
 
 ENCODED = "part bigint, source string, before bigint, doc_id bigint, n bigint, ids binary"
 PIECES = (
@@ -80,10 +93,9 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
 
 def whole_weights(shares: list[float]) -> list[int]:
-    """Weights as whole numbers; a window of WINDOW tokens holds at least one token of each."""
+    """Weights as whole numbers, none of them zero."""
     total = sum(shares) or 1.0
-    least = max(1, 2 * WEIGHT_TOTAL // WINDOW)
-    return [max(least, round(share / total * WEIGHT_TOTAL)) for share in shares]
+    return [max(1, round(share / total * WEIGHT_TOTAL)) for share in shares]
 
 
 class Round:
@@ -169,6 +181,59 @@ def cut(position: int, count: int, spans: list[tuple], total: int) -> Iterator[t
         position += length
 
 
+class Rounds:
+    """A round over queues, each of them a source (its number) or another round."""
+
+    def __init__(self, members: list[tuple[int, int, int | Rounds]], window: int):
+        """``members``: weight, tokens and queue."""
+        self.members, self.window = members, window
+        self.weight, self.tokens = sum(m[0] for m in members), sum(m[1] for m in members)
+
+    @cached_property
+    def spans(self) -> list[list[tuple]]:
+        return ledger([m[1] for m in self.members], [m[0] for m in self.members], self.window)
+
+    def __getstate__(self):
+        return self.members, self.window, self.weight, self.tokens
+
+    def __setstate__(self, state):
+        self.members, self.window, self.weight, self.tokens = state
+
+    def paths(self, above: tuple = ()) -> dict[int, tuple]:
+        """For each source, the rounds from its own to the outermost, with its place in each."""
+        found = {}
+        for place, (_, _, queue) in enumerate(self.members):
+            path = ((self, place), *above)
+            found |= queue.paths(path) if isinstance(queue, Rounds) else {queue: path}
+        return found
+
+
+def nested_rounds(tokens: list[int], weights: list[int], window: int = WINDOW) -> Rounds:
+    """The outermost round over all queues that have tokens."""
+    queues = sorted(((w, n, k) for k, (n, w) in enumerate(zip(tokens, weights)) if n), key=lambda q: (-q[0], q[2]))
+    total = sum(q[0] for q in queues)
+    while len(queues) > CHILDREN or (queues and window * queues[-1][0] < 2 * total):
+        least = queues[-1][0]
+        size = 1
+        while size < min(FAN, len(queues)) and queues[-size - 1][0] <= LIKE * least:
+            size += 1
+        group = queues[-max(2, size) :]
+        del queues[-len(group) :]
+        inner = Rounds(group, -(-2 * sum(q[0] for q in group) // least))
+        insort(queues, (inner.weight, inner.tokens, inner), key=lambda q: -q[0])
+    return Rounds(queues, window)
+
+
+def cut_path(path: tuple, position: int, count: int) -> Iterator[tuple[int, int, int]]:
+    """The pieces of ``count`` tokens from ``position`` of a source, through its rounds: (length, window, offset)."""
+    (rounds, place), *above = path
+    for length, window, offset in cut(position, count, rounds.spans[place], rounds.members[place][1]):
+        if above:
+            yield from cut_path(above, window * rounds.window + offset, length)
+        else:
+            yield length, window, offset
+
+
 def pack(
     docs: DataFrame, tokenizer: str, end_id: int, temperature: float = 1.0, weights: dict | None = None, digests: bool = False
 ) -> DataFrame:
@@ -184,9 +249,9 @@ def pack(
     parts = encoded.groupBy("source", "part").agg(F.sum("n").alias("n"))
     parts = stored(parts, "queue-parts")
     totals = parts.groupBy("source").agg(F.sum("n").alias("n"))
-    named = [r["source"] for r in totals.orderBy(F.desc("n"), "source").limit(MAX_QUEUES).collect()]
+    named = [r["source"] for r in totals.orderBy(F.desc("n"), "source").limit(MOST_SOURCES).collect()]
     names = spark.createDataFrame(list(zip(named, range(len(named)))), "source string, queue int")
-    queued = parts.join(F.broadcast(names), "source", "left").na.fill(len(named), ["queue"])
+    queued = stored(parts.join(small_side(names), "source", "left").na.fill(len(named), ["queue"]), "queue-parts")
     lengths = dict(queued.groupBy("queue").agg(F.sum("n")).collect())
     tokens = [lengths.get(k, 0) for k in range(len(named) + 1)]
     if weights is None:
@@ -194,7 +259,7 @@ def pack(
     else:
         least = min(weights.values(), default=1.0)
         shares = [float(weights.get(s[1:] if s[0] == "1" else None, least)) for s in named] + [float(least)]
-    spans = spark.sparkContext.broadcast(ledger(tokens, whole_weights(shares)))
+    shared = spark.sparkContext.broadcast(nested_rounds(tokens, whole_weights(shares)))
 
     # a queue goes through its sources and, in each, through the tasks in order
     before = Window.partitionBy("queue").orderBy("source", "part").rowsBetween(Window.unboundedPreceding, -1)
@@ -208,13 +273,14 @@ def pack(
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in schema.split(", ")]
         kinds = [pa.binary() if n == "ids" else pa.int64() for n in names]
+        paths = shared.value.paths()
         for batch in batches:
             out: list[list] = [[] for _ in names]
             size = 0
             docs, queues, positions, counts = (batch.column(i).to_pylist() for i in range(4))
             for doc, queue, position, count, ids in zip(docs, queues, positions, counts, batch.column(4)):
                 ids, start = ids.as_py(), 0
-                for length, window, offset in cut(position, count, spans.value[queue], tokens[queue]):
+                for length, window, offset in cut_path(paths[queue], position, count):
                     own = ids[4 * start : 4 * (start + length)]
                     row = (doc, start, length, crc32(own) if digests else own, count, window, offset)
                     for values, value in zip(out, row):

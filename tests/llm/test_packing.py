@@ -103,9 +103,77 @@ def test_awkward_rows_and_sequences(spark, awkward, tokenizer, library, monkeypa
     assert sorted(np.concatenate(list(built.values())).tolist()) == sorted(
         i for _, t in docs for i in [*by_library(library, t), 2]
     )
-    monkeypatch.setattr(P, "MAX_QUEUES", 1)  # the others share a queue
+    monkeypatch.setattr(P, "MOST_SOURCES", 1)  # the others share a queue
     check_pieces(P.pack(awkward, tokenizer, 2).withColumn("ids_crc32", F.crc32("ids")).collect(), docs, library, 2)
 
 
 def test_empty_table(no_documents, tokenizer):
     assert P.pack(no_documents, tokenizer, 2).collect() == []
+
+
+def pieces_by_window(rounds, tokens, step=10**9):
+    """(offset, end, source) of every piece, by window; sources are cut in steps as tasks would."""
+    cells = defaultdict(list)
+    for source, path in rounds.paths().items():
+        for at in range(0, tokens[source], step):
+            for length, window, offset in P.cut_path(path, at, min(step, tokens[source] - at)):
+                cells[window].append((offset, offset + length, source))
+    return cells
+
+
+def assert_gapless(cells, window, total):
+    assert sorted(cells) == list(range(-(-total // window)))
+    for w, pieces in cells.items():
+        pieces.sort()
+        assert pieces[0][0] == 0 and all(a[1] == b[0] for a, b in zip(pieces, pieces[1:]))
+        assert pieces[-1][1] == window or w == max(cells)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_nested_rounds_cover_every_position_once(seed, monkeypatch):
+    chance = random.Random(seed)
+    monkeypatch.setattr(P, "CHILDREN", chance.choice([2, 3, 200]))
+    monkeypatch.setattr(P, "FAN", chance.choice([2, 5, 64]))
+    tokens = [chance.choice([0, 1, 2, 30, 400]) + chance.randint(0, 9) for _ in range(60)]
+    weights = P.whole_weights([10 ** chance.uniform(-6, 0) for _ in tokens])
+    rounds = P.nested_rounds(tokens, weights, 64)
+    assert set(rounds.paths()) == {k for k, n in enumerate(tokens) if n}
+    assert_gapless(pieces_by_window(rounds, tokens, step=37), 64, sum(tokens))
+
+
+def test_a_thousand_sources_keep_their_shares():
+    """Shares from some percent down to 1e-6: in every window, each source's tokens so far are within a few of its target."""
+    chance = random.Random(5)
+    shares = [10 ** chance.uniform(-6, -1.5) for _ in range(1000)]
+    whole = sum(shares)
+    shares = [s / whole for s in shares]
+    assert min(shares) < 2e-6 and P.WINDOW * min(shares) < 0.01
+    windows = 300
+    # as many tokens as the windows and some more need, so that no source ends before
+    tokens = [int(s * P.WINDOW * windows * 1.05) + 20 for s in shares]
+    rounds = P.nested_rounds(tokens, P.whole_weights(shares))
+    cells = pieces_by_window(rounds, tokens)
+    assert_gapless(cells, P.WINDOW, sum(tokens))
+    given, worst = [0] * len(shares), 0.0
+    for w in range(windows):
+        for a, b, source in cells[w]:
+            given[source] += b - a
+        worst = max(worst, max(abs(n - s * P.WINDOW * (w + 1)) for n, s in zip(given, shares)))
+    assert worst < 6
+
+
+def test_small_shares_are_not_lifted():
+    """200 sources that should hold 0.4 % together do, next to three large ones."""
+    shares = [0.332] * 3 + [2e-5] * 200
+    tokens = [int(s * 10**7) for s in shares]
+    cells = pieces_by_window(P.nested_rounds(tokens, P.whole_weights(shares)), tokens)
+    small = sum(b - a for w in range(1000) for a, b, source in cells[w] if source > 2)
+    assert small / (1000 * P.WINDOW) == pytest.approx(0.004, rel=0.01)
+
+
+def test_many_sources_in_a_table(spark, tokenizer, library):
+    chance = random.Random(3)
+    docs = [(i, f"words of {chance.random()} " * chance.randint(0, 40), f"site{chance.randrange(450)}") for i in range(900)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string, source string").repartition(4)
+    pieces = P.pack(frame, tokenizer, 2, temperature=0.7, digests=True)
+    check_pieces(pieces.collect(), [(i, t) for i, t, _ in docs], library, 2)
