@@ -1,12 +1,16 @@
 """Embedding near duplicates by a pivot-permutation index.
 
-A vector is described by the ordered list of its PREFIX nearest pivots: vectors of a bounded sample, thinned so that no
+A vector is described by the ordered list of its nearest pivots: vectors of a bounded sample, thinned so that no
 two lie close to each other. A dense cluster has few pivots then, however large it is, and its members name the same
-ones. If that leaves fewer pivots than PREFIX, vectors name all of them, and all pairs are compared. Lists per pivot hold
-the vectors that name it; two vectors are candidates if they share at least SHARED pivots, and are then verified
+ones; where that leaves few pivots in all, as all vectors lie in a narrow cone, closer ones are let in. Lists per pivot hold
+the vectors that name it among their first ``prefix``; two vectors are candidates if they share at least ``shared`` of these, and are then verified
 by their cosine in double precision. Pivots are ranked by the length of their lists, rarest first: vectors that share
-SHARED of PREFIX pivots meet in the list of the rarest pivot that they share, which is among the first
-``PREFIX - SHARED + 1`` of both, so only those lists are kept, and each pair is looked at in that one list only.
+``shared`` of ``prefix`` pivots meet in the list of the rarest pivot that they share, which is among the first
+``prefix - shared + 1`` of both, so only those lists are kept, and each pair is looked at in that one list only.
+
+How many pivots to take and to share is measured, not assumed: a bounded sample of SAMPLE entries is compared with all
+entries, and the first of SETTINGS that finds RECALL of the sample's links is used. Where none does, pivots tell these vectors
+too little, and one list of all vectors is gone through in tiles: slow, but whole.
 
 Equal vectors are one entry. A list is cut into blocks of about BLOCK entries by a hash, and each pair of blocks is a
 task of its own, so a long list is never gathered. A tile reports per entry its number of links and one link into its
@@ -31,8 +35,13 @@ from pyspark.sql import functions as F
 from shelfsift.llm.components import components
 from shelfsift.llm.support import inputs, stored
 
-PREFIX = 12
-SHARED = 3
+# (prefix, shared) from cheap to costly.
+SETTINGS = [(12, 3), (12, 2), (24, 4), (24, 2), (48, 4), (48, 1)]
+WIDEST = max(prefix for prefix, _ in SETTINGS)
+# Entries that are compared with all others to measure recall, the recall asked for, and pairs looked at in a batch.
+SAMPLE = 128
+RECALL = 0.98
+SAMPLE_PAIRS = 4096
 LEAST_PIVOTS, MOST_PIVOTS = 64, 8192
 # Pivots have cosines below this, or below the square of the least cosine asked for if that is smaller.
 APART = 0.9
@@ -98,7 +107,12 @@ def choose_pivots(entries: DataFrame, count: int, apart: float = APART) -> dict[
         cut = (1 << 63) - 1 if share == 1 else int(share * 2**64) - (1 << 63)
         low = hashed.where((F.col("length") == length) & (F.col("h") <= cut))
         chosen = low.orderBy("h", "key").limit(sample).select("unit").collect()
-        pivots[length] = thinned(np.array([np.frombuffer(r["unit"], "<f8") for r in chosen], "<f8"), count, apart)
+        vectors, limit = np.array([np.frombuffer(r["unit"], "<f8") for r in chosen], "<f8"), apart
+        pivots[length] = thinned(vectors, count, limit)
+        # all vectors in a narrow cone: closer pivots are better than few
+        while len(pivots[length]) < min(count, len(vectors)) / 4 and limit < 0.999:
+            limit = (1 + limit) / 2
+            pivots[length] = thinned(vectors, count, limit)
     return pivots
 
 
@@ -107,7 +121,7 @@ def _matrix(units) -> np.ndarray:
 
 
 def permutations(entries: DataFrame, count: int, apart: float = APART) -> DataFrame:
-    """id, size, unit and ``pivots``: the PREFIX nearest pivots in order, as numbers (apart for each vector length)."""
+    """id, size, unit and ``pivots``: the WIDEST nearest pivots in order, as numbers (apart for each vector length)."""
     shared = entries.sparkSession.sparkContext.broadcast(choose_pivots(entries, count, apart))
     bases = {length: k * MOST_PIVOTS for k, length in enumerate(sorted(shared.value))}
 
@@ -122,7 +136,7 @@ def permutations(entries: DataFrame, count: int, apart: float = APART) -> DataFr
                 for at in range(0, len(of_length), 1024):
                     mine = of_length[at : at + 1024]
                     near = -(_matrix([units[i] for i in mine]) @ pivots.T)
-                    width = min(PREFIX, len(pivots))
+                    width = min(WIDEST, len(pivots))
                     first = np.argpartition(near, width - 1, axis=1)[:, :width]
                     order = np.argsort(np.take_along_axis(near, first, 1), axis=1, kind="stable")
                     for i, row in zip(mine.tolist(), (np.take_along_axis(first, order, 1) + bases[length]).tolist()):
@@ -137,7 +151,52 @@ def permutations(entries: DataFrame, count: int, apart: float = APART) -> DataFr
     )
 
 
-def _tiles(described: DataFrame) -> DataFrame:
+def measured(described: DataFrame, least_cosine: float) -> dict[tuple[int, int], float]:
+    """For each of SETTINGS, the share of the sample's links that it finds (empty if the sample has no links)."""
+    chosen = described.select("id", "unit", "pivots", F.xxhash64("unit").alias("h")).orderBy("h", "id").limit(SAMPLE).collect()
+    shared = described.sparkSession.sparkContext.broadcast([(r["id"], bytes(r["unit"]), r["pivots"]) for r in chosen])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_length: dict[int, list] = {}
+        for row in shared.value:
+            by_length.setdefault(len(row[1]), []).append(row)
+        for batch in batches:
+            ids, units = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            lengths, names = np.array([len(u) for u in units]), batch.column(2).to_pylist()
+            found = np.zeros(1 + len(SETTINGS), np.int64)
+            for length, sample in by_length.items():
+                mine = np.flatnonzero(lengths == length)
+                if not len(mine):
+                    continue
+                own = np.array([row[0] for row in sample])
+                near = _matrix([row[1] for row in sample]) @ _matrix([units[i] for i in mine]).T >= least_cosine
+                x, y = np.nonzero(near & (own[:, None] != ids[mine][None, :]))
+                if len(x) > SAMPLE_PAIRS:  # evenly from all of them
+                    some = np.linspace(0, len(x) - 1, SAMPLE_PAIRS).astype(int)
+                    x, y = x[some], y[some]
+                if not len(x):
+                    continue
+                left = np.array([row[2] for row in sample])[x]
+                right = np.array([names[i] for i in mine])[y]
+                met = left[:, :, None] == right[:, None, :]
+                found[0] += len(x)
+                for k, (prefix, least) in enumerate(SETTINGS, 1):
+                    common = met[:, :prefix, :prefix].sum(axis=(1, 2))
+                    found[k] += (common >= min(least, left.shape[1])).sum()
+            yield pa.RecordBatch.from_arrays([pa.array([n]) for n in found.tolist()], names_of)
+
+    names_of = ["links", *(f"found_{k}" for k in range(len(SETTINGS)))]
+    counts = described.select("id", "unit", "pivots").mapInArrow(compared, ", ".join(f"{n} bigint" for n in names_of))
+    links, *found = counts.agg(*(F.coalesce(F.sum(n), F.lit(0)) for n in names_of)).first()
+    return {setting: n / links for setting, n in zip(SETTINGS, found)} if links else {}
+
+
+def chosen_setting(recalls: dict[tuple[int, int], float]) -> tuple[int, int] | None:
+    """The cheapest setting that finds enough; without links to judge by, the cheapest of all; None if none does."""
+    return next((s for s in SETTINGS if recalls.get(s, 1.0) >= RECALL), None)
+
+
+def _tiles(described: DataFrame, shared_pivots: int) -> DataFrame:
     """A row per entry and tile that it belongs to: list, i, j, side, id, size, unit, and its pivots' ranks in order."""
     spark = described.sparkSession
     # at most MOST_PIVOTS rows per vector length
@@ -152,9 +211,10 @@ def _tiles(described: DataFrame) -> DataFrame:
                 [*batch.columns[:3], pa.array(order, pa.list_(pa.int32()))], ["id", "size", "unit", "ranks"]
             )
 
-    # with fewer pivots than PREFIX, as many as there are must serve
+    # with fewer pivots than asked for, as many as there are must serve
     rows = described.mapInArrow(ranked, "id bigint, size bigint, unit binary, ranks array<int>")
-    kept = F.greatest(F.lit(1), F.size("ranks") - _needed() + 1)
+    needed = F.least(F.lit(shared_pivots), F.size("ranks"))
+    kept = F.greatest(F.lit(1), F.size("ranks") - needed + 1)
     listed = stored(
         rows.select("id", "size", "unit", "ranks", F.explode(F.slice("ranks", 1, kept)).alias("list")), "pivot-lists"
     )
@@ -173,15 +233,10 @@ def _tiles(described: DataFrame) -> DataFrame:
     )
 
 
-def _needed():
-    """Shared pivots that make a candidate: SHARED, or as many as there are if PREFIX pivots cannot be had."""
-    return F.least(F.lit(SHARED), F.size("ranks"))
-
-
 _LINKED = "id bigint, links bigint, root bigint"
 
 
-def _of_tile(table: pa.Table, least_cosine: float) -> pa.Table:
+def _of_tile(table: pa.Table, least_cosine: float, shared_pivots: int) -> pa.Table:
     """Links in one tile: each entry's number of linked vectors, and a link to the first entry of its group."""
     ids, sizes = table["id"].to_numpy(), table["size"].to_numpy()
     units = _matrix(table["unit"].to_pylist())
@@ -194,7 +249,7 @@ def _of_tile(table: pa.Table, least_cosine: float) -> pa.Table:
     for row, of_row in zip(named, ranks):
         row[[place[r] for r in of_row]] = 1
     left, right = (np.arange(len(ids)),) * 2 if i == j else (np.flatnonzero(~side), np.flatnonzero(side))
-    need = np.array([min(SHARED, len(r)) for r in ranks])
+    need = np.array([min(shared_pivots, len(r)) for r in ranks])
     rarer = named[:, : place[here]]
     links, up = np.zeros(len(ids), np.int64), list(range(len(ids)))
 
@@ -236,9 +291,14 @@ def near_duplicates(df: DataFrame, least_cosine: float = 0.95) -> DataFrame:
     wanted = 2 ** math.ceil(math.log2(4 * math.sqrt(max(1, entries.count()))))
     count, apart = max(LEAST_PIVOTS, min(MOST_PIVOTS, wanted)), min(APART, max(0.0, least_cosine) ** 2)
     described = stored(permutations(entries, count, apart), "permutations")
-    linked = stored(
-        _tiles(described).groupBy("list", "i", "j").applyInArrow(lambda t: _of_tile(t, least_cosine), _LINKED), "tiles"
-    )
+    setting = chosen_setting(measured(described, least_cosine))
+    if setting is None:  # one list, of the vectors of each length
+        prefix, shared = 1, 1
+        described = described.withColumn("pivots", F.array(F.octet_length("unit")))
+    else:
+        prefix, shared = setting
+    tiles = _tiles(described.withColumn("pivots", F.slice("pivots", 1, prefix)), shared)
+    linked = stored(tiles.groupBy("list", "i", "j").applyInArrow(lambda t: _of_tile(t, least_cosine, shared), _LINKED), "tiles")
     links = linked.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(linked.select(F.col("id").alias("a"), F.col("root").alias("b")).where("a <> b").distinct())
     joined = (

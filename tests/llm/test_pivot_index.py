@@ -95,3 +95,68 @@ def test_large_dense_cluster_like_all_pairs(spark):
     mine = {r["vec_id"]: r["n_links"] for r in V.near_duplicates(frame).collect()}
     found = np.array([mine[i] for i in range(len(vectors))])
     assert links.sum() > 1_000_000 and (found <= links).all() and found.sum() >= 0.99 * links.sum()
+
+
+def cone(rows, width, mean, seed):
+    """Vectors with about this cosine to each other."""
+    chance = np.random.default_rng(seed)
+    centre = chance.normal(size=width)
+    centre /= np.linalg.norm(centre)
+    return centre + chance.normal(size=(rows, width)) * np.sqrt((1 / mean - 1) / width)
+
+
+def with_twins(vectors, count, cosine, seed):
+    """The vectors and, for the first ``count``, another at about this cosine."""
+    chance = np.random.default_rng(seed)
+    own = vectors[:count]
+    noise = chance.normal(size=own.shape)
+    noise *= np.linalg.norm(own, axis=1, keepdims=True) * np.sqrt(1 / cosine**2 - 1) / np.linalg.norm(noise, axis=1, keepdims=True)
+    return chance.permutation(np.concatenate([vectors, own + noise]))
+
+
+def recall(spark, vectors):
+    """Links found of those that queries (ids divisible by 50) have with all rows."""
+    units = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    queries = np.arange(0, len(vectors), 50)
+    links = (units[queries] @ units.T >= 0.95).sum(axis=1) - 1
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>")
+    mine = {r["vec_id"]: r["n_links"] for r in V.near_duplicates(frame).collect()}
+    found = np.array([mine[i] for i in queries.tolist()])
+    assert (found <= links).all() and links.sum() > 20
+    return found.sum() / links.sum()
+
+
+def test_loose_cluster_with_many_pivots(spark, monkeypatch):
+    """A third of the rows at cosines of about 0.85, with as many pivots as a million rows would have: 12 pivots of each tell too little."""
+    monkeypatch.setattr(V, "LEAST_PIVOTS", 2048)
+    chance = np.random.default_rng(6)
+    vectors = np.concatenate([cone(2000, 128, 0.85, 1), chance.normal(size=(3000, 128))])
+    vectors = with_twins(vectors, 1500, 0.956, 2)
+    assert recall(spark, vectors) >= 0.9
+
+
+def test_cone(spark):
+    """All vectors close to each other, some closer: there are pivots, and links are found."""
+    vectors = cone(2500, 64, 0.93, 3)
+    units = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    assert len(V.thinned(units, 256, 0.9)) < V.WIDEST
+    frame = spark.createDataFrame([(i, v.astype("<f8").tobytes(), bytes([i % 256, i // 256])) for i, v in enumerate(units)], "id bigint, unit binary, key binary")
+    (pivots,) = V.choose_pivots(frame, 256).values()
+    assert len(pivots) >= 64
+    assert recall(spark, with_twins(vectors, 1200, 0.975, 4)) >= 0.9
+
+
+def test_settings_by_recall():
+    assert V.chosen_setting({}) == V.SETTINGS[0]
+    assert V.chosen_setting(dict.fromkeys(V.SETTINGS, 0.5)) is None
+    assert V.chosen_setting({**dict.fromkeys(V.SETTINGS, 0.5), V.SETTINGS[3]: 0.99}) == V.SETTINGS[3]
+
+
+def test_vectors_that_pivots_cannot_tell_apart(spark, monkeypatch):
+    """Without a setting that finds enough, all pairs are gone through in tiles."""
+    monkeypatch.setattr(V, "chosen_setting", lambda recalls: None)
+    monkeypatch.setattr(V, "BLOCK", 16)
+    rows = list(enumerate(clusters(150, 8, 5) + [[1.0, 2.0], [1.0, 2.01]]))
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    mine = sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in V.near_duplicates(frame).collect()), key=repr)
+    assert mine == plain(rows)[0]
