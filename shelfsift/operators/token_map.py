@@ -1,8 +1,9 @@
 """Replace or drop tokens by a lookup table, whatever the table's size, with the same rows either way.
 
 A table small enough to copy to executors is looked up inside the task, column-wise, so texts are not shuffled at all.
-Of a larger table, only the FREQUENT entries that most rows ask for are copied (a bounded number), so no key of the join
-that serves the others is held by many rows.
+Of a larger table, the entries that any row asks for are often few enough for that. If not, only the FREQUENT entries
+that most rows ask for are copied (a bounded number), so no token of the join that serves the others is held by many
+rows; token lists that many rows share (at most HOT of them) get their entries by a copy as well, and empty ones meet nothing.
 """
 
 from __future__ import annotations
@@ -13,10 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfsift.session import BROADCAST_ROWS, small_table
+from shelfsift.session import BROADCAST_ROWS, cut_lineage, small_table
 
 # Entries of a large table that are looked up inside the task because most rows ask for them.
 FREQUENT = 10_000
+# A token list that more than one in so many rows have is not a key of the join.
+HOT = 1000
 
 _FOUND = T.ArrayType(T.StructType([T.StructField("found", T.BooleanType()), T.StructField("value", T.StringType())]))
 
@@ -41,7 +44,7 @@ def map_tokens(
     small = small_table(pairs, limit)
     if small is not None:
         return df.withColumn(output, _replaced(_lookup(df, small), F.col(tokens)))
-    return _map_by_join(df, tokens, pairs, output, frequent)
+    return _map_by_join(df, tokens, pairs, output, limit, frequent)
 
 
 def drop_tokens(df: DataFrame, tokens: str, words: DataFrame, **options) -> DataFrame:
@@ -102,19 +105,30 @@ def _replaced(look_up, tokens: Column) -> Column:
     return F.transform(F.filter(met, lambda pair: ~pair["dropped"]), lambda pair: pair["token"])
 
 
-def _map_by_join(df: DataFrame, tokens: str, pairs: DataFrame, output: str, frequent: int) -> DataFrame:
+def _map_by_join(df: DataFrame, tokens: str, pairs: DataFrame, output: str, limit: int, frequent: int) -> DataFrame:
     """Rows with equal token lists share one key and one map of the entries they hit; texts meet it once."""
-    keyed = df.withColumn("_list", F.xxhash64(tokens))
-    wanted = keyed.select("_list", F.explode(F.array_distinct(tokens)).alias("_token")).where("_token IS NOT NULL").distinct()
-    asked = wanted.groupBy("_token").agg(F.count("*").alias("_n")).join(pairs, "_token")
+    row = F.monotonically_increasing_id()
+    # a row without tokens has a key of its own: should it be another list's, that map changes nothing
+    keyed = df.withColumn("_list", F.when(F.size(tokens) > 0, F.xxhash64(tokens)).otherwise(row))
+    lists = keyed.select("_list", F.explode(F.array_distinct(tokens)).alias("_token"))
+    wanted = cut_lineage(lists.where("_token IS NOT NULL").distinct())
+    asked = cut_lineage(wanted.groupBy("_token").agg(F.count("*").alias("_n")).join(pairs, "_token"))
+    small = small_table(asked.select("_token", "_value"), limit)
+    if small is not None:
+        return df.withColumn(output, _replaced(_lookup(df, small), F.col(tokens)))
     top = asked.orderBy(F.desc("_n"), "_token").limit(frequent).select("_token", "_value").toArrow()
     copied = df.sparkSession.createDataFrame(top.select(["_token"]), "_token string")
-    rare = wanted.join(pairs, "_token").join(F.broadcast(copied), "_token", "left_anti")
+    rare = asked.select("_token", "_value").join(F.broadcast(copied), "_token", "left_anti")
     hit = F.struct("_token", F.struct("_value").alias("_hit"))
-    maps = rare.groupBy("_list").agg(F.map_from_entries(F.collect_list(hit)).alias("_map"))
-    met = keyed.join(maps, "_list", "left").withColumn(
-        "_map", F.coalesce("_map", F.create_map().cast("map<string,struct<_value:string>>"))
+    maps = wanted.join(rare, "_token").groupBy("_list").agg(F.map_from_entries(F.collect_list(hit)).alias("_map"))
+    shared = keyed.groupBy("_list").agg(F.count("*").alias("_n"))
+    often = shared.where(F.col("_n") > keyed.count() / HOT).select("_list")
+    hot = maps.join(F.broadcast(often), "_list").withColumnRenamed("_map", "_hot")
+    met = keyed.join(F.broadcast(hot), "_list", "left").withColumn(
+        "_list", F.when(F.col("_hot").isNull(), F.col("_list")).otherwise(row)
     )
+    none = F.create_map().cast("map<string,struct<_value:string>>")
+    met = met.join(maps, "_list", "left").withColumn("_map", F.coalesce("_hot", "_map", none)).drop("_hot")
     # NULL tokens have no key in a map; what is dropped is told from what is not found
     looked = _lookup(df, top)
 

@@ -64,6 +64,22 @@ def test_both_paths_agree_with_a_hot_token(spark):
     assert {r["product_id"]: r["tokens"] for r in found[0]} == want
 
 
+@pytest.mark.parametrize("hot", [1, 3, 10**9])
+def test_lists_that_many_rows_share(spark, monkeypatch, hot):
+    """A third of the rows have one list, another third none: the same rows whether lists are hot or not."""
+    from shelfsift.operators import token_map
+
+    monkeypatch.setattr(token_map, "HOT", hot)
+    lists = [["a", "b", None, "a"], [], None, ["b"], ["c", "d"], ["x"]]
+    rows = [(i, lists[0] if i % 3 == 0 else lists[1 + i % 2] if i % 3 == 1 else lists[3 + i % 3]) for i in range(60)]
+    frame = spark.createDataFrame([(*r, "text") for r in rows], "product_id bigint, tokens array<string>, _map string").drop("_map")
+    table = spark.createDataFrame([("a", "A"), ("b", None), ("c", "C"), ("never", "x")], "k string, v string")
+    lookup = {"a": "A", "b": None, "c": "C"}
+    want = sorted((i, [lookup.get(t, t) for t in ts or [] if lookup.get(t, t) is not None or t is None]) for i, ts in rows)
+    for limit, frequent in ((0, 0), (0, 1), (2, 1), (3, 1), (100, 1)):
+        assert sorted(map(tuple, map_tokens(frame, "tokens", table, limit=limit, frequent=frequent).collect())) == want
+
+
 def test_corpus_dictionary(spark):
     words = "cat cats box boxes party parties walk walking walked red bus as bass ones one".split()
     frame = spark.createDataFrame([(words,)], "words array<string>")
