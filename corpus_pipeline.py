@@ -2,7 +2,9 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; ``run`` writes it as Parquet to the shared folder and
 reads it back for the next one. All stages but the last return the columns of ``documents``; the last returns the packed
-pieces. Null texts count as empty and fall to the first stage; every stage works on whole texts and all its rows.
+pieces. Null texts count as empty and fall to the first stage; every stage works on whole texts of any length and all its
+rows. Of repeated rows the near-duplicate stage keeps one, also where they share an id with others; other columns
+go along under their names; an empty table gives empty stages.
 """
 
 from __future__ import annotations
