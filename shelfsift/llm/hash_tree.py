@@ -12,8 +12,9 @@ Slots number each shard's documents without gaps: shards are cut into SLICES has
 slice, and a slice's first slot is the number of documents in the slices before it. A slice is the largest group a task
 sees; it is chosen by id, size and content, so repeated ids with different texts are dealt out as well.
 
-Defined cases: a null text has size 1 and no checksum; a null id is a key like any other; repeated rows share a shard
-and get slots of their own; an empty table gives an empty result.
+Defined cases: a null text has size 1 and no checksum; of a text of any length only its size and checksum travel; a null id
+is a key like any other; repeated rows share a shard and get slots of their own; an empty table gives an empty result;
+columns but doc_id and text are not read, so their names cannot clash.
 """
 
 from __future__ import annotations

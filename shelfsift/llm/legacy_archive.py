@@ -12,8 +12,10 @@ guards them on any shared store. Which records revisit which is found on digests
 task as a list no longer than the archive's records; equal payloads are never gathered.
 
 Defined cases: a null html is empty; a null or blank url is written as ``unknown:``; blanks and control signs in urls
-are percent-encoded; a null page id is greater than all others; repeated rows are records of their own; an empty table
-gives no archives and reads back empty.
+are percent-encoded; a page longer than an archive is an archive of its own, read whole in one task; a null page id is
+greater than all others; of records tied on the smallest page id, the first by archive and offset is the response;
+repeated rows are records of their own; an empty table gives no archives and reads back empty; columns but page_id, url
+and html are not read, so their names cannot clash.
 """
 
 from __future__ import annotations

@@ -8,8 +8,9 @@ Dice ``t`` with a stretch of ``a`` bigrams if ``b*t/(2-t) <= a <= b*(2-t)/t``, a
 per word, and of the rest only templates within the size bounds are compared.
 
 Everything is local to a row. Defined cases: null, empty and blank texts have no hits; single words have no bigrams
-and match nothing; a tie goes to the first identifier by name, then the earlier line; repeated rows get rows of
-their own; an empty table gives an empty result.
+and match nothing; texts of any length are read whole, in one task's memory; a tie goes to the first identifier by name,
+then the earlier line; repeated rows get rows of their own; an empty table gives an empty result; columns but doc_id and
+text are not read, so their names cannot clash.
 """
 
 from __future__ import annotations

@@ -17,8 +17,9 @@ task of its own, so a long list is never gathered. A tile reports per entry its
 group, which joins the same components as all its pairs.
 
 Defined cases: null vectors, zero vectors and vectors with null or non-finite components link with nothing; vectors of
-different length link with nothing; repeated ids and rows are vectors of their own; a null id is never the smallest; an
-empty table gives an empty result.
+different length link with nothing; repeated ids and rows are vectors of their own; a null id is never the smallest;
+pivots at the same distance come in the order of the sample; an empty table gives an empty result; columns but vec_id and
+embedding are not read, so their names cannot clash.
 """
 
 from __future__ import annotations

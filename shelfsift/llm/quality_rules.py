@@ -7,8 +7,8 @@ a new policy, or a policy without one of its rules, is a bitwise expression over
 Everything is Column expressions. A 3-word window is compared by a 64-bit hash within its own text; two different
 windows of one text share a hash with a probability below n*n / 2**65 for n words (1e-11 for 20,000 words).
 
-Defined cases: a null or empty text has no words and fails ``few_words``; repeated rows get a row each; an empty table
-gives an empty ledger; other columns are carried in ``row`` and cannot clash.
+Defined cases: a null or empty text has no words and fails ``few_words``; texts of any length are measured whole (a task
+holds their words and window hashes); repeated rows get a row each; an empty table gives an empty ledger; other columns are carried in ``row`` and cannot clash.
 """
 
 from __future__ import annotations

@@ -15,7 +15,7 @@ Everything is Column expressions and equi joins; patterns are written so that ea
 number of times. Counts are combined before they are shuffled, and contexts, not documents, meet the entity table. The
 distinct terms of documents meet the disclosing ones inside the task while those are few, else in a join.
 
-Defined cases: a null text is empty and has no spans; repeated ids and rows are kept, each counts as a document; an
+Defined cases: a null text is empty and has no spans; texts of any length are read whole, as one value in a task; repeated ids and rows are kept, each counts as a document; an
 empty table gives an empty result; other columns are carried in ``row``.
 """
 

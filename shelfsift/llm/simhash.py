@@ -9,8 +9,9 @@ search the lower levels. Blocks report at most one link per fingerprint and one
 the same components as all pairs within the limit would.
 
 Defined cases: no words (null, empty, blank texts) give fingerprint zero, which links like any other; fewer words than
-a shingle give one shingle of all words; equal fingerprints are one entry of the index, whatever their number; repeated
-ids and rows are kept; an empty table gives an empty result.
+a shingle give one shingle of all words; texts of any length are hashed whole; equal fingerprints are one entry of the
+index, whatever their number; repeated ids and rows are kept; an empty table gives an empty result; columns but doc_id
+and text are not read (``keep_one`` carries them along), so their names cannot clash.
 """
 
 from __future__ import annotations

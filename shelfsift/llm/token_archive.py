@@ -8,7 +8,8 @@ Parquet folder, so that Spark's commit protocol guards them against lost executo
 carries what a reader needs to skip it (first and last id) and the number of ids before it in its file.
 
 Defined cases: a null text is empty, an empty document holds only the end id; a null id comes first; repeated ids and
-repeated rows are kept, in the order of id and text; an empty table gives an empty folder that reads back empty.
+repeated rows are kept, in the order of id and text; texts of any length are one frame each; an empty table gives an
+empty folder that reads back empty; columns but doc_id and text are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
