@@ -38,9 +38,11 @@ LAYOUT_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+
 _LETTERS = "a-zß-öø-ÿ"
 _PLAIN = re.compile("[\\x09-\\x0d\\x20-\\x7eÀ-ÖØ-öø-ÿ]*")
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\\x09-\\x0d\\x20{_LETTERS}0-9]+")
-# A text without runs of signs and without apostrophes is cut by setting its signs and digits apart.
-_RUNS = re.compile(f"[^\\x09-\\x0d\\x20{_LETTERS}0-9]{{2}}|'")
-_APART = [(chr(c), f" {chr(c)} ") for c in range(0x21, 0x7F) if not chr(c).isalpha()]
+# A text without runs of signs and without apostrophes is cut by setting its signs and digits apart. As Latin-1 bytes: what
+# is no sign, letters and blanks, and a table that turns every sign into "!" and all else into a blank.
+_NO_SIGN = bytes(c for c in range(256) if re.match(f"[\\x09-\\x0d\\x20{_LETTERS}0-9]", chr(c)))
+_QUIET = bytes(c for c in _NO_SIGN if not chr(c).isdigit())
+_SIGNS = bytes(32 if c in _NO_SIGN else 33 for c in range(256))
 _WORDS = re.compile("[^\\x20\\x09-\\x0d]+")
 
 
@@ -54,11 +56,14 @@ def _byte_letters() -> list[str]:
 
 def _pieces_of(text: str) -> list[str]:
     """The layout's pieces of a plain text in lower case."""
-    if _RUNS.search(text) is not None:
+    try:
+        codes = text.encode("latin-1")
+    except UnicodeEncodeError:
         return _PIECES.findall(text)
-    for sign, apart in _APART:
-        if sign in text:
-            text = text.replace(sign, apart)
+    if b"'" in codes or b"!!" in codes.translate(_SIGNS):
+        return _PIECES.findall(text)
+    for sign in map(chr, set(codes.translate(None, _QUIET))):
+        text = text.replace(sign, f" {sign} ")
     return text.split()
 
 
