@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfsift.llm.encoding import Encoder, encoder, share_tokenizer
+from shelfsift.llm.encoding import Encoder, encoder, lean, share_tokenizer
 from shelfsift.llm.support import inputs, stored
 
 BLOCK_BYTES = 128 * 1024
@@ -157,11 +157,13 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple
         yield number, rows
 
 
+@lean
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for number, rows in _blocks(batches):
         yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([_pack(rows)], pa.binary())], ["block", "content"])
 
 
+@lean
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for number, rows in _blocks(batches):
         names: set[bytes] = set()
@@ -192,6 +194,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     blocks = rows.mapInArrow(_packed, "block bigint, content binary").where("block IS NOT NULL")
     blocks = blocks.repartition(partitions, "block")
 
+    @lean
     def owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_bytes = _bytes_encoder(encoder(shared.value, MEMORY))
         for batch in batches:
@@ -221,6 +224,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     given = asked.groupBy("block").agg(F.collect_list(F.struct("hash", "ids")).alias("given"))
     met = blocks.join(given.hint("merge"), "block", "left").select("block", "content", "given")
 
+    @lean
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(shared.value, MEMORY)
         of_bytes = _bytes_encoder(own)
@@ -264,6 +268,7 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """``encoded`` (doc_id, ids) with ``decoded``, the text that the ids stand for."""
     shared = share_tokenizer(encoded.sparkSession, tokenizer)
 
+    @lean
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_ids = Decoder(shared.value).decode
         for batch in batches:

@@ -13,8 +13,11 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
@@ -121,6 +124,12 @@ class Encoder:
     def _by_library(self, word: str) -> bytes:
         return np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def forget(self) -> None:
+        """Drop what is remembered: ids come out alike, pieces are encoded anew."""
+        for remembered in (self._pieces, self._words):
+            remembered.clear()
+            remembered.older = {}
+
     def _plain(self, text: str) -> bool:
         return _PLAIN.fullmatch(text) is not None and not any(t in text for t in self.added)
 
@@ -151,3 +160,23 @@ def encoder(text: str, memory: int | None = None) -> Encoder:
     if key not in _encoders:
         _encoders[key] = Encoder(text, memory)
     return _encoders[key]
+
+
+def _give_back() -> None:
+    for own in _encoders.values():
+        own.forget()
+    pa.default_memory_pool().release_unused()
+
+
+def lean(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """A task that gives memory back at its end: what its encoders remember and what Arrow keeps of its batches. Workers outlive
+    tasks, and those that wait, or do something else next, would hold it beside those that encode."""
+
+    @wraps(task)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            _give_back()
+
+    return run

@@ -4,6 +4,7 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from test_llm_common import SMALL, by_library, odd_texts
 
@@ -115,3 +116,25 @@ def test_a_chunk_in_every_block(spark, tokenizer, library, monkeypatch, hot):
     assert encoded.columns == ["doc_id", "ids"]
     mine = Counter((r["doc_id"], bytes(r["ids"])) for r in encoded.collect())
     assert mine == Counter((i, np.array(by_library(library, t), "<u4").tobytes()) for i, t in rows)
+
+
+def test_waiting_workers_remember_nothing(spark, tokenizer):
+    """Workers that encoded and wait for their next task hold no pieces: they would stand beside those that encode."""
+    docs = spark.createDataFrame([(i, f"word{i} of these {'texts ' * i}") for i in range(40)], "doc_id bigint, text string")
+    assert C.decode(C.encode(docs, tokenizer), tokenizer).count() == 40
+
+    def remembered(batches):
+        from shelfsift.llm import encoding
+
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": [sum(len(e._pieces) + len(e._pieces.older) for e in encoding._encoders.values())]})
+
+    assert {r["n"] for r in spark.range(8).mapInArrow(remembered, "n bigint").collect()} == {0}
+
+
+def test_forgetting_changes_no_ids(tokenizer):
+    with open(tokenizer) as file:
+        own = Encoder(file.read())
+    before = own.encode("some words, and l'été <|endoftext|>")
+    own.forget()
+    assert not own._pieces and own.encode("some words, and l'été <|endoftext|>") == before
