@@ -16,6 +16,7 @@ import shelfsift.plans.models as models
 import shelfsift.plans.second_order as second_order
 import shelfsift.session as session
 from shelfsift.llm import encoding
+from shelfsift.operators.lemmas import lemmatised_description, preprocess
 from shelfsift.operators.tfidf import GRAM_SPEC, fit_tfidf
 
 
@@ -140,3 +141,27 @@ def test_pieces_by_bytes_like_the_pattern():
         if encoding._PLAIN.fullmatch(text):
             assert encoding._pieces_of(text) == encoding._PIECES.findall(text)
     assert encoding._pieces_of("a,b 12") == ["a", ",", "b", "1", "2"]
+
+
+@pytest.mark.parametrize("limit", [100, 0])
+@pytest.mark.parametrize("keep_empty", [True, False])
+def test_words_of_a_text_like_their_tokens(spark, monkeypatch, limit, keep_empty):
+    """The same texts as by lists of words: empty and null texts, empty words, replacements that drop or hold a blank."""
+    monkeypatch.setattr(token_map, "PIECE", 2)
+    texts = ["a b  c", "", None, " a", "c", "x é a ", "b b", "  "]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    table = spark.createDataFrame([("a", "A A"), ("c", None), ("b", "B"), ("", "E")], "t string, v string")
+    split = F.split("text", " ")
+    lists = frame.withColumn("words", split if keep_empty else F.array_remove(split, ""))
+    want = token_map.map_tokens(lists, "words", table).select("id", F.concat_ws(" ", "words").alias("text"))
+    got = token_map.map_words(frame, "text", table, keep_empty=keep_empty, limit=limit)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_lemmas_send_texts_not_lists(spark):
+    """What goes to Python and back is one text a row."""
+    frame = spark.createDataFrame([(1, "cats sat")], "product_id bigint, description string")
+    table = spark.createDataFrame([("cats", "cat")], "form string, lemma string")
+    for done in (lemmatised_description(frame, table), preprocess(frame, dictionary=table)):
+        plan = done._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" in plan and "concat_ws" not in plan
