@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.ml.linalg import Vectors
@@ -165,3 +166,39 @@ def test_lemmas_send_texts_not_lists(spark):
     for done in (lemmatised_description(frame, table), preprocess(frame, dictionary=table)):
         plan = done._jdf.queryExecution().executedPlan().toString()
         assert "ArrowEvalPython" in plan and "concat_ws" not in plan
+
+
+def test_tables_are_copied_by_their_bytes(spark):
+    """A table of 250,000 short entries is copied: nothing of the rows is shuffled or written."""
+    frame = spark.createDataFrame([(1, ["w7", "x", None, "w249999"])], "id int, words array<string>")
+    table = spark.range(250_000).select(F.concat(F.lit("w"), "id").alias("t"), F.concat(F.lit("v"), "id").alias("v"))
+    done = token_map.map_tokens(frame, "words", table)
+    assert "Join" not in plan_of(done) and done.first()["words"] == ["v7", "x", None, "v249999"]
+
+
+def test_look_ups_tell_equal_hashes_apart(monkeypatch):
+    keys, values = ["a", "bb", "cc", "d", "e"], ["A", "B", None, "D", "E"]
+    tokens = pa.array(["cc", "zz", "bb", "e", "a", "", "d", "q"])
+    for hashes in (token_map._hashes, lambda found: np.array([len(t) for t in found.to_pylist()], np.int64)):
+        monkeypatch.setattr(token_map, "_hashes", hashes)
+        table = token_map._Table(pa.table({"token": pa.array(keys), "value": pa.array(values)}))
+        found, got = table.find(tokens)
+        assert found.to_pylist() == [True, False, True, True, True, False, True, False]
+        assert got.to_pylist() == [None, None, "B", "E", "A", None, "D", None]
+
+
+def test_token_lists_are_not_written(spark, monkeypatch):
+    """By the path for tables of any size, only entries of the table are written, and only what a filter lets through travels."""
+    rows = [(i, [f"u{i * 50 + k}" for k in range(50)] + ["a", None, "b" if i % 2 else "c"]) for i in range(60)]
+    frame = spark.createDataFrame(rows, "id int, words array<string>")
+    table = spark.createDataFrame([("a", "A"), ("b", "B"), ("c", None), ("never", "x")], "token string, value string")
+    counts, real = [], token_map.cut_lineage
+    monkeypatch.setattr(token_map, "cut_lineage", lambda df: (kept := real(df), counts.append(kept.count()))[0])
+    found = token_map.map_tokens(frame, "words", table, limit=1, frequent=1).collect()
+    want = {i: [{"a": "A", "b": "B"}.get(t, t) for t in words if t != "c"] for i, words in rows}
+    assert {r["id"]: r["words"] for r in found} == want
+    assert max(counts) <= 60  # of 3,180 tokens
+    entries = spark.createDataFrame([("b",), ("c",)], "t string").select(F.xxhash64("t").alias("_hash"))
+    hashes = frame.withColumn("h", F.transform("words", lambda t: F.xxhash64(t)))
+    passed = hashes.select(F.explode(token_map._passing(frame, entries)("h")).alias("_hash"))
+    assert passed.join(entries, "_hash", "left_semi").count() == 60 and passed.count() < 200
