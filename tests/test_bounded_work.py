@@ -181,7 +181,7 @@ def test_look_ups_tell_equal_hashes_apart(monkeypatch):
     tokens = pa.array(["cc", "zz", "bb", "e", "a", "", "d", "q"])
     for hashes in (token_map._hashes, lambda found: np.array([len(t) for t in found.to_pylist()], np.int64)):
         monkeypatch.setattr(token_map, "_hashes", hashes)
-        table = token_map._Table(pa.table({"token": pa.array(keys), "value": pa.array(values)}))
+        table = token_map.Table(pa.table({"token": pa.array(keys), "value": pa.array(values)}))
         found, got = table.find(tokens)
         assert found.to_pylist() == [True, False, True, True, True, False, True, False]
         assert got.to_pylist() == [None, None, "B", "E", "A", None, "D", None]

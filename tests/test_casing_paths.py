@@ -8,6 +8,7 @@ from math import log
 import pytest
 from pyspark.sql import functions as F
 
+from shelfsift.operators import casing_paths
 from shelfsift.operators.casing_paths import START, Casing, fit_casing
 
 CORPUS = [
@@ -107,3 +108,31 @@ def test_a_long_row(spark, texts):
     frame = spark.createDataFrame([(0, row)], "product_id bigint, tokens array<string>")
     cased = fit_casing(texts(CORPUS)).apply(frame, "tokens").first()["tokens"]
     assert len(cased) == len(row) and cased[-4:-2] == ["New", "York"]
+
+
+def test_rounding_like_round():
+    chance = random.Random(2)
+    scores = [chance.choice([1, -1]) * chance.random() * 10 ** chance.randrange(-13, 6) for _ in range(100_000)]
+    scores += [chance.randrange(-10**15, 10**15) / 1e12 + 5e-13 for _ in range(50_000)] + [0.0, -0.0, 0.5, -1.5e-12, 2.5e-12]
+    assert all(casing_paths.rounded(x) == round(x, 12) for x in scores)
+
+
+def test_spellings_come_back(spark):
+    words = ["new", "a", "h&m", "mcdonald", ""]
+    forms = [(w, f) for w in words for f in {w, w.upper(), w[:1].upper() + w[1:], "McDonald" if w == "mcdonald" else w}]
+    frame = spark.createDataFrame(forms, "lower string, form string")
+    coded = frame.select("lower", "form", casing_paths._spelling(F.col("form"), "lower").alias("code")).collect()
+    assert all(casing_paths.spelled(r["code"], r["lower"]) == r["form"] for r in coded)
+    assert {r["code"] for r in coded} == {"", "^", "*", "McDonald"}
+
+
+@pytest.mark.parametrize("limit", [None, 3, 0])
+def test_pairs_do_not_travel_as_words(spark, texts, limit):
+    """What a row asks with and what comes back is no list of words or forms, and the paths are those of all tables copied."""
+    tables = fit_casing(texts(CORPUS))
+    frame = spark.createDataFrame([(i, (text or "").lower().split()) for i, text in enumerate(CORPUS)], "product_id bigint, tokens array<string>")
+    done = tables.apply(frame, "tokens", limit=limit)
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_distinct(transform" not in plan and "struct<place:int,before" not in plan
+    want = tables.apply(frame, "tokens", limit=10_000)
+    assert sorted(map(tuple, done.collect())) == sorted(map(tuple, want.collect()))
