@@ -8,6 +8,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+import registered.queries as queries
 import shelfsift.operators.casing_paths as casing_paths
 import shelfsift.operators.heavy_terms as heavy_terms
 import shelfsift.operators.scoring as scoring
@@ -16,6 +17,7 @@ import shelfsift.operators.truecase as truecase
 import shelfsift.plans.models as models
 import shelfsift.plans.second_order as second_order
 import shelfsift.session as session
+from shelfsift.functions.features import with_listing_features
 from shelfsift.llm import encoding
 from shelfsift.operators.lemmas import lemmatised_description, preprocess
 from shelfsift.operators.tfidf import GRAM_SPEC, fit_tfidf
@@ -202,3 +204,34 @@ def test_token_lists_are_not_written(spark, monkeypatch):
     hashes = frame.withColumn("h", F.transform("words", lambda t: F.xxhash64(t)))
     passed = hashes.select(F.explode(token_map._passing(frame, entries)("h")).alias("_hash"))
     assert passed.join(entries, "_hash", "left_semi").count() == 60 and passed.count() < 200
+
+
+def test_words_are_counted_beside_hashtags_only(spark, texts):
+    rows = texts(["no tag at all", "#one two three", "", None, "a # b #c"])
+    found = with_listing_features(rows, names=["hashtag_to_text_ratio"])
+    assert [r[0] for r in found.orderBy("product_id").select("hashtag_to_text_ratio").collect()] == [0.0, 1 / 3, 0.0, 0.0, 0.5]
+    plan = plan_of(found)
+    assert plan.index("CASE WHEN") < plan.index("regexp_extract_all")
+
+
+def test_job_checks_make_their_lemmas_once(spark, monkeypatch):
+    made, given = [], []
+
+    class Stop(Exception):
+        pass
+
+    def hybrid(*args, dictionary, **rest):
+        given.append(dictionary)
+        raise Stop
+
+    def comparison(*args, dictionary, **rest):
+        given.append(dictionary)
+        return type("Done", (), {"judged": None})
+
+    monkeypatch.setattr(queries, "dictionary", lambda *args: made.append("lemmas") or made[-1])
+    monkeypatch.setattr(queries, "comparison_job", comparison)
+    monkeypatch.setattr(queries, "hybrid_job", hybrid)
+    monkeypatch.setattr(queries, "labelled", lambda *args: spark.createDataFrame([(1, "a", 1, "train")], "product_id int, description string, label int, split string"))
+    with pytest.raises(Stop):
+        queries.job_scorer_checks(spark, "")
+    assert made == ["lemmas"] and given == made * 2
